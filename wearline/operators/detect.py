@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import contracts as C
+from ..session import materialize
 from ..functions import columns as X
 from .ordered import ecdf_percentile, exact_quantiles
 from .windows import pattern_text, persistence_columns, recent_pattern_columns, trailing_columns
@@ -115,7 +116,7 @@ def fleet_alert_status(
 
     P4 -> F2 -> M2 -> P28 -> A43 -> P20 -> G8/G16 -> G11 -> G17 -> T3.
     """
-    scored = statistical_scores(add_rul_targets(traj), sensors, cutoff)
+    scored = materialize(statistical_scores(add_rul_targets(traj), sensors, cutoff), "scored")
     reference = scored.where(F.col("raw_rul") > cutoff).select("score")
     threshold = quantile_threshold(reference, "score", q)
     flagged = scored.crossJoin(F.broadcast(threshold)).withColumn(

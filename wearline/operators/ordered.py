@@ -18,10 +18,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def reused(df: DataFrame) -> DataFrame:
+    """Persist an intermediate that the plan reads several times.
+
+    MEMORY_AND_DISK: spills instead of failing; a lost executor's blocks are
+    recomputed from lineage.
+    """
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def default_buckets(df: DataFrame) -> int:
     """Key ranges per ordering: a few per shuffle partition of the session."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
@@ -51,7 +61,7 @@ def prefix_sums(
     buckets = buckets or default_buckets(df)
     parts = list(partition_cols)
     k = (-F.col(key).cast("double")) if descending else F.col(key).cast("double")
-    keyed = df.withColumn("_ok", k)
+    keyed = reused(df.withColumn("_ok", k))
     probs = [i / buckets for i in range(1, buckets)]
     bounds = keyed.agg(
         F.percentile_approx("_ok", probs, 10000).alias("_bounds")
@@ -150,7 +160,7 @@ def exact_quantiles(
     spark = df.sparkSession
     parts = list(group_cols)
     vals = df.where(F.col(value_col).isNotNull())
-    counts = vals.groupBy(*parts, value_col).agg(F.count(F.lit(1)).alias("_qc"))
+    counts = reused(vals.groupBy(*parts, value_col).agg(F.count(F.lit(1)).alias("_qc")))
     cum = prefix_sums(counts, value_col, ["_qc"], parts, buckets=buckets).withColumn(
         "_qb", F.col("cum__qc") - F.col("_qc")
     )
@@ -205,8 +215,8 @@ def ecdf_percentile(
     )
     q_vals = queries.select(F.col(score_col).alias("_ev")).distinct().withColumn("_er", F.lit(0).cast("long"))
     merged = ref_counts.unionByName(q_vals).groupBy("_ev").agg(F.sum("_er").alias("_er"))
+    n_ref = ref_counts.agg(F.sum("_er").alias("_en"))
     cum = prefix_sums(merged, "_ev", ["_er"], buckets=buckets)
-    n_ref = reference.agg(F.count(F.lit(1)).alias("_en"))
     table = cum.crossJoin(F.broadcast(n_ref)).select(
         "_ev",
         F.least(F.greatest(100.0 * F.col("cum__er") / F.col("_en"), F.lit(0.0)), F.lit(100.0)).alias(name),

@@ -1,4 +1,4 @@
 """Registered queries.  Importing this package fills ``REGISTRY``."""
 
-from . import anomaly  # noqa: F401
+from . import anomaly, features  # noqa: F401
 from .registry import REGISTRY, Query, finish, register  # noqa: F401

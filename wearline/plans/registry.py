@@ -31,17 +31,26 @@ class Query:
 REGISTRY: dict[str, Query] = {}
 
 
-def register(name: str, ops: Sequence[str] = (), sql: str | None = None, views: Sequence[str] = ()):
+def rounded(sql: str, cols: Sequence[str], digits: int = 6) -> str:
+    """Wrap oracle SQL so the listed double columns are rounded like ``finish``."""
+    rep = ", ".join(f"round({c}, {digits}) AS {c}" for c in cols)
+    return f"WITH _res AS (\n{sql.strip()}\n)\nSELECT * REPLACE ({rep}) FROM _res"
+
+
+def register(name: str, ops: Sequence[str] = (), sql: str | None = None, views: Sequence[str] = (),
+             round_cols: Sequence[str] = ()):
     """Decorator: record a builder under ``name`` with its oracle SQL.
 
     ``views`` lists fixture views (traj, obs, vecs) the SQL reads; their
-    definitions are prepended as CTEs.
+    definitions are prepended as CTEs.  ``round_cols`` are double columns the
+    oracle rounds to 6 digits (the Spark side rounds all doubles in ``finish``).
     """
     if name in REGISTRY:
         raise ValueError(f"duplicate query name {name}")
 
     def deco(fn: Builder) -> Builder:
-        text = with_views(sql, *views) if (sql and views) else sql
+        text = rounded(sql, round_cols) if (sql and round_cols) else sql
+        text = with_views(text, *views) if (text and views) else text
         REGISTRY[name] = Query(name, fn, text, tuple(ops), (fn.__doc__ or "").strip())
         return fn
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on.  ANSI stays on (Spark's default): divide by
 # zero and bad casts fail loudly, so the operators use try_divide / try_cast.
@@ -17,6 +18,7 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.shuffle.partitions": "8",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
@@ -53,3 +55,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint dir for a written intermediate."""
     return os.path.join(checkpoint_dir(spark), name)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet under the shared checkpoint dir and read it back.
+
+    Used where one intermediate feeds several branches (threshold, reference,
+    scoring): the lineage is cut once, the read-back has file statistics for
+    AQE, and a lost executor costs a re-read instead of a recomputation.
+    """
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
