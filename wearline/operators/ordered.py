@@ -51,12 +51,14 @@ def prefix_sums(
     descending: bool = False,
     buckets: int | None = None,
     prefix: str = "cum_",
+    tiebreak: Sequence[str] = (),
 ) -> DataFrame:
     """Inclusive running sums of ``sum_cols`` in ``key`` order.
 
-    ``df`` must hold one row per (partition_cols, key); group first.  Adds
-    ``{prefix}{c}`` for every column.  For ``descending`` the running sum
-    covers keys >= the current one.
+    ``df`` must hold one row per (partition_cols, key[, tiebreak]); group
+    first.  Adds ``{prefix}{c}`` for every column.  For ``descending`` the
+    running sum covers keys >= the current one.  ``tiebreak`` columns order
+    rows sharing a key (they stay in one bucket, so the order is total).
     """
     buckets = buckets or default_buckets(df)
     parts = list(partition_cols)
@@ -84,7 +86,7 @@ def prefix_sums(
     if not parts:
         offsets = F.broadcast(offsets)  # at most `buckets` rows
     joined = keyed.join(offsets, [*parts, "_ob"])
-    running = Window.partitionBy(*parts, "_ob").orderBy("_ok").rowsBetween(
+    running = Window.partitionBy(*parts, "_ob").orderBy("_ok", *tiebreak).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     out = joined.select(
