@@ -16,6 +16,7 @@ key, so ties land together and a retried task recomputes the same bucket:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
@@ -32,15 +33,29 @@ def reused(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+SINGLE_TASK_CONF = "wearline.ordered.singleTaskRows"
+SINGLE_TASK_DEFAULT = 2_000_000
+
+
+def single_task_rows(spark) -> int:
+    """Row bound under which one task may order a (grouped) input.
+
+    Above it the order is split into key ranges.  Tests set it to 0 to force
+    the range path.
+    """
+    return int(spark.conf.get(SINGLE_TASK_CONF, str(SINGLE_TASK_DEFAULT)))
+
+
 def default_buckets(df: DataFrame) -> int:
     """Key ranges per ordering: a few per shuffle partition of the session."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
     return max(4, 4 * n)
 
 
-def _bucket_of(key: Column, bounds: Column) -> Column:
+def _bucket_of(key: Column, bounds: Sequence[float]) -> Column:
     # number of bounds strictly below the key -> 0..len(bounds)
-    return F.size(F.filter(bounds, lambda b: b < key))
+    arr = F.array(*[F.lit(float(b)) for b in bounds])
+    return F.size(F.filter(arr, lambda b: b < key))
 
 
 def prefix_sums(
@@ -59,19 +74,28 @@ def prefix_sums(
     first.  Adds ``{prefix}{c}`` for every column.  For ``descending`` the
     running sum covers keys >= the current one.  ``tiebreak`` columns order
     rows sharing a key (they stay in one bucket, so the order is total).
+
+    Size check first (one count over the grouped input): up to
+    :func:`single_task_rows` rows one window orders everything; above it the
+    key range is cut at approximate quantiles (a bounded sketch, returned
+    to the driver as ``buckets - 1`` doubles) and each range is ordered by
+    its own task, shifted by the totals of the ranges before it.
     """
-    buckets = buckets or default_buckets(df)
+    spark = df.sparkSession
     parts = list(partition_cols)
     k = (-F.col(key).cast("double")) if descending else F.col(key).cast("double")
     keyed = reused(df.withColumn("_ok", k))
+    n = keyed.count()
+    if n <= single_task_rows(spark):
+        w = Window.partitionBy(*parts).orderBy("_ok", *tiebreak).rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)
+        return keyed.select(*df.columns, *[F.sum(c).over(w).alias(f"{prefix}{c}") for c in sum_cols])
+
+    buckets = buckets or default_buckets(df)
     probs = [i / buckets for i in range(1, buckets)]
-    bounds = keyed.agg(
-        F.percentile_approx("_ok", probs, 10000).alias("_bounds")
-    )
-    # one row holding `buckets - 1` doubles: a proven size bound
-    keyed = keyed.crossJoin(F.broadcast(bounds)).withColumn(
-        "_ob", _bucket_of(F.col("_ok"), F.col("_bounds"))
-    ).drop("_bounds")
+    found = keyed.agg(F.percentile_approx("_ok", probs, 1000).alias("b")).first()["b"] or []
+    bounds = sorted({float(b) for b in found if b is not None})
+    keyed = keyed.withColumn("_ob", _bucket_of(F.col("_ok"), bounds))
 
     totals = keyed.groupBy(*parts, "_ob").agg(
         *[F.sum(c).alias(f"_t_{c}") for c in sum_cols]
@@ -89,11 +113,10 @@ def prefix_sums(
     running = Window.partitionBy(*parts, "_ob").orderBy("_ok", *tiebreak).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    out = joined.select(
+    return joined.select(
         *df.columns,
         *[(F.sum(c).over(running) + F.col(f"_o_{c}")).alias(f"{prefix}{c}") for c in sum_cols],
     )
-    return out
 
 
 def sequence_number(
@@ -157,7 +180,11 @@ def exact_quantiles(
     """Linear-interpolation quantiles (numpy default / ``quantile_cont``).
 
     Returns one row per (group, q) with columns ``q`` and ``value``.  Unlike
-    ``percentile`` no task ever holds all distinct values of a group.
+    ``percentile`` no task ever holds all distinct values of a group: values
+    are counted per distinct value, prefix-summed in value order, and only
+    the (at most two) values around each target position are kept.  Without
+    groups the answer is a handful of doubles and comes back as a literal
+    one-row-per-q table, so later plans do not recompute it.
     """
     spark = df.sparkSession
     parts = list(group_cols)
@@ -166,6 +193,34 @@ def exact_quantiles(
     cum = prefix_sums(counts, value_col, ["_qc"], parts, buckets=buckets).withColumn(
         "_qb", F.col("cum__qc") - F.col("_qc")
     )
+
+    def holds(pos: Column) -> Column:
+        return (F.col("_qb") <= pos) & (pos < F.col("cum__qc"))
+
+    if not parts:
+        n = counts.agg(F.sum("_qc")).first()[0] or 0
+        if n == 0:
+            return spark.createDataFrame([(float(p), None) for p in probs], "q double, value double")
+        wanted = []
+        for p in probs:
+            h = (n - 1) * float(p)
+            wanted.append((float(p), h, int(math.floor(h)), int(math.ceil(h))))
+        positions = sorted({x for _, _, lo, hi in wanted for x in (lo, hi)})
+        cond = None
+        for pos in positions:
+            c = holds(F.lit(pos))
+            cond = c if cond is None else cond | c
+        rows = cum.where(cond).select(value_col, "_qb", "cum__qc").collect()  # <= 2 rows per q
+
+        def at(pos: int) -> float:
+            for r in rows:
+                if r["_qb"] <= pos < r["cum__qc"]:
+                    return float(r[value_col])
+            raise RuntimeError("quantile position not found")
+
+        out = [(q, at(lo) + (at(hi) - at(lo)) * (h - lo)) for q, h, lo, hi in wanted]
+        return spark.createDataFrame(out, "q double, value double")
+
     qs = spark.createDataFrame([(float(p),) for p in probs], "q double")
     totals = counts.groupBy(*parts).agg(F.sum("_qc").alias("_qn"))
     targets = (
@@ -174,21 +229,13 @@ def exact_quantiles(
         .withColumn("_lo", F.floor("_h"))
         .withColumn("_hi", F.ceil("_h"))
     )
-    if not parts:
-        targets = F.broadcast(targets)  # len(probs) rows
-
-    def holds(pos: str) -> Column:
-        return (F.col("_qb") <= F.col(pos)) & (F.col(pos) < F.col("cum__qc"))
-
-    cond = [cum[c] == targets[c] for c in parts] if parts else []
-    hit = cum.alias("c").join(targets.alias("t"), cond) if parts else cum.crossJoin(targets)
-    if parts:
-        hit = hit.select(*[F.col(f"c.{c}").alias(c) for c in parts], "c." + value_col, "c._qb",
-                         "c.cum__qc", "t.q", "t._h", "t._lo", "t._hi")
-    hit = hit.where(holds("_lo") | holds("_hi"))
+    hit = cum.alias("c").join(targets.alias("t"), [F.col(f"c.{c}") == F.col(f"t.{c}") for c in parts]).select(
+        *[F.col(f"c.{c}").alias(c) for c in parts], "c." + value_col, "c._qb", "c.cum__qc",
+        "t.q", "t._h", "t._lo", "t._hi")
+    hit = hit.where(holds(F.col("_lo")) | holds(F.col("_hi")))
     agg = hit.groupBy(*parts, "q").agg(
-        F.max(F.when(holds("_lo"), F.col(value_col))).alias("_vlo"),
-        F.max(F.when(holds("_hi"), F.col(value_col))).alias("_vhi"),
+        F.max(F.when(holds(F.col("_lo")), F.col(value_col))).alias("_vlo"),
+        F.max(F.when(holds(F.col("_hi")), F.col(value_col))).alias("_vhi"),
         F.first("_h").alias("_h"),
         F.first("_lo").alias("_lo"),
     )
