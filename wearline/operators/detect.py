@@ -145,3 +145,56 @@ def fleet_alert_status(
         F.col("persistent").alias("alert_active"),
         deviations_text(top_deviations(sensors, top_n)).alias("top_sensor_deviations"),
     )
+
+
+# ---------------------------------------------------------------------------
+# Evaluation of alert policies
+# ---------------------------------------------------------------------------
+
+POLICIES = ["one_cycle", "two_consecutive", "three_of_five_any_history", "three_of_five"]
+
+
+def alert_policies(flagged: DataFrame, flag: str = "exceeded", unit: str = "unit_id",
+                   order: str = "cycle") -> DataFrame:
+    """A51 inputs: one cycle, two consecutive, 3-of-5 with min_periods 1
+    (research) and 3-of-5 needing 5 rows (production), in one windowed pass."""
+    from .windows import consecutive_columns
+    cols = {
+        **consecutive_columns(flag, "two_consecutive"),
+        **persistence_columns(flag, C.PERSISTENCE_WINDOW, C.PERSISTENCE_REQUIRED_COUNT, 1, prefix="r_"),
+        **persistence_columns(flag, C.PERSISTENCE_WINDOW, C.PERSISTENCE_REQUIRED_COUNT),
+    }
+    out = trailing_columns(flagged, cols, unit=unit, order=order, lookback=C.PERSISTENCE_WINDOW - 1)
+    return out.withColumn("one_cycle", F.col(flag)).withColumnRenamed(
+        "r_persistent", "three_of_five_any_history").withColumnRenamed("persistent", "three_of_five").drop(
+        "r_recent_count", "r_recent_size")
+
+
+def unit_alert_summary(df: DataFrame, alert: str, by: Sequence[str] = (), unit: str = "unit_id",
+                       healthy_rul: int = C.NORMAL_REFERENCE_RUL, critical_rul: int = C.CRITICAL_RUL) -> DataFrame:
+    """A48-A50 per unit: premature (alert while healthy), critical coverage,
+    alert density and lead time (raw_rul at the first alert; null if never)."""
+    a = F.col(alert)
+    per = df.groupBy(*by, unit).agg(
+        F.bool_or(a & (F.col("raw_rul") > healthy_rul)).alias("premature"),
+        F.bool_or(a & (F.col("raw_rul") <= critical_rul)).alias("critical_alert"),
+        F.avg(a.cast("double")).alias("alert_rate"),
+    )
+    first = df.where(a).groupBy(*by, unit).agg(F.min_by("raw_rul", F.col("cycle")).alias("lead_time"))
+    return per.join(first, [*by, unit], "left")
+
+
+def observation_rates(df: DataFrame, alert: str, by: Sequence[str] = (),
+                      healthy_rul: int = C.NORMAL_REFERENCE_RUL, critical_rul: int = C.CRITICAL_RUL) -> DataFrame:
+    """Percent of healthy / critical observations with an alert."""
+    a = F.col(alert).cast("double")
+    return df.groupBy(*by).agg(
+        (100.0 * F.avg(F.when(F.col("raw_rul") > healthy_rul, a))).alias("healthy_observation_pct"),
+        (100.0 * F.avg(F.when(F.col("raw_rul") <= critical_rul, a))).alias("critical_observation_pct"),
+    )
+
+
+def policy_long(df: DataFrame, policies: Sequence[str] = POLICIES) -> DataFrame:
+    """Unpivot policy flag columns to (unit_id, cycle, raw_rul, policy, alert)."""
+    return df.select("unit_id", "cycle", "raw_rul", *policies).unpivot(
+        ["unit_id", "cycle", "raw_rul"], list(policies), "policy", "alert")

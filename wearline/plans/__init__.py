@@ -1,4 +1,4 @@
 """Registered queries.  Importing this package fills ``REGISTRY``."""
 
-from . import anomaly, features, metrics, splits, stats, validation  # noqa: F401
+from . import anomaly, anomaly_eval, features, metrics, splits, stats, validation  # noqa: F401
 from .registry import REGISTRY, Query, finish, register  # noqa: F401

@@ -30,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _VIEWS: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def _stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """A fixture view written once per session to the shared checkpoint dir.
 
     The views stand in for stored sensor tables: every query reads the
@@ -44,7 +44,7 @@ def _stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
 
 def traj(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trajectory fixture view (stored once per session); see :func:`build_traj`."""
-    return _stored(spark, sf_dir, "traj", build_traj)
+    return stored(spark, sf_dir, "traj", build_traj)
 
 
 def build_traj(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +108,7 @@ def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vecs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """64-sensor fixture view (stored once per session); see :func:`build_vecs`."""
-    return _stored(spark, sf_dir, "vecs", build_vecs)
+    return stored(spark, sf_dir, "vecs", build_vecs)
 
 
 def build_vecs(spark: SparkSession, sf_dir: str) -> DataFrame:
