@@ -26,6 +26,7 @@ class Query:
     sql: str | None
     ops: tuple[str, ...] = field(default_factory=tuple)
     doc: str = ""
+    trains: bool = False
 
 
 REGISTRY: dict[str, Query] = {}
@@ -38,7 +39,7 @@ def rounded(sql: str, cols: Sequence[str], digits: int = 6) -> str:
 
 
 def register(name: str, ops: Sequence[str] = (), sql: str | None = None, views: Sequence[str] = (),
-             round_cols: Sequence[str] = ()):
+             round_cols: Sequence[str] = (), trains: bool = False):
     """Decorator: record a builder under ``name`` with its oracle SQL.
 
     ``views`` lists fixture views (traj, obs, vecs) the SQL reads; their
@@ -51,7 +52,7 @@ def register(name: str, ops: Sequence[str] = (), sql: str | None = None, views:
     def deco(fn: Builder) -> Builder:
         text = rounded(sql, round_cols) if (sql and round_cols) else sql
         text = with_views(text, *views) if (text and views) else text
-        REGISTRY[name] = Query(name, fn, text, tuple(ops), (fn.__doc__ or "").strip())
+        REGISTRY[name] = Query(name, fn, text, tuple(ops), (fn.__doc__ or "").strip(), trains)
         return fn
 
     return deco
