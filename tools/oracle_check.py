@@ -75,6 +75,14 @@ def main():
             print(f"FAIL {name}: duckdb error {str(e)[:300]}")
             bad += 1
             continue
+        dtypes = {d[0]: str(d[1]).upper() for d in res.description}
+        stypes = {f.name: f.dataType.simpleString() for f in sdf.schema.fields}
+        want = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                "boolean": "BOOLEAN", "float": "FLOAT", "smallint": "SMALLINT"}
+        tbad = [(c, stypes.get(c), dtypes.get(c)) for c in scols
+                if c in dtypes and want.get(stypes.get(c), stypes.get(c)) != dtypes.get(c)]
+        if tbad:
+            print(f"TYPE {name}: {tbad}")
         if sorted(dcols) != scols:
             print(f"FAIL {name}: columns spark={scols} duck={sorted(dcols)}")
             bad += 1

@@ -114,7 +114,7 @@ def history_truncation(spark, sf_dir):
     """Each unit as of its first 1/3/5/6/20 cycles: the row at cycle n equals the
     latest row of the truncated history because every feature looks back only."""
     t = tables.traj(spark, sf_dir).select("unit_id", "cycle", "sensor_4")
-    lengths = spark.createDataFrame([(n,) for n in (1, 3, 5, 6, 20)], "history_length long")
+    lengths = spark.createDataFrame([(n,) for n in (1, 3, 5, 6, 20)], "history_length int")
     # The first 20 rows of every unit (cycles are consecutive from 1)
     feats = windows.add_temporal_features(t.where(F.col("cycle") <= 20), ["sensor_4"])
     out = feats.join(F.broadcast(lengths), feats["cycle"] == lengths["history_length"])

@@ -38,6 +38,27 @@ def rounded(sql: str, cols: Sequence[str], digits: int = 6) -> str:
     return f"WITH _res AS (\n{sql.strip()}\n)\nSELECT * REPLACE ({rep}) FROM _res"
 
 
+def bigint_counts(sql: str) -> str:
+    """Wrap every ``count_if(...)`` in ``CAST(... AS BIGINT)``: DuckDB returns
+    HUGEINT for it, Spark returns bigint."""
+    out, i, token = [], 0, "count_if("
+    while True:
+        j = sql.find(token, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        if sql[max(0, j - 5):j] == "CAST(":
+            out.append(sql[i:j + len(token)])
+            i = j + len(token)
+            continue
+        depth, k = 1, j + len(token)
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        out.append(sql[i:j] + "CAST(" + sql[j:k] + " AS BIGINT)")
+        i = k
+
+
 def register(name: str, ops: Sequence[str] = (), sql: str | None = None, views: Sequence[str] = (),
              round_cols: Sequence[str] = (), trains: bool = False):
     """Decorator: record a builder under ``name`` with its oracle SQL.
@@ -50,7 +71,8 @@ def register(name: str, ops: Sequence[str] = (), sql: str | None = None, views:
         raise ValueError(f"duplicate query name {name}")
 
     def deco(fn: Builder) -> Builder:
-        text = rounded(sql, round_cols) if (sql and round_cols) else sql
+        text = bigint_counts(sql) if sql else sql
+        text = rounded(text, round_cols) if (text and round_cols) else text
         text = with_views(text, *views) if (text and views) else text
         REGISTRY[name] = Query(name, fn, text, tuple(ops), (fn.__doc__ or "").strip(), trains)
         return fn

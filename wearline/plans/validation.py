@@ -92,3 +92,22 @@ def rul_label_sanity(spark, sf_dir):
     RUL decreasing by one per cycle."""
     r = detect.add_rul_targets(tables.traj(spark, sf_dir).select("unit_id", "cycle"))
     return validate.label_sanity(r)
+
+
+@register("event_props_ingest", ops=["S8", "V3"], sql="""
+WITH p AS (SELECT event_type, TRY_CAST(json_extract(props, '$.k') AS BIGINT) AS k,
+                  (NOT json_valid(props)) OR json_extract(props, '$.k') IS NULL
+                    OR TRY_CAST(json_extract(props, '$.k') AS BIGINT) IS NULL AS quarantine
+           FROM events)
+SELECT event_type, count(*) AS rows, count_if(NOT quarantine) AS parsed, count_if(quarantine) AS quarantined,
+       CAST(sum(k) FILTER (WHERE NOT quarantine) AS BIGINT) AS sum_k, max(k) FILTER (WHERE NOT quarantine) AS max_k
+FROM p GROUP BY event_type""")
+def event_props_ingest(spark, sf_dir):
+    """Event ``props`` JSON parsed with a fixed schema; unparsable rows or rows
+    without an integer ``k`` are counted as quarantined per event type."""
+    from ..sources import readers
+    ev = readers.parse_props(tables.table(spark, sf_dir, "events").select("event_type", "props"))
+    ok = ~F.col("quarantine")
+    return ev.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(ok).alias("parsed"), F.count_if("quarantine").alias("quarantined"),
+        F.sum(F.when(ok, F.col("k"))).alias("sum_k"), F.max(F.when(ok, F.col("k"))).alias("max_k"))
