@@ -154,12 +154,15 @@ def parse_requests(df: DataFrame, json_col: str = "body", key: str = "request_id
     observation with ``arrival`` = array position; unparsable or empty
     requests go to quarantine."""
     parsed = df.withColumn("_r", F.from_json(F.col(json_col), request_schema(fields)))
-    ok = F.col("_r").isNotNull() & (F.size("_r.observations") > 0)
-    rows = parsed.where(ok).select(key, F.col("_r.unit_id").alias("unit_id"),
-                                   F.posexplode("_r.observations").alias("arrival", "o")).select(
+    # malformed text parses to a struct of nulls (or null): no observations array
+    malformed = F.col("_r").isNull() | F.col("_r.observations").isNull()
+    empty = ~malformed & (F.size("_r.observations") == 0)
+    reason = F.when(malformed, "malformed JSON").when(empty, "no observations")
+    checked = parsed.withColumn("reason", reason)
+    rows = checked.where(F.col("reason").isNull()).select(
+        key, F.col("_r.unit_id").alias("unit_id"), F.posexplode("_r.observations").alias("arrival", "o")).select(
         key, "unit_id", "arrival", "o.*")
-    bad = parsed.where(~ok | F.col("_r").isNull()).select(
-        key, F.when(F.col("_r").isNull(), "malformed JSON").otherwise("no observations").alias("reason"))
+    bad = checked.where(F.col("reason").isNotNull()).select(key, "reason")
     return rows, bad
 
 
