@@ -58,6 +58,7 @@ def _output_schema(sensors: Sequence[str]) -> T.StructType:
 
 
 STATE_SCHEMA = T.StructType([
+    T.StructField("first", T.LongType()),
     T.StructField("cycles", T.ArrayType(T.LongType())),
     T.StructField("values", T.ArrayType(T.ArrayType(T.DoubleType()))),
     T.StructField("flags", T.ArrayType(T.BooleanType())),
@@ -67,10 +68,10 @@ STATE_SCHEMA = T.StructType([
 def _update_unit(sensors: Sequence[str], window: int, required: int):
     def fn(key, batches, state):
         if state.exists:
-            cycles, values, flags = state.get
+            first, cycles, values, flags = state.get
             cycles, values, flags = list(cycles), [list(v) for v in values], list(flags)
         else:
-            cycles, values, flags = [], [], []
+            first, cycles, values, flags = None, [], [], []
         out = []
         pdf = pd.concat(list(batches), ignore_index=True)
         pdf = pdf.sort_values("arrival", kind="stable")
@@ -78,7 +79,8 @@ def _update_unit(sensors: Sequence[str], window: int, required: int):
             cyc = int(row.cycle)
             rec = {"unit_id": int(key[0]), "cycle": cyc}
             if cycles and cyc <= cycles[-1]:
-                rec["status"] = "duplicate" if cyc in cycles else "out_of_order"
+                # accepted cycles are one contiguous range [first, last]
+                rec["status"] = "duplicate" if cyc >= first else "out_of_order"
                 out.append(rec)
                 continue
             if cycles and cyc != cycles[-1] + 1:
@@ -89,6 +91,7 @@ def _update_unit(sensors: Sequence[str], window: int, required: int):
                 rec["status"] = "non_positive"
                 out.append(rec)
                 continue
+            first = cyc if first is None else first
             vals = [float(getattr(row, s)) for s in sensors]
             cycles, values, flags = (cycles + [cyc])[-BUFFER:], (values + [vals])[-BUFFER:], (
                 flags + [bool(row.exceeded)])[-BUFFER:]
@@ -108,7 +111,7 @@ def _update_unit(sensors: Sequence[str], window: int, required: int):
             rec["recent_size"] = len(recent)
             rec["alert_active"] = len(recent) >= window and sum(recent) >= required
             out.append(rec)
-        state.update((cycles, values, flags))
+        state.update((first, cycles, values, flags))
         cols = [f.name for f in _output_schema(sensors).fields]
         res = pd.DataFrame(out, columns=cols)
         yield res.astype({"unit_id": "int64", "cycle": "int64"})
