@@ -32,9 +32,10 @@ class Query:
 REGISTRY: dict[str, Query] = {}
 
 
-def rounded(sql: str, cols: Sequence[str], digits: int = 6) -> str:
+def rounded(sql: str, cols: Sequence[str], digits: int = 6, coarse: dict | None = None) -> str:
     """Wrap oracle SQL so the listed double columns are rounded like ``finish``."""
-    rep = ", ".join(f"round({c}, {digits}) AS {c}" for c in cols)
+    coarse = coarse or {}
+    rep = ", ".join(f"round({c}, {coarse.get(c, digits)}) AS {c}" for c in cols)
     return f"WITH _res AS (\n{sql.strip()}\n)\nSELECT * REPLACE ({rep}) FROM _res"
 
 
@@ -60,7 +61,7 @@ def bigint_counts(sql: str) -> str:
 
 
 def register(name: str, ops: Sequence[str] = (), sql: str | None = None, views: Sequence[str] = (),
-             round_cols: Sequence[str] = (), trains: bool = False):
+             round_cols: Sequence[str] = (), trains: bool = False, coarse: dict | None = None):
     """Decorator: record a builder under ``name`` with its oracle SQL.
 
     ``views`` lists fixture views (traj, obs, vecs) the SQL reads; their
@@ -72,7 +73,7 @@ def register(name: str, ops: Sequence[str] = (), sql: str | None = None, views:
 
     def deco(fn: Builder) -> Builder:
         text = bigint_counts(sql) if sql else sql
-        text = rounded(text, round_cols) if (text and round_cols) else text
+        text = rounded(text, round_cols, coarse=coarse) if (text and round_cols) else text
         text = with_views(text, *views) if (text and views) else text
         REGISTRY[name] = Query(name, fn, text, tuple(ops), (fn.__doc__ or "").strip(), trains)
         return fn
@@ -80,12 +81,17 @@ def register(name: str, ops: Sequence[str] = (), sql: str | None = None, views:
     return deco
 
 
-def finish(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double column (the oracle does the same) for stable hashing."""
+def finish(df: DataFrame, digits: int = 6, coarse: dict | None = None) -> DataFrame:
+    """Round every double column (the oracle does the same) for stable hashing.
+
+    ``coarse`` lowers the digits of large-magnitude aggregates (a variance of
+    1e9 carries engine-dependent noise in its 6th decimal).
+    """
+    coarse = coarse or {}
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            out.append(F.round(F.col(f.name).cast("double"), digits).alias(f.name))
+            out.append(F.round(F.col(f.name).cast("double"), coarse.get(f.name, digits)).alias(f.name))
         else:
             out.append(F.col(f.name))
     return df.select(*out)

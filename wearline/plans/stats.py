@@ -125,7 +125,8 @@ def unit_lifetime_summary(spark, sf_dir):
 AUDIT_ROUND = ["mean", "std", "minimum", "maximum", "variance", "range", "relative_range", "dominant_share"]
 
 
-@register("sensor_audit", ops=["A13", "A14", "A2", "P22", "P23"], views=["traj"], round_cols=AUDIT_ROUND, sql=f"""
+@register("sensor_audit", ops=["A13", "A14", "A2", "P22", "P23"], views=["traj"], round_cols=AUDIT_ROUND,
+          coarse={"variance": 2}, sql=f"""
 WITH l AS ({_long_sql(SENSORS5 + ["l_linenumber"], "traj", name="sensor")}),
 top AS (SELECT sensor, max(c) AS top FROM (SELECT sensor, value, count(*) AS c FROM l GROUP BY sensor, value)
         GROUP BY sensor),
@@ -142,7 +143,7 @@ FROM a JOIN top USING (sensor)""")
 def sensor_audit(spark, sf_dir):
     """Per-sensor spread, uniqueness, relative range and constant / near-constant
     labels (the constant and near-constant lists are filters on this table)."""
-    return finish(stats.column_audit(tables.traj(spark, sf_dir), SENSORS5 + ["l_linenumber"]))
+    return finish(stats.column_audit(tables.traj(spark, sf_dir), SENSORS5 + ["l_linenumber"]), coarse={"variance": 2})
 
 
 @register("settings_audit", ops=["A15"], views=["traj"], round_cols=DESCRIBE_ROUND + ["range"], sql=f"""
