@@ -22,13 +22,16 @@ from wearline.session import get_session  # noqa: E402
 from wearline.sources.tables import TABLES  # noqa: E402
 
 
+STRICT = os.environ.get("STRICT") == "1"
+
+
 def norm(v):
     if v is None:
         return ("~",)
     if isinstance(v, float):
         if math.isnan(v):
             return ("nan",)
-        return ("f", round(v, 5))
+        return ("f", v if STRICT else round(v, 5))
     if hasattr(v, "item"):
         return norm(v.item())
     if isinstance(v, (list, tuple)):

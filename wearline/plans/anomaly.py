@@ -67,11 +67,11 @@ dev AS (
   GROUP BY unit_id)
 SELECT l.unit_id,
        l.cycle AS history_cycle_count,
-       round(l.score, 6) AS current_anomaly_score,
-       round(least(greatest(100e0 * (SELECT count(*) FROM ref WHERE ref.score <= l.score)
-             / (SELECT count(*) FROM ref), 0e0), 100e0), 6) AS anomaly_percentile,
-       round(97.5e0, 6) AS threshold_percentile,
-       round(l.raw_threshold, 6) AS raw_threshold,
+       l.score AS current_anomaly_score,
+       least(greatest(100e0 * (SELECT count(*) FROM ref WHERE ref.score <= l.score)
+             / (SELECT count(*) FROM ref), 0e0), 100e0) AS anomaly_percentile,
+       97.5e0 AS threshold_percentile,
+       l.raw_threshold AS raw_threshold,
        l.exceeded AS current_threshold_exceeded,
        l.recent_size AS recent_window_size,
        l.pat AS recent_exceedance_pattern,
@@ -85,7 +85,8 @@ FROM latest l JOIN dev USING (unit_id)
 
 @register("fleet_alert_status",
           ops=["P4", "F2", "M2", "J7", "P28", "M16", "A43", "P20", "G8", "G16", "G11", "G17", "T3", "P21", "X1", "X2"],
-          sql=FLEET_ALERT_SQL, views=["traj"])
+          sql=FLEET_ALERT_SQL, views=["traj"],
+          round_cols=["current_anomaly_score", "anomaly_percentile", "threshold_percentile", "raw_threshold"])
 def fleet_alert_status(spark, sf_dir):
     """Per-unit anomaly status with the statistical detector (flagship)."""
     t = tables.traj(spark, sf_dir)

@@ -402,8 +402,8 @@ CANDIDATES = ["sensor_1", "sensor_2", "sensor_3", "sensor_4"]
           round_cols=["spearman", "healthy_median", "critical_median", "stage_gap", "healthy_alert_pct",
                       "critical_alert_pct", "mean_rank"], sql=f"""
 WITH {SCORED_SQL},
-l AS ({" UNION ALL ".join(f"SELECT '{c}' AS detector, unit_id, cycle, raw_rul, abs(z_{c}) AS d FROM s"
-                          for c in CANDIDATES)}),
+l AS ({" UNION ALL ".join(f"SELECT '{c}' AS detector, unit_id, cycle, raw_rul, "
+                          f"round(abs(z_{c}) * 1e9, 0) / 1e9 AS d FROM s" for c in CANDIDATES)}),
 th AS (SELECT detector, quantile_cont(d, 0.975) AS t FROM l WHERE raw_rul > 125 GROUP BY detector),
 k AS (SELECT l.*, th.t,
              rank() OVER (PARTITION BY detector ORDER BY d) + (count(*) OVER (PARTITION BY detector, d) - 1) / 2e0 AS rd,
@@ -433,7 +433,10 @@ def detector_selection(spark, sf_dir):
     healthy / critical stage medians and alert rates) and picked by the mean
     of per-metric average ranks."""
     sc = scored_fleet(spark, sf_dir)
-    lf = stats.long_form(sc.select("unit_id", "cycle", "raw_rul", *[F.abs(f"z_{c}").alias(c) for c in CANDIDATES]),
+    # scores quantised to 1e-9 so that ties (|z| of mirrored deviations) do not
+    # depend on the last ulp of the fitted mean, which differs between engines
+    q = lambda c: F.round(F.abs(F.col(f"z_{c}")) * 1e9, 0) / 1e9
+    lf = stats.long_form(sc.select("unit_id", "cycle", "raw_rul", *[q(c).alias(c) for c in CANDIDATES]),
                          ["unit_id", "cycle", "raw_rul"], CANDIDATES, "detector", "d")
     lf = materialize(lf, "detector-long")
     healthy = F.col("raw_rul") > C.NORMAL_REFERENCE_RUL

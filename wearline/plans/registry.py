@@ -32,10 +32,18 @@ class Query:
 REGISTRY: dict[str, Query] = {}
 
 
+SIGNIFICANT = 8
+
+
+def _sig_sql(c: str) -> str:
+    d = f"least(12, greatest(0, {SIGNIFICANT - 1} - floor(log10(abs({c})))))"
+    return (f"CASE WHEN {c} IS NULL OR isnan({c}) OR isinf({c}) OR {c} = 0 THEN {c} "
+            f"ELSE round({c} * pow(10, {d}), 0) / pow(10, {d}) END")
+
+
 def rounded(sql: str, cols: Sequence[str], digits: int = 6, coarse: dict | None = None) -> str:
     """Wrap oracle SQL so the listed double columns are rounded like ``finish``."""
-    coarse = coarse or {}
-    rep = ", ".join(f"round({c}, {coarse.get(c, digits)}) AS {c}" for c in cols)
+    rep = ", ".join(f"{_sig_sql(c)} AS {c}" for c in cols)
     return f"WITH _res AS (\n{sql.strip()}\n)\nSELECT * REPLACE ({rep}) FROM _res"
 
 
@@ -81,17 +89,29 @@ def register(name: str, ops: Sequence[str] = (), sql: str | None = None, views:
     return deco
 
 
-def finish(df: DataFrame, digits: int = 6, coarse: dict | None = None) -> DataFrame:
-    """Round every double column (the oracle does the same) for stable hashing.
+def round_significant(c, significant: int = SIGNIFICANT):
+    """Round to ``significant`` digits with the same double arithmetic as the
+    oracle: d = clamp(s - 1 - floor(log10|x|), 0, 12); round(x * 10^d) / 10^d.
 
-    ``coarse`` lowers the digits of large-magnitude aggregates (a variance of
-    1e9 carries engine-dependent noise in its 6th decimal).
+    Aggregates of 2-decimal data often sit exactly on a decimal half at the
+    6th decimal, where two engines' last-ulp differences flip a fixed-decimal
+    round; eight significant digits lie past those terminating expansions and
+    scale with the magnitude (a 1e9 variance keeps no decimals), while still
+    leaving room for cancellation noise in differences of aggregates.
     """
-    coarse = coarse or {}
+    d = F.least(F.lit(12), F.greatest(F.lit(0), F.lit(significant - 1) - F.floor(F.log10(F.abs(c)))))
+    scale = F.pow(F.lit(10.0), d)
+    special = c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")) | (c == 0)
+    return F.when(special, c).otherwise(F.round(c * scale, 0) / scale)
+
+
+def finish(df: DataFrame) -> DataFrame:
+    """Round every double column to eight significant digits (the oracle wraps
+    its SQL the same way) so both engines emit identical values."""
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            out.append(F.round(F.col(f.name).cast("double"), coarse.get(f.name, digits)).alias(f.name))
+            out.append(round_significant(F.col(f.name).cast("double")).alias(f.name))
         else:
             out.append(F.col(f.name))
     return df.select(*out)
