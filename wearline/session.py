@@ -28,9 +28,13 @@ def get_session(master: str | None = None, app: str = "wearline", **conf: str) -
     On a cluster ``master`` is left to spark-submit; tests pass ``local[*]``.
     """
     builder = SparkSession.builder.appName(app)
+    local_conf = {}
     if master:
         builder = builder.master(master)
-    for key, value in {**BASE_CONF, **conf}.items():
+        if master.startswith("local"):
+            # local mode: the driver JVM is the only executor
+            local_conf["spark.driver.memory"] = "8g"
+    for key, value in {**BASE_CONF, **local_conf, **conf}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
