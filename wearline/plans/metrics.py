@@ -241,3 +241,26 @@ def fold_metric_summary(spark, sf_dir):
 
 
 del detect
+
+
+@register("policy_summary_join", ops=["J5", "U6", "A27"], views=["obs"],
+          round_cols=["threshold", "a_precision", "a_recall", "b_precision", "b_recall"], sql=f"""
+WITH c AS (SELECT policy, threshold,
+                  count_if(score_a >= threshold AND failure = 1) AS a_tp, count_if(score_a >= threshold) AS a_pp,
+                  count_if(score_b >= threshold AND failure = 1) AS b_tp, count_if(score_b >= threshold) AS b_pp,
+                  count_if(failure = 1) AS pos
+           FROM obs, {POLICY_SQL} GROUP BY policy, threshold)
+SELECT policy, threshold,
+       coalesce(a_tp / nullif(a_pp, 0), 0) AS a_precision, coalesce(a_tp / nullif(pos, 0), 0) AS a_recall,
+       coalesce(b_tp / nullif(b_pp, 0), 0) AS b_precision, coalesce(b_tp / nullif(pos, 0), 0) AS b_recall
+FROM c""")
+def policy_summary_join(spark, sf_dir):
+    """Two policy tables (one per score) joined on the policy label, their
+    metric columns prefixed per score."""
+    th = spark.createDataFrame(POLICY_ROWS, "policy string, threshold double")
+    o = tables.obs(spark, sf_dir)
+    a = metrics.confusion(o, "score_a", "failure", th).select("policy", "threshold", "precision", "recall")
+    b = metrics.confusion(o, "score_b", "failure", th).select("policy", "precision", "recall")
+    a = joins.prefixed(a, "a_", keep=["policy", "threshold"])
+    b = joins.prefixed(b, "b_", keep=["policy"])
+    return finish(a.join(b, "policy"))

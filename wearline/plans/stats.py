@@ -38,7 +38,7 @@ def type_failure_crosstab(spark, sf_dir):
     return finish(stats.frequency(tables.obs(spark, sf_dir), ["type", "failure"], total_over=["type"]))
 
 
-@register("failure_mode_means", ops=["A3", "A4", "U5"], views=["obs"],
+@register("failure_mode_means", ops=["A3", "A4", "U5", "X4"], views=["obs"],
           round_cols=[f"mean_{c}" for c in NUMERICS], sql=f"""
 WITH m AS ({"\nUNION ALL\n".join(
     f"SELECT '{m}' AS mode, {m} AS flag, {', '.join(NUMERICS)} FROM obs" for m in C.FAILURE_MODES)})
@@ -63,7 +63,7 @@ def target_group_means(spark, sf_dir):
 DESCRIBE_ROUND = ["mean", "std", "min", "max", "p25", "p50", "p75"]
 
 
-@register("describe_machine", ops=["A7"], views=["obs"], round_cols=DESCRIBE_ROUND, sql=f"""
+@register("describe_machine", ops=["A7", "X4"], views=["obs"], round_cols=DESCRIBE_ROUND, sql=f"""
 WITH l AS ({_long_sql(NUMERICS, "obs")})
 SELECT "column", count(value) AS count, avg(value) AS mean, stddev_samp(value) AS std, min(value) AS min,
        quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.75) AS p75,
@@ -125,7 +125,7 @@ def unit_lifetime_summary(spark, sf_dir):
 AUDIT_ROUND = ["mean", "std", "minimum", "maximum", "variance", "range", "relative_range", "dominant_share"]
 
 
-@register("sensor_audit", ops=["A13", "A14", "A2", "P22", "P23"], views=["traj"], round_cols=AUDIT_ROUND, sql=f"""
+@register("sensor_audit", ops=["A13", "A14", "A2", "P22", "P23", "X4"], views=["traj"], round_cols=AUDIT_ROUND, sql=f"""
 WITH l AS ({_long_sql(SENSORS5 + ["l_linenumber"], "traj", name="sensor")}),
 top AS (SELECT sensor, max(c) AS top FROM (SELECT sensor, value, count(*) AS c FROM l GROUP BY sensor, value)
         GROUP BY sensor),

@@ -111,3 +111,28 @@ def event_props_ingest(spark, sf_dir):
     return ev.groupBy("event_type").agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(ok).alias("parsed"), F.count_if("quarantine").alias("quarantined"),
         F.sum(F.when(ok, F.col("k"))).alias("sum_k"), F.max(F.when(ok, F.col("k"))).alias("max_k"))
+
+
+@register("dataset_contract_gate", ops=["S4", "S5", "S6", "V1"], views=["traj"], sql="""
+WITH a AS (SELECT count(*) AS rows, count(DISTINCT unit_id) AS units,
+                  CAST(count_if(unit_id IS NULL) + count_if(cycle IS NULL) + count_if(sensor_1 IS NULL)
+                       + count_if(sensor_2 IS NULL) + count_if(sensor_3 IS NULL) + count_if(sensor_4 IS NULL)
+                       + count_if(sensor_5 IS NULL) AS BIGINT) AS null_cells FROM traj),
+e AS (SELECT count(*) AS expected_units FROM supplier)
+SELECT rows, units, null_cells, expected_units, units = expected_units AND null_cells = 0 AS contract_ok,
+       '' AS column_problems
+FROM a, e""")
+def dataset_contract_gate(spark, sf_dir):
+    """Dataset gate: one aggregate (rows, units, missing cells) checked against
+    the expected unit count from the unit dimension, plus the metadata-only
+    column contract (duplicates, missing, forbidden target / label names)."""
+    cols = ["unit_id", "cycle", "sensor_1", "sensor_2", "sensor_3", "sensor_4", "sensor_5"]
+    t = validate.allow_list(tables.traj(spark, sf_dir), cols)
+    problems = "; ".join(validate.column_contract(t.columns, cols))
+    a = t.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("unit_id").alias("units"),
+              sum((F.count_if(F.col(c).isNull()) for c in cols), F.lit(0)).cast("bigint").alias("null_cells"))
+    e = tables.table(spark, sf_dir, "supplier").agg(F.count(F.lit(1)).alias("expected_units"))
+    return a.crossJoin(e).select(
+        "rows", "units", "null_cells", "expected_units",
+        ((F.col("units") == F.col("expected_units")) & (F.col("null_cells") == 0)).alias("contract_ok"),
+        F.lit(problems).alias("column_problems"))
