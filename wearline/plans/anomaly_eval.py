@@ -258,6 +258,11 @@ study AS (SELECT seed, cutoff, any_value(threshold) AS threshold, corr(rs, rr) A
 
 
 def _study(spark, sf_dir):
+    """The study table, stored once per session (see :func:`_build_study`)."""
+    return tables.stored(spark, sf_dir, "sensitivity-study", _build_study)
+
+
+def _build_study(spark, sf_dir):
     """5 unit splits x 3 reference cutoffs in one job keyed by (seed, cutoff).
 
     Rows are replicated once per (seed, cutoff); every fit (scaler, threshold)
