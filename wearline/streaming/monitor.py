@@ -65,6 +65,47 @@ STATE_SCHEMA = T.StructType([
 ])
 
 
+def _fast_rows(key, cycles, values, flags, pdf, sensors, window, required):
+    """Vectorised update when the batch continues the unit's contiguous cycles.
+
+    Windows end at every new row and reach back into the carried buffer
+    (the last ``BUFFER`` accepted rows); statistics match the row loop.
+    """
+    from numpy.lib.stride_tricks import sliding_window_view
+    k = len(sensors)
+    new_v = pdf[list(sensors)].to_numpy(dtype=float)
+    new_f = pdf["exceeded"].to_numpy(dtype=bool)
+    buf_v = np.array(values, dtype=float).reshape(-1, k)
+    all_v = np.vstack([buf_v, new_v])
+    all_f = np.concatenate([np.array(flags, dtype=bool), new_f])
+    b, m = len(buf_v), len(all_v)
+    idx = np.arange(b, m)
+    pad = np.vstack([np.full((4, k), np.nan), all_v])
+    win = sliding_window_view(pad, 5, axis=0)[idx]          # (n, k, 5)
+    mean = np.nanmean(win, axis=2)
+    std = np.nanstd(win, axis=2)
+    lag1 = np.where((idx >= 1)[:, None], all_v[np.maximum(idx - 1, 0)], np.nan)
+    lag5 = np.where((idx >= 5)[:, None], all_v[np.maximum(idx - 5, 0)], np.nan)
+    fw = sliding_window_view(np.concatenate([np.zeros(window - 1), all_f.astype(np.int64)]), window)[idx]
+    cw = sliding_window_view(np.concatenate([np.zeros(window - 1), np.ones(m, dtype=np.int64)]), window)[idx]
+    out = {"unit_id": np.full(len(idx), int(key[0]), dtype=np.int64), "cycle": pdf["cycle"].to_numpy(np.int64),
+           "status": "ok"}
+    for j, s in enumerate(sensors):
+        out[f"{s}_lag_1"] = lag1[:, j]
+        out[f"{s}_lag_5"] = lag5[:, j]
+        out[f"{s}_rolling_mean_5"] = mean[:, j]
+        out[f"{s}_rolling_std_5"] = std[:, j]
+        out[f"{s}_delta_1"] = all_v[idx, j] - lag1[:, j]
+    out["exceeded"] = all_f[idx]
+    out["recent_count"] = fw.sum(axis=1)
+    out["recent_size"] = cw.sum(axis=1)
+    out["alert_active"] = (out["recent_size"] >= window) & (out["recent_count"] >= required)
+    new_cycles = list(cycles) + [int(c) for c in pdf["cycle"]]
+    keep = slice(-BUFFER, None)
+    return (pd.DataFrame(out), new_cycles[keep], [[float(x) for x in r] for r in all_v[keep]],
+            [bool(x) for x in all_f[keep]])
+
+
 def _update_unit(sensors: Sequence[str], window: int, required: int):
     def fn(key, batches, state):
         if state.exists:
@@ -75,6 +116,14 @@ def _update_unit(sensors: Sequence[str], window: int, required: int):
         out = []
         pdf = pd.concat(list(batches), ignore_index=True)
         pdf = pdf.sort_values("arrival", kind="stable")
+        cols = [f.name for f in _output_schema(sensors).fields]
+        cyc = pdf["cycle"].to_numpy(dtype=np.int64)
+        start = cycles[-1] + 1 if cycles else (int(cyc[0]) if len(cyc) else 1)
+        if len(cyc) and start > 0 and np.array_equal(cyc, np.arange(start, start + len(cyc))):
+            res, cycles, values, flags = _fast_rows(key, cycles, values, flags, pdf, sensors, window, required)
+            state.update((first if first is not None else int(cyc[0]), cycles, values, flags))
+            yield res[cols]
+            return
         for row in pdf.itertuples(index=False):
             cyc = int(row.cycle)
             rec = {"unit_id": int(key[0]), "cycle": cyc}
@@ -112,7 +161,6 @@ def _update_unit(sensors: Sequence[str], window: int, required: int):
             rec["alert_active"] = len(recent) >= window and sum(recent) >= required
             out.append(rec)
         state.update((first, cycles, values, flags))
-        cols = [f.name for f in _output_schema(sensors).fields]
         res = pd.DataFrame(out, columns=cols)
         yield res.astype({"unit_id": "int64", "cycle": "int64"})
 
