@@ -122,8 +122,11 @@ def fleet_alert_status(
     flagged = scored.crossJoin(F.broadcast(threshold)).withColumn(
         "exceeded", X.exceeded("score", "raw_threshold")
     )
+    # only the newest row is reported and its frame reaches window - 1 rows
+    # back, so the window runs on each unit's last `window` cycles only
+    recent = flagged.where(F.col("raw_rul") < window)
     win = trailing_columns(
-        flagged,
+        recent,
         {**persistence_columns("exceeded", window, required), **recent_pattern_columns("exceeded", window)},
         lookback=window - 1,
     )
