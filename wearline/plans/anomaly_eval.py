@@ -201,11 +201,15 @@ FROM t""")
 def top_anomalous_rows(spark, sf_dir):
     """The 50 most anomalous rows with their most extreme sensor and |z|."""
     sc = scored_fleet(spark, sf_dir)
-    top = sc.orderBy(F.desc("score"), "unit_id", "cycle").limit(50)
-    first = detect.top_deviations(S, 1)[0]
-    return finish(top.select("unit_id", "cycle", "score",
-                             F.abs(first["standardized_deviation"]).alias("max_abs_z"),
-                             first["sensor"].alias("extreme_sensor")))
+    # row-local columns first (argmax with first-index ties), then the top-k:
+    # the rounding projection above the limit only sees attributes, so the
+    # plan stays TakeOrderedAndProject (per-partition top 50, no global sort)
+    zmax = F.greatest(*[F.abs(f"z_{s}") for s in S])
+    arg = None
+    for s in S:
+        arg = F.when(F.abs(f"z_{s}") == zmax, s) if arg is None else arg.when(F.abs(f"z_{s}") == zmax, s)
+    rows = sc.select("unit_id", "cycle", "score", zmax.alias("max_abs_z"), arg.alias("extreme_sensor"))
+    return finish(rows.orderBy(F.desc("score"), "unit_id", "cycle").limit(50))
 
 
 @register("top_rows_sensor_profile", ops=["A54", "T4"], views=["traj"], round_cols=["mean_abs_z"], sql=f"""
