@@ -74,8 +74,16 @@ def _stream_outputs(spark, sf_dir):
         batch.write.mode("overwrite").parquet(f"{rows_path}/batch={batch_id}")
         merge_latest(batch, batch_id)
 
-    q = (out.writeStream.foreachBatch(sink).option("checkpointLocation", scratch_path(spark, f"stream-ckpt-{run}"))
-         .trigger(availableNow=True).start())
+    # state partitions are fixed when a query first starts: size them to the
+    # cluster's cores rather than a batch-oriented shuffle setting
+    previous = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(max(1, spark.sparkContext.defaultParallelism)))
+    try:
+        q = (out.writeStream.foreachBatch(sink)
+             .option("checkpointLocation", scratch_path(spark, f"stream-ckpt-{run}"))
+             .trigger(availableNow=True).start())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", previous)
     q.awaitTermination()
     _RUNS[key] = (rows_path, latest_path)
     return _RUNS[key]

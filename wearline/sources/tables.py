@@ -50,9 +50,11 @@ def traj(spark: SparkSession, sf_dir: str) -> DataFrame:
 def build_traj(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (unit_id, cycle); cycles 1..n per supplier in ship order.
 
-    The per-unit numbering is computed per (supplier, ship day) and shifted
-    by the counts of earlier days, so a supplier holding a large share of
-    lineitem is numbered by many tasks instead of one.
+    The per-unit numbering is computed per (supplier, ship day, order-key
+    block) and shifted by the counts of earlier blocks, so a supplier holding
+    a large share of lineitem - even on a single day - is numbered by many
+    tasks instead of one.  The block is monotone in the sort key
+    (ship date, order key, ...), which keeps the numbering exact.
     """
     li = table(spark, sf_dir, "lineitem").select(
         "l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey",
@@ -61,7 +63,8 @@ def build_traj(spark: SparkSession, sf_dir: str) -> DataFrame:
     seq = sequence_number(
         li, ["l_suppkey"],
         ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"],
-        bucket=F.to_date("l_shipdate"), name="cycle",
+        bucket=F.struct(F.to_date("l_shipdate").alias("d"), F.floor(F.col("l_orderkey") / (1 << 16)).alias("b")),
+        name="cycle",
     )
     cycle = F.col("cycle").cast("bigint")
     return seq.select(

@@ -28,6 +28,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from .. import contracts as C
 from ..functions import columns as X
+from ..session import ship_package
 
 BUFFER = 6  # rows needed for lag_5
 
@@ -175,6 +176,7 @@ def unit_state_stream(stream: DataFrame, sensors: Sequence[str], window: int = C
     ``exceeded`` and the sensor columns.  Output mode append, one output row
     per input row.
     """
+    ship_package(stream.sparkSession)
     return stream.groupBy("unit_id").applyInPandasWithState(
         _update_unit(list(sensors), window, required), _output_schema(sensors), STATE_SCHEMA, "append",
         GroupStateTimeout.NoTimeout)
