@@ -39,3 +39,23 @@ def test_no_cross_unit_leakage(spark):
                                "unit_id long, cycle long, sensor_1 double")
     out = windows.add_temporal_features(df, ["sensor_1"]).where("cycle = 1").collect()
     assert all(r.sensor_1_lag_1 is None for r in out)
+
+
+def test_hot_unit_spreads_over_chunks(spark):
+    """One unit with a third of all rows: its window work is split into many
+    (unit, chunk) partitions and still equals the per-unit window."""
+    hot = spark.range(1, 30_001).select(F.lit(0).cast("long").alias("unit_id"), F.col("id").alias("cycle"))
+    cold = spark.range(0, 60_000).select((F.col("id") % 600 + 1).alias("unit_id"),
+                                         (F.floor(F.col("id") / 600) + 1).cast("long").alias("cycle"))
+    df = hot.unionByName(cold).withColumn("sensor_1", F.sin(F.col("cycle") * 0.7) + F.col("unit_id"))
+    df = df.withColumn("sensor_4", F.cos(F.col("cycle"))).withColumn("hot", F.col("sensor_4") > 0.2)
+    chunk = 4096
+    spread = df.where("unit_id = 0").select(F.floor((F.col("cycle") - 1) / chunk).alias("c")).distinct().count()
+    assert spread >= 7  # the hot unit's rows land in >= 7 window partitions
+    a = _feats(df, chunk=chunk).where("unit_id = 0").orderBy("cycle").collect()
+    b = _feats(df, chunk=None).where("unit_id = 0").orderBy("cycle").collect()
+    assert len(a) == len(b) == 30_000
+    for x, y in zip(a, b):
+        for k, v in x.asDict().items():
+            w = y[k]
+            assert (v == w) or (isinstance(v, float) and abs(v - w) < 1e-9), (k, v, w)
