@@ -15,15 +15,19 @@ import argparse
 import datetime as dt
 import json
 import os
+import sys
 
-from pyspark.ml import Pipeline
-from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
+if __package__ in (None, ""):  # run as a script (spark-submit wearline/jobs.py ...)
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from . import contracts as C
-from .operators import detect, forest, metrics, models, ordered, splits
-from .session import get_session
-from .sources import artifacts, tables
+from pyspark.ml import Pipeline  # noqa: E402
+from pyspark.sql import SparkSession  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+from wearline import contracts as C  # noqa: E402
+from wearline.operators import detect, forest, metrics, models, ordered, splits  # noqa: E402
+from wearline.session import get_session, ship_package  # noqa: E402
+from wearline.sources import artifacts, tables  # noqa: E402
 
 ANOMALY_SENSORS = ["sensor_1", "sensor_2", "sensor_3", "sensor_4", "sensor_5"]
 
@@ -61,7 +65,7 @@ def train_anomaly(spark: SparkSession, sf_dir: str, out: str, n_trees: int = 300
 
 def train_rul(spark: SparkSession, sf_dir: str, out: str) -> dict:
     """M27 model: imputer + forest on every unit; group-fold OOF metrics."""
-    from .plans.models import RUL_FEATURES, rul_features
+    from wearline.plans.models import RUL_FEATURES, rul_features
     f = rul_features(spark, sf_dir).cache()
     folds = splits.group_kfold(f, "unit_id", 5, 42)
     oof = models.out_of_fold(folds, "fold", 5, lambda d: models.rul_pipeline(RUL_FEATURES, "forest").fit(d),
@@ -109,6 +113,7 @@ def main() -> None:
     ap.add_argument("--out", required=True)
     args = ap.parse_args()
     spark = get_session()
+    ship_package(spark)
     fn = {"anomaly": train_anomaly, "rul": train_rul, "failure": train_failure}[args.job]
     meta = fn(spark, args.data, args.out)
     print(json.dumps({"job": args.job, "finished_utc": dt.datetime.now(dt.timezone.utc).isoformat(),
