@@ -170,6 +170,14 @@ def average_rank(
     return df.join(ranked, [*parts, value_col])
 
 
+def small_average_rank(df: DataFrame, value_col: str, name: str) -> DataFrame:
+    """Average rank for a table with a proven small size (e.g. one row per
+    candidate model): a plain window, no size check or key ranges."""
+    w = Window.orderBy(value_col)
+    ties = Window.partitionBy(value_col)
+    return df.withColumn(name, F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2.0)
+
+
 def exact_quantiles(
     df: DataFrame,
     value_col: str,

@@ -464,10 +464,11 @@ def detector_selection(spark, sf_dir):
         (100.0 * F.avg(F.when(critical, alert))).alias("critical_alert_pct"))
     m = rho.join(meds, "detector").join(rates, "detector").withColumn(
         "stage_gap", F.col("critical_median") - F.col("healthy_median"))
-    m = ordered.average_rank(m, "spearman", name="rank_spearman")
-    m = ordered.average_rank(m, "healthy_alert_pct", name="rank_healthy")
-    m = ordered.average_rank(m.withColumn("_neg_crit", -F.col("critical_alert_pct")), "_neg_crit",
-                             name="rank_critical").drop("_neg_crit")
+    # one row per candidate detector: a proven-small table
+    m = ordered.small_average_rank(m, "spearman", "rank_spearman")
+    m = ordered.small_average_rank(m, "healthy_alert_pct", "rank_healthy")
+    m = ordered.small_average_rank(m.withColumn("_neg_crit", -F.col("critical_alert_pct")), "_neg_crit",
+                                   "rank_critical").drop("_neg_crit")
     m = m.withColumn("mean_rank", (F.col("rank_spearman") + F.col("rank_healthy") + F.col("rank_critical")) / 3.0)
     best = m.agg(F.min_by("detector", F.struct("mean_rank", "detector")).alias("_best"))
     return finish(m.crossJoin(best).withColumn("selected", F.col("detector") == F.col("_best")).drop("_best"))
