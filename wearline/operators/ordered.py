@@ -46,16 +46,28 @@ def single_task_rows(spark) -> int:
     return int(spark.conf.get(SINGLE_TASK_CONF, str(SINGLE_TASK_DEFAULT)))
 
 
+MAX_BUCKETS = 1024
+
+
 def default_buckets(df: DataFrame) -> int:
     """Key ranges per ordering: a few per shuffle partition of the session."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
-    return max(4, 4 * n)
+    return max(4, min(MAX_BUCKETS, 4 * n))
 
 
 def _bucket_of(key: Column, bounds: Sequence[float]) -> Column:
-    # number of bounds strictly below the key -> 0..len(bounds)
-    arr = F.array(*[F.lit(float(b)) for b in bounds])
-    return F.size(F.filter(arr, lambda b: b < key))
+    """Number of bounds strictly below the key (0..len(bounds)).
+
+    A balanced CASE tree over the sorted bounds: log2(len) comparisons per
+    row inside generated code (an array ``filter`` would run interpreted).
+    """
+    def below(lo: int, hi: int) -> Column:
+        if lo >= hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(key > F.lit(float(bounds[mid])), below(mid + 1, hi)).otherwise(below(lo, mid))
+
+    return below(0, len(bounds))
 
 
 def prefix_sums(
