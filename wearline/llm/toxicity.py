@@ -1,22 +1,22 @@
 """Toxicity severity by cumulative-link ordinal regression.
 
 P(grade <= k) = sigmoid(theta[k+1] - w.x): one weight vector for all grades,
-ascending thresholds between them.  Features are the words of a text (A-Z
-folded, by 64-bit hash, no bucket shared) that at least ``min_docs`` training
-documents hold; a word that occurs c times counts log(1 + c).  The penalised
-likelihood (L1, so that chance words get no weight) is maximised by proximal
-gradient steps on a bounded sample: about ``per_class`` labelled rows of each
-grade, picked by a hash of the id.  Scoring covers every whole text.
+ascending thresholds between them.  Features are words and the 6-byte grams
+inside words (A-Z folded, by 64-bit hash); a feature that occurs c times in n
+words has the value log(1 + 1000 c / n).  The fit uses a bounded sample: about
+``per_class`` labelled rows of each grade, picked by a hash of the id.  Spark
+counts in how many toxic and clean sample texts each feature is; the features
+that toxic texts hold significantly more often, ``max_features`` at most, enter
+the model.  An L1 penalty picks among them.  Scoring covers every whole text.
 
-Labels that only say toxic or not are refined into grades: words that the
-sample's toxic texts hold far more often than the clean ones are the evidence,
-and toxic texts are cut at quantiles of evidence per word.
+Labels that only say toxic or not are refined into grades by quantiles of the
+evidence (the features' lift times their value) among toxic texts.
 
 Defined cases: a null or empty text has no feature and gets the expected
-severity of an empty text; rows with a null label are not trained on; a label
-table without both classes gives a model that scores every text 0; a label of
-an unknown id is not used; repeated rows are scored alike; other columns are
-not read.
+severity of an empty text; rows with a null label or id are not trained on; a
+label table without both classes gives a model that scores every text 0; a
+label of an unknown id is not used; an id with several labels takes the
+largest; repeated rows are scored alike; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,36 +27,59 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wearline.llm import text as tx
+from wearline.llm.common import store
+
+GRAM = 6
+U64 = np.uint64
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, word hash, count) of each distinct word of each document."""
+def occurrences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, feature hash) of every occurrence, and the words of each document."""
     words = tx.Words(data, offsets, tx.WORD)
-    h = words.hashes(lower=True)
-    order = np.lexsort((h, words.doc))
-    h, doc = h[order], words.doc[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    at = np.flatnonzero(new)
-    return doc[at], h[at], np.diff(np.append(at, len(h)))
+    values = tx._VALUES[True][data]
+    h = np.zeros(max(0, len(data) - GRAM + 1), np.uint64)
+    for j in range(GRAM):
+        h = h * U64(tx._BASE) + values[j : j + len(h)]
+    long = words.end - words.start >= GRAM
+    size = (words.end - words.start - GRAM + 1)[long]
+    at = np.arange(size.sum()) + np.repeat(words.start[long] - (np.cumsum(size) - size), size)
+    return np.concatenate([words.doc, np.repeat(words.doc[long], size)]), np.concatenate([words.hashes(lower=True), tx.mix(h[at] + U64(GRAM))]), words.count
+
+
+class Vocabulary:
+    """Sorted feature hashes with a bit table in front, so that few occurrences need a search."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.sort(hashes)
+        self.table = np.zeros(1 << 20, bool)
+        self.table[(self.hashes & U64((1 << 20) - 1)).astype(np.int64)] = True
+
+    def values(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, feature index, value) of the known features."""
+        doc, h, words = occurrences(data, offsets)
+        maybe = np.flatnonzero(self.table[(h & U64((1 << 20) - 1)).astype(np.int64)])
+        h, doc = h[maybe], doc[maybe]
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1) if len(self.hashes) else np.zeros(0, np.int64)
+        known = self.hashes[at] == h if len(self.hashes) else np.zeros(0, bool)
+        pair, count = np.unique(doc[known] * max(1, len(self.hashes)) + at[known], return_counts=True)
+        doc, column = pair // max(1, len(self.hashes)), pair % max(1, len(self.hashes))
+        return doc, column, np.log1p(1000.0 * count / words[doc])
 
 
 class OrdinalModel:
-    """Sorted feature hashes, their shared weights and the thresholds."""
+    """A vocabulary, its shared weights and the thresholds."""
 
-    def __init__(self, vocabulary: np.ndarray, weights: np.ndarray, thresholds: np.ndarray):
-        self.vocabulary, self.weights, self.thresholds = vocabulary, weights, thresholds
+    def __init__(self, hashes: np.ndarray, weights: np.ndarray, thresholds: np.ndarray):
+        order = np.argsort(hashes)
+        self.vocabulary, self.weights, self.thresholds = Vocabulary(hashes), weights[order], thresholds
 
-    def linear(self, doc: np.ndarray, h: np.ndarray, count: np.ndarray, docs: int) -> np.ndarray:
-        if not len(self.vocabulary):
-            return np.zeros(docs)
-        at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
-        known = self.vocabulary[at] == h
-        return np.bincount(doc[known], self.weights[at[known]] * np.log1p(count[known]), minlength=docs)
+    def linear(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        doc, column, value = self.vocabulary.values(data, offsets)
+        return np.bincount(doc, self.weights[column] * value, minlength=len(offsets) - 1)
 
     def grades(self, eta: np.ndarray) -> np.ndarray:
         """P(grade) per document: differences of the cumulative links."""
@@ -66,10 +89,10 @@ class OrdinalModel:
         return np.diff(np.concatenate([np.zeros((len(eta), 1)), upto, np.ones((len(eta), 1))], axis=1), axis=1)
 
 
-def fit_ordinal(doc: np.ndarray, column: np.ndarray, value: np.ndarray, grade: np.ndarray, columns: int, l1: float = 2e-3, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(doc: np.ndarray, column: np.ndarray, value: np.ndarray, grade: np.ndarray, columns: int, l1: float, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by accelerated proximal gradient on the mean negative log likelihood."""
     n, top = len(grade), int(grade.max())
-    weight = 1.0 / (np.bincount(grade, minlength=top + 1)[grade] * (top + 1))  # grades count alike
+    weight = np.full(n, 1.0 / n)
     times = lambda w: np.bincount(doc, w[column] * value, minlength=n)
     back = lambda r: np.bincount(column, r[doc] * value, minlength=columns)
     u = np.ones(columns)
@@ -92,7 +115,7 @@ def fit_ordinal(doc: np.ndarray, column: np.ndarray, value: np.ndarray, grade: n
         up, down = weight * upper * (1 - upper) / p, weight * lower * (1 - lower) / p
         for k in range(top):
             pull = up[grade == k].sum() - down[grade == k + 1].sum()
-            theta[k] += np.clip(4.0 * pull, -0.25, 0.25)
+            theta[k] += np.clip(2.0 * pull, -0.25, 0.25)
         for k in range(1, top):  # ascending, a little apart
             theta[k] = max(theta[k], theta[k - 1] + 0.05)
         after = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
@@ -101,69 +124,116 @@ def fit_ordinal(doc: np.ndarray, column: np.ndarray, value: np.ndarray, grade: n
     return w, theta
 
 
-def refine_grades(doc: np.ndarray, h_column: np.ndarray, count: np.ndarray, words: np.ndarray, toxic: np.ndarray, columns: int, grades: int) -> np.ndarray:
-    """Grades 1 to ``grades`` - 1 of the toxic documents, by evidence per word."""
-    bad = np.bincount(h_column[toxic[doc]], minlength=columns)
-    good = np.bincount(h_column[~toxic[doc]], minlength=columns)
-    lift = np.log((bad + 0.5) / (toxic.sum() + 1)) - np.log((good + 0.5) / ((~toxic).sum() + 1))
-    evidence = (lift > 2.0) & (bad >= 5)
-    density = np.bincount(doc, evidence[h_column] * count, minlength=len(toxic)) / np.maximum(words, 1)
-    cuts = np.quantile(density[toxic], np.arange(1, grades - 1) / (grades - 1)) if grades > 2 else np.zeros(0)
-    return np.where(toxic, 1 + np.searchsorted(cuts, density, "right"), 0)
+def fit_relaxed(doc: np.ndarray, column: np.ndarray, value: np.ndarray, grade: np.ndarray, columns: int, relax: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+    """Fit twice: the penalty picks the words, then those alone are fitted with ``relax`` of it, without its shrinkage.
+
+    Columns are scaled to a root mean square of one.  The penalty is the
+    universal threshold: what the largest of ``columns`` chance words reaches.
+    """
+    n, share = len(grade), float((grade > 0).mean())
+    scale = np.sqrt(np.bincount(column, value**2, minlength=columns) / n)
+    scale[scale == 0] = 1.0
+    scaled = value / scale[column]
+    l1 = np.sqrt(share * (1 - share)) * np.sqrt(2 * np.log(max(2, columns)) / n)
+    w, theta = fit_ordinal(doc, column, scaled, grade, columns, l1)
+    used = w != 0
+    own = used[column]
+    if own.any():
+        w = np.zeros(columns)
+        w[used], theta = fit_ordinal(doc[own], (np.cumsum(used) - 1)[column[own]], scaled[own], grade, int(used.sum()), l1 * relax, steps=600)
+    return w / scale, theta
+
+
+def refine_grades(evidence: np.ndarray, toxic: np.ndarray, grades: int) -> np.ndarray:
+    """0 for clean documents, 1 to ``grades`` - 1 for toxic ones by quantiles of their evidence."""
+    cuts = np.quantile(evidence[toxic], np.arange(1, grades - 1) / (grades - 1)) if grades > 2 else np.zeros(0)
+    grade = np.where(toxic, 1 + np.searchsorted(cuts, evidence, "left"), 0)
+    return np.unique(grade, return_inverse=True)[1]  # ties may leave a grade out
+
+
+def select_features(sample: DataFrame, sizes: dict[bool, int], min_z: float, max_features: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, lifts) of the features that toxic texts hold significantly more often."""
+    counts = sample.mapInArrow(_document_frequencies, "h long, bad long, good long").groupBy("h").agg(
+        F.sum("bad").alias("bad"), F.sum("good").alias("good")
+    )
+    bad, good = F.col("bad") / sizes[True], F.col("good") / sizes[False]
+    p = (F.col("bad") + F.col("good")) / (sizes[True] + sizes[False])
+    z = (bad - good) / F.sqrt(p * (1 - p) * (1 / sizes[True] + 1 / sizes[False]) + 1e-12)
+    lift = F.log((F.col("bad") + 0.5) / (sizes[True] + 1)) - F.log((F.col("good") + 0.5) / (sizes[False] + 1))
+    rows = counts.where(F.col("bad") >= 4).select("h", z.alias("z"), lift.alias("lift")).where(F.col("z") >= min_z).orderBy(F.desc("z"), "h").limit(max_features).collect()
+    return np.array([r["h"] for r in rows], np.int64).view(np.uint64), np.array([r["lift"] for r in rows], float)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          grades: int = 4, per_class: int = 4000, min_docs: int = 5) -> OrdinalModel:
-    """Fit on about ``per_class`` rows of each label; a label column with values above 1 is taken as grades."""
+          grades: int = 4, per_class: int = 4000, min_z: float = 4.0, max_features: int = 5000) -> OrdinalModel:
+    """Fit on about ``per_class`` distinct texts of each label; a label column with values above 1 is taken as grades."""
     own = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg(
         F.max(F.col(label_col).cast("int")).alias("_label")
     )
     sizes = {r["_label"]: r["n"] for r in own.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
     empty = OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
-    if len(sizes) < 2 or min(sizes) < 0:
+    if len(sizes) < 2 or min(sizes) != 0:
         return empty
     draw = F.pmod(F.xxhash64("_id", F.lit("train")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     picked = F.lit(False)
     for label, n in sizes.items():
         picked = picked | ((F.col("_label") == label) & (draw < min(1.0, per_class / n)))
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    # the sample is bounded by per_class rows a label; its features, not its texts, come to the driver
-    sample = texts.join(F.broadcast(own.where(picked)), "_id").select("_label", "_text")
-    rows = sample.mapInArrow(_sample_features, "label int, words long, h array<long>, n array<long>").collect()
-    if not rows or len({r["label"] for r in rows}) < 2:
+    # bounded by per_class rows a label; equal texts of a label count once
+    sample = texts.join(F.broadcast(own.where(picked)), "_id").select("_label", "_text").dropDuplicates()
+    sample = store(sample, "toxicity-sample")
+    held = {r["bad"]: r["n"] for r in sample.groupBy((F.col("_label") > 0).alias("bad")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(held) < 2:
         return empty
-    rows.sort(key=lambda r: (r["label"], r["words"], r["h"][:8]))
+    hashes, lifts = select_features(sample, held, min_z, max_features)
+    order = np.argsort(hashes)
+    vocabulary, lifts = Vocabulary(hashes), lifts[order]
+    rows = sample.mapInArrow(_sample_values(vocabulary), "label int, columns array<long>, values array<double>").collect()
+    rows.sort(key=lambda r: (r["label"], r["columns"], r["values"]))
     label = np.array([r["label"] for r in rows])
-    doc = np.repeat(np.arange(len(rows)), [len(r["h"]) for r in rows])
-    h = np.concatenate([np.array(r["h"], np.int64) for r in rows]).view(np.uint64)
-    count = np.concatenate([np.array(r["n"], np.int64) for r in rows])
-    vocabulary, column, held = np.unique(h, return_inverse=True, return_counts=True)
-    often = held >= min_docs
-    keep = often[column]
-    column = (np.cumsum(often) - 1)[column[keep]]
-    doc, count, vocabulary = doc[keep], count[keep], vocabulary[often]
-    words = np.array([r["words"] for r in rows])
+    doc = np.repeat(np.arange(len(rows)), [len(r["columns"]) for r in rows])
+    column = np.array([c for r in rows for c in r["columns"]], np.int64)
+    value = np.array([v for r in rows for v in r["values"]], float)
     if label.max() == 1:
-        label = refine_grades(doc, column, count, words, label == 1, len(vocabulary), grades)
-    weights, thresholds = fit_ordinal(doc, column, np.log1p(count), label, len(vocabulary))
+        label = refine_grades(np.bincount(doc, lifts[column] * value, minlength=len(rows)), label == 1, grades)
+    weights, thresholds = fit_relaxed(doc, column, value, label, len(hashes))
     used = weights != 0
-    return OrdinalModel(vocabulary[used], weights[used], thresholds)
+    return OrdinalModel(vocabulary.hashes[used], weights[used], thresholds)
 
 
-def _sample_features(batches):
-    schema = pa.schema([("label", pa.int32()), ("words", pa.int64()), ("h", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))])
+def _document_frequencies(batches):
+    schema = pa.schema([("h", pa.int64()), ("bad", pa.int64()), ("good", pa.int64())])
     for batch in batches:
         data, offsets = tx.texts(batch.column("_text"))
+        label = batch.column("_label").to_numpy(zero_copy_only=False)
         for i, j in tx.pieces(offsets):
-            doc, h, count = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            cuts = pa.array(np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32))
-            words = np.bincount(doc, count, minlength=j - i).astype(np.int64)
+            doc, h, _ = occurrences(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            feature, at = np.unique(h, return_inverse=True)
+            pair = np.unique(doc * len(feature) + at) if len(feature) else np.zeros(0, np.int64)
+            bad = label[i:j][pair // max(1, len(feature))] > 0
+            at = pair % max(1, len(feature))
+            n = len(feature)
             yield pa.RecordBatch.from_arrays([
-                batch.column("_label").slice(i, j - i), pa.array(words),
-                pa.ListArray.from_arrays(cuts, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(cuts, pa.array(count.astype(np.int64))),
+                pa.array(feature.view(np.int64)), pa.array(np.bincount(at[bad], minlength=n)), pa.array(np.bincount(at[~bad], minlength=n)),
             ], schema=schema)
 
 
+def _sample_values(vocabulary: Vocabulary):
+    schema = pa.schema([("label", pa.int32()), ("columns", pa.list_(pa.int64())), ("values", pa.list_(pa.float64()))])
+
+    def values(batches):
+        for batch in batches:
+            data, offsets = tx.texts(batch.column("_text"))
+            for i, j in tx.pieces(offsets):
+                doc, column, value = vocabulary.values(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                cuts = pa.array(np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("_label").slice(i, j - i), pa.ListArray.from_arrays(cuts, pa.array(column)), pa.ListArray.from_arrays(cuts, pa.array(value)),
+                ], schema=schema)
+
+    return values
+
+
 def _score(model: OrdinalModel):
     schema = pa.schema([("doc_id", pa.int64()), ("severity", pa.int32()), ("expected_severity", pa.float64()), ("toxic_probability", pa.float64()), ("toxic", pa.bool_())])
 
@@ -171,8 +241,7 @@ def _score(model: OrdinalModel):
         for batch in batches:
             data, offsets = tx.texts(batch.column("_text"))
             for i, j in tx.pieces(offsets):
-                found = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                p = model.grades(model.linear(*found, j - i))
+                p = model.grades(model.linear(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
                 expected = p @ np.arange(p.shape[1])
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id").slice(i, j - i), pa.array(p.argmax(1).astype(np.int32)), pa.array(expected),
