@@ -90,8 +90,9 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     )
     total = base.count()
     quotas = {s: total // shards + (s < total % shards) for s in range(shards)}
+    # read back, both sides of the next join are plain exchanges: a hot group is split
     twice = base.where("_has_text").groupBy("_group1", "_group2").agg(F.count(F.lit(1)).alias("_copies")).where("_copies > 1")
-    marked = base.join(twice, ["_group1", "_group2"], "left")
+    marked = base.join(store(twice, "shard-groups"), ["_group1", "_group2"], "left")
     start = F.pmod(F.xxhash64("_u", F.lit("start")), F.lit(shards)).cast("int")
     marked = store(marked.withColumn("_shard", F.when(F.col("_copies").isNotNull(), start)), "shard-linked")
     linked = propagate(marked.where(F.col("_copies").isNotNull()), shards, quotas, rounds)
