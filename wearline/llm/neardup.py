@@ -85,6 +85,16 @@ class Sets:
         odd = np.bincount(self.doc * SKETCH_BITS + bit, minlength=len(self.n) * SKETCH_BITS) & 1
         return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(self.n), SKETCH_BITS // 64)
 
+    def fine_sketches(self) -> list[bytes]:
+        """Parity bits per document, 8 or more for each shingle; a power of two of them, so that halves fold by XOR."""
+        out = []
+        place = tx.mix(self.h ^ _SALT[2])
+        for d, n in enumerate(self.n.tolist()):
+            bits = max(SKETCH_BITS, 8 << (max(n, 1).bit_length() - 1))
+            odd = np.bincount((place[self.first[d] : self.first[d + 1]] & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
+            out.append(np.packbits(odd.astype(np.uint8)).tobytes())
+        return out
+
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         """(document, key) of the pigeonhole join."""
         low = np.int64(1) << np.int64(np.floor(np.log2(np.maximum(self.n, 1))))
@@ -177,6 +187,32 @@ def _compare(batches):
             yield pa.RecordBatch.from_arrays([part.column("a").filter(mask), part.column("b").filter(mask)], schema=schema)
 
 
+def _fine(batches):
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("fine", pa.binary())])
+    for batch in batches:
+        data, offsets = tx.texts(batch.column("text"))
+        for i, j in tx.pieces(offsets):
+            s = Sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            yield pa.RecordBatch.from_arrays([batch.column("node").slice(i, j - i), pa.array(s.n), pa.array(s.fine_sketches(), pa.binary())], schema=schema)
+
+
+def _close(batches):
+    """Pairs whose fine sketches differ in no more bits than linked sets can."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    for batch in batches:
+        most = (batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()) // 9
+        close = []
+        for x, y, limit in zip(batch.column("fine_a").to_pylist(), batch.column("fine_b").to_pylist(), most.tolist(), strict=True):
+            x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+            while len(x) != len(y):
+                if len(x) < len(y):
+                    x, y = y, x
+                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            close.append(int(np.bitwise_count(x ^ y).sum()) <= limit)
+        mask = pa.array(close, pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], schema=schema)
+
+
 def _hopeful(n_a: str, n_b: str, s_a: str, s_b: str) -> Column:
     """Sizes and parity bits do not rule the pair out."""
     bits = sum(F.bit_count(F.col(s_a)[i].bitwiseXOR(F.col(s_b)[i])) for i in range(SKETCH_BITS // 64))
@@ -215,7 +251,12 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     facts = nodes.select("node", "n", "s")
 
+    fine = store(texts.mapInArrow(_fine, "node long, n long, fine binary"), "near-fine")
+
     def verified(pairs: DataFrame) -> DataFrame:
+        fa, fb = (fine.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("fine").alias(f"fine_{c}")) for c in "ab")
+        close = pairs.join(fa, "a").join(fb, "b").select("a", "b", "n_a", "n_b", "fine_a", "fine_b").mapInArrow(_close, "a long, b long")
+        pairs = store(close, "near-close")
         a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
         b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
         return store(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_compare, "a long, b long"), "near-links")
