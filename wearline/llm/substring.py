@@ -208,7 +208,8 @@ def marked_segments(found: DataFrame, texts: DataFrame, length: int, block_bytes
         "substring-kinds",
     )
     mixed = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    several = kinds.join(store(mixed, "substring-mixed"), "anchor")
+    mixed = store(mixed, "substring-mixed")  # read back, its joins are plain exchanges that split a hot anchor
+    several = kinds.join(mixed, "anchor")
     need = several.groupBy("_rep._k1", "_rep._k2").agg(
         F.collect_list(F.struct("anchor", "seg", F.col("_rep.start").alias("start"), F.col("_rep.count").alias("count"))).alias("_need")
     )
@@ -256,9 +257,9 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     marked = marked_segments(found, texts, length, block_bytes, split_over)
     per_doc = found.join(marked, ["anchor", "seg"]).groupBy("_k1", "_k2").agg(
-        F.array_distinct(F.flatten(F.collect_list(
+        F.flatten(F.collect_list(
             F.transform("runs", lambda r: F.struct((r["lo"] + F.col("start")).alias("lo"), (r["hi"] + F.col("start")).alias("hi")))
-        ))).alias("_runs")
+        )).alias("_runs")
     )
     done = texts.join(per_doc, ["_k1", "_k2"], "left").select("doc_id", "_text", "_runs").mapInArrow(
         _finish(length, with_kept), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
