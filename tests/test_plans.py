@@ -2,7 +2,8 @@
 
 import re
 
-from wearline.operators import ordered
+import pytest
+
 from wearline.plans import REGISTRY
 from conftest import SF_SMALL
 
@@ -39,11 +40,25 @@ def test_parameter_rows_are_broadcast(spark):
     assert "BroadcastNestedLoopJoin" in plan or "BroadcastHashJoin" in plan
 
 
-def test_range_path_orders_by_key_ranges(spark):
-    spark.conf.set(ordered.SINGLE_TASK_CONF, "0")
-    try:
-        plan = _final(_executed(spark, "pr_curve"))
-    finally:
-        spark.conf.unset(ordered.SINGLE_TASK_CONF)
+def test_orders_are_cut_into_key_ranges(spark):
+    plan = _final(_executed(spark, "pr_curve"))
     windows = re.findall(r"Window \[.*?\], \[([^\]]*)\], \[", plan)
     assert any("_ob" in w for w in windows)
+
+
+def test_duplicate_dimension_keys_fail_the_join(spark):
+    from pyspark.errors import PySparkException
+
+    from wearline.operators.joins import many_to_one
+
+    fact, dim = spark.createDataFrame([(1,)], "k int"), spark.createDataFrame([(1, "a"), (1, "b")], "k int, v string")
+    with pytest.raises(PySparkException, match="not unique"):
+        many_to_one(fact, dim.select("k"), "k").collect()
+
+
+def test_a_gap_between_chunks_is_no_monotone_label(spark):
+    from wearline.operators.validate import label_sanity
+
+    cycles = [*range(1, 101), *range(40000, 40101)]
+    df = spark.createDataFrame([("u", c, 40100 - c) for c in cycles], "unit_id string, cycle long, raw_rul long")
+    assert [r.rul_monotone for r in label_sanity(df).collect()] == [False]

@@ -48,8 +48,6 @@ def main():
     sf_dir = args[0] if args and os.path.isdir(args[0]) else "/root/testdata/sf0.01"
     names = [a for a in args if a in REGISTRY] or list(REGISTRY)
     extra = {}
-    if os.environ.get("SINGLE_TASK_ROWS") is not None:
-        extra["wearline.ordered.singleTaskRows"] = os.environ["SINGLE_TASK_ROWS"]
     spark = get_session("local[8]", **extra)
     con = duckdb.connect()
     for t in TABLES:

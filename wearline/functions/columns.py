@@ -71,7 +71,7 @@ def risk_category(score: Column | str, medium: Column | str | float, high: Colum
     lit = lambda v: F.lit(v) if isinstance(v, (int, float)) else col(v)
     return (
         F.when(s.isNull() | F.isnan(s) | (s < 0) | (s > 1),
-               F.raise_error(F.lit("Calibrated risk estimate must be between 0 and 1.")))
+               F.raise_error(F.lit("risk score outside [0, 1]")))
         .when(s < lit(medium), F.lit(C.RISK_CATEGORIES[0]))
         .when(s < lit(high), F.lit(C.RISK_CATEGORIES[1]))
         .when(s < lit(critical), F.lit(C.RISK_CATEGORIES[2]))
@@ -84,11 +84,6 @@ def recommended_action(category: Column | str) -> Column:
     return m[col(category)]
 
 
-def category_rank(category: Column | str, categories: Sequence[str] = C.RISK_CATEGORIES) -> Column:
-    m = F.create_map(*[F.lit(x) for i, c in enumerate(categories) for x in (c, i)])
-    return m[col(category)]
-
-
 # P14, P15 right-inclusive bins ---------------------------------------------
 
 def lifecycle_stage(raw_rul: Column | str) -> Column:
@@ -206,12 +201,3 @@ def rms(cols: Sequence[Column | str]) -> Column:
         sq = col(c) * col(c)
         total = sq if total is None else total + sq
     return F.sqrt(total / float(len(cols)))
-
-
-def hash_fraction_key(key: Column | str, seed: int) -> Column:
-    """First 32 bits of md5('key:seed') as a non-negative integer.
-
-    Identical in Spark and DuckDB (``('0x'||substr(md5(..),1,8))::BIGINT``).
-    """
-    s = F.concat_ws(":", col(key).cast("string"), F.lit(str(seed)))
-    return F.conv(F.substr(F.md5(s), F.lit(1), F.lit(8)), 16, 10).cast("bigint")

@@ -26,12 +26,12 @@ def unique_on(dim: DataFrame, key: str) -> DataFrame:
     """The dimension, failing the job if any key appears more than once.
 
     The check is lazy and distributed (a per-key count), not a driver action.
+    It sits in the key itself, so no join on the key can be planned without it.
     """
     others = [c for c in dim.columns if c != key]
     g = dim.groupBy(key).agg(F.count(F.lit(1)).alias("_dup"), *[F.first(c).alias(c) for c in others])
-    return g.select(key, *[F.when(F.col("_dup") > 1, F.raise_error(
-        F.concat(F.lit(f"dimension is not unique on {key}: "), F.col(key).cast("string")))).otherwise(F.col(c)).alias(c)
-        for c in others]) if others else g.select(key)
+    twice = F.raise_error(F.concat(F.lit(f"dimension is not unique on {key}: "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    return g.select(F.when(F.col("_dup") > 1, twice).otherwise(F.col(key)).alias(key), *others)
 
 
 def many_to_one(fact: DataFrame, dim: DataFrame, key: str, how: str = "inner") -> DataFrame:

@@ -8,7 +8,7 @@ key, so ties land together and a retried task recomputes the same bucket:
 
 1. values are aggregated per distinct key first (map-side combine; a key
    that holds a third of all rows collapses into one row),
-2. bucket bounds come from one ``percentile_approx`` (a bounded sketch),
+2. Spark's range partitioning cuts the order at sampled keys, in their own type,
 3. per-bucket totals form a table of at most ``buckets`` rows per partition
    key, whose running offsets are cheap,
 4. each bucket is ordered by its own task and adds its offset.
@@ -33,41 +33,11 @@ def reused(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-SINGLE_TASK_CONF = "wearline.ordered.singleTaskRows"
-SINGLE_TASK_DEFAULT = 2_000_000
-
-
-def single_task_rows(spark) -> int:
-    """Row bound under which one task may order a (grouped) input.
-
-    Above it the order is split into key ranges.  Tests set it to 0 to force
-    the range path.
-    """
-    return int(spark.conf.get(SINGLE_TASK_CONF, str(SINGLE_TASK_DEFAULT)))
-
-
-MAX_BUCKETS = 1024
-
-
-def default_buckets(df: DataFrame) -> int:
-    """Key ranges per ordering: a few per shuffle partition of the session."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
-    return max(4, min(MAX_BUCKETS, 4 * n))
-
-
-def _bucket_of(key: Column, bounds: Sequence[float]) -> Column:
-    """Number of bounds strictly below the key (0..len(bounds)).
-
-    A balanced CASE tree over the sorted bounds: log2(len) comparisons per
-    row inside generated code (an array ``filter`` would run interpreted).
-    """
-    def below(lo: int, hi: int) -> Column:
-        if lo >= hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key > F.lit(float(bounds[mid])), below(mid + 1, hi)).otherwise(below(lo, mid))
-
-    return below(0, len(bounds))
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``on`` where a null key equals a null key; keeps the left side's key columns."""
+    renamed = right.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    match = [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on]
+    return left.join(renamed, match, how).drop(*[f"_on_{c}" for c in on])
 
 
 def prefix_sums(
@@ -87,42 +57,27 @@ def prefix_sums(
     running sum covers keys >= the current one.  ``tiebreak`` columns order
     rows sharing a key (they stay in one bucket, so the order is total).
 
-    Size check first (one count over the grouped input): up to
-    :func:`single_task_rows` rows one window orders everything; above it the
-    key range is cut at approximate quantiles (a bounded sketch, returned
-    to the driver as ``buckets - 1`` doubles) and each range is ordered by
-    its own task, shifted by the totals of the ranges before it.
+    The rows are dealt into key ranges by Spark's range partitioning, in the
+    key's own type (64-bit ids and strings keep their order, nulls have a
+    place), into as many ranges as the session has shuffle partitions unless
+    ``buckets`` says otherwise.  Each range is ordered by its own task and
+    shifted by the totals of the ranges before it; there is no other path.
     """
-    spark = df.sparkSession
     parts = list(partition_cols)
-    k = (-F.col(key).cast("double")) if descending else F.col(key).cast("double")
-    keyed = reused(df.withColumn("_ok", k))
-    n = keyed.count()
-    if n <= single_task_rows(spark):
-        w = Window.partitionBy(*parts).orderBy("_ok", *tiebreak).rowsBetween(
-            Window.unboundedPreceding, Window.currentRow)
-        return keyed.select(*df.columns, *[F.sum(c).over(w).alias(f"{prefix}{c}") for c in sum_cols])
-
-    buckets = buckets or default_buckets(df)
-    probs = [i / buckets for i in range(1, buckets)]
-    found = keyed.agg(F.percentile_approx("_ok", probs, 1000).alias("b")).first()["b"] or []
-    bounds = sorted({float(b) for b in found if b is not None})
-    keyed = keyed.withColumn("_ob", _bucket_of(F.col("_ok"), bounds))
-
-    totals = keyed.groupBy(*parts, "_ob").agg(
-        *[F.sum(c).alias(f"_t_{c}") for c in sum_cols]
-    )
-    before = Window.partitionBy(*parts).orderBy("_ob").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
+    ordering = F.col(key).desc() if descending else F.col(key).asc()
+    ranges = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = reused(df.repartitionByRange(ranges, *parts, ordering).withColumn("_ob", F.spark_partition_id()))
+    totals = keyed.groupBy(*parts, "_ob").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
+    # one row per range (and partition key), never rows of the input
+    before = Window.partitionBy(*parts).orderBy("_ob").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *parts, "_ob",
         *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sum_cols],
     )
     if not parts:
-        offsets = F.broadcast(offsets)  # at most `buckets` rows
-    joined = keyed.join(offsets, [*parts, "_ob"])
-    running = Window.partitionBy(*parts, "_ob").orderBy("_ok", *tiebreak).rowsBetween(
+        offsets = F.broadcast(offsets)  # at most `ranges` rows
+    joined = null_safe_join(keyed, offsets, [*parts, "_ob"])
+    running = Window.partitionBy(*parts, "_ob").orderBy(ordering, *tiebreak).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     return joined.select(
@@ -154,7 +109,7 @@ def sequence_number(
     offsets = counts.select(*parts, "_sb", F.coalesce(F.sum("_sn").over(before), F.lit(0)).alias("_so"))
     inside = Window.partitionBy(*parts, "_sb").orderBy(*order_cols)
     return (
-        with_b.join(offsets, [*parts, "_sb"])
+        null_safe_join(with_b, offsets, [*parts, "_sb"])
         .withColumn(name, F.row_number().over(inside) + F.col("_so"))
         .drop("_sb", "_so")
     )
@@ -179,7 +134,7 @@ def average_rank(
         *parts, value_col,
         (F.col("cum__rc") - F.col("_rc") + (F.col("_rc") + 1) / 2.0).alias(name),
     )
-    return df.join(ranked, [*parts, value_col])
+    return null_safe_join(df, ranked, [*parts, value_col])
 
 
 def small_average_rank(df: DataFrame, value_col: str, name: str) -> DataFrame:
@@ -275,14 +230,15 @@ def ecdf_percentile(
 ) -> DataFrame:
     """``100 * count(reference <= score) / n_reference`` for every query row.
 
+    A null score keeps its row, with a null percentile.
     Right-inclusive ties, clipped to [0, 100].  Reference and query values
     are merged per distinct value, prefix-summed in value order, and the
     running reference count is joined back on the value (X2).
     """
-    ref_counts = reference.groupBy(F.col(ref_col).alias("_ev")).agg(
+    ref_counts = reference.where(F.col(ref_col).isNotNull()).groupBy(F.col(ref_col).alias("_ev")).agg(
         F.count(F.lit(1)).alias("_er")
     )
-    q_vals = queries.select(F.col(score_col).alias("_ev")).distinct().withColumn("_er", F.lit(0).cast("long"))
+    q_vals = queries.select(F.col(score_col).alias("_ev")).where("_ev IS NOT NULL").distinct().withColumn("_er", F.lit(0).cast("long"))
     merged = ref_counts.unionByName(q_vals).groupBy("_ev").agg(F.sum("_er").alias("_er"))
     n_ref = ref_counts.agg(F.sum("_er").alias("_en"))
     cum = prefix_sums(merged, "_ev", ["_er"], buckets=buckets)
@@ -290,4 +246,4 @@ def ecdf_percentile(
         "_ev",
         F.least(F.greatest(100.0 * F.col("cum__er") / F.col("_en"), F.lit(0.0)), F.lit(100.0)).alias(name),
     )
-    return queries.join(table, queries[score_col] == table["_ev"]).drop("_ev")
+    return queries.join(table, queries[score_col] == table["_ev"], "left").drop("_ev")

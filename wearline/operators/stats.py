@@ -28,6 +28,9 @@ def frequency(df: DataFrame, by: Sequence[str] | str, total_over: Sequence[str]
     """Counts and percent of the total (or of each ``total_over`` group)."""
     by = [by] if isinstance(by, str) else list(by)
     counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    if not total_over:
+        total = counts.agg(F.sum("n").alias("_total"))
+        return counts.crossJoin(F.broadcast(total)).withColumn("percent", 100.0 * F.col("n") / F.col("_total")).drop("_total")
     w = Window.partitionBy(*total_over)
     return counts.withColumn("percent", 100.0 * F.col("n") / F.sum("n").over(w))
 

@@ -168,7 +168,8 @@ def machine_rule_flags(df: DataFrame) -> DataFrame:
 
 def label_sanity(with_rul: DataFrame, unit: str = "unit_id", cycle: str = "cycle") -> DataFrame:
     """V14/G12 per unit: raw_rul >= 0, last row has 0, RUL falls by exactly
-    one per cycle (cycle strictly increasing)."""
+    one per cycle (cycle strictly increasing).  A gap that falls between two
+    chunks of the window shows in the unit's range against its row count."""
     stepped = trailing_columns(
         with_rul, {"_prev_rul": lambda w: F.lag("raw_rul", 1).over(w),
                    "_prev_cycle": lambda w: F.lag(cycle, 1).over(w)}, unit=unit, order=cycle, lookback=1)
@@ -177,7 +178,8 @@ def label_sanity(with_rul: DataFrame, unit: str = "unit_id", cycle: str = "cycle
         F.max_by("raw_rul", cycle).alias("last_rul"),
         F.count_if(F.col("_prev_rul") - F.col("raw_rul") != 1).alias("_bad_steps"),
         F.count_if(F.col(cycle) <= F.col("_prev_cycle")).alias("_bad_cycles"),
+        (F.max("raw_rul") - F.min("raw_rul") + 1 != F.count("raw_rul")).alias("_gap"),
     )
     return agg.select(unit, "negative_rul_rows", (F.col("last_rul") == 0).alias("last_row_zero"),
-                      (F.col("_bad_steps") == 0).alias("rul_monotone"),
+                      ((F.col("_bad_steps") == 0) & ~F.col("_gap")).alias("rul_monotone"),
                       (F.col("_bad_cycles") == 0).alias("cycle_increasing"))

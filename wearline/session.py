@@ -10,33 +10,40 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on.  ANSI stays on (Spark's default): divide by
 # zero and bad casts fail loudly, so the operators use try_divide / try_cast.
+# Settings that are given already (spark-submit, defaults file) are kept.
 BASE_CONF = {
-    "spark.ui.enabled": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.shuffle.partitions": "8",
+}
+LOCAL_CONF = {
+    # local mode: the driver JVM is the only executor
+    "spark.driver.memory": "8g",
+    "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.sql.shuffle.partitions": "8",
 }
 
 
 def get_session(master: str | None = None, app: str = "wearline", **conf: str) -> SparkSession:
     """Return (or create) a session with the library's base settings.
 
-    On a cluster ``master`` is left to spark-submit; tests pass ``local[*]``.
+    On a cluster ``master`` and everything it was submitted with are left
+    alone, shuffle partitions included; tests pass ``local[*]``.
     """
     builder = SparkSession.builder.appName(app)
-    local_conf = {}
     if master:
         builder = builder.master(master)
-        if master.startswith("local"):
-            # local mode: the driver JVM is the only executor
-            local_conf["spark.driver.memory"] = "8g"
-    for key, value in {**BASE_CONF, **local_conf, **conf}.items():
+    local = LOCAL_CONF if master and master.startswith("local") else {}
+    for key, value in {**local, **conf}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
+    given = spark.sparkContext.getConf()
+    for key, value in BASE_CONF.items():
+        if key not in conf and not given.contains(key):
+            spark.conf.set(key, value)
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
@@ -44,11 +51,13 @@ def get_session(master: str | None = None, app: str = "wearline", **conf: str) -
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and materialised intermediates.
 
-    The cluster names it in ``spark.checkpoint.dir``; we only invent one when
-    the setting is absent (local tests), never on a configured cluster.
+    The cluster names it in ``spark.checkpoint.dir``.  Only a local master,
+    where driver and executors are one process, gets an invented one.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="wearline-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
