@@ -2,10 +2,10 @@
 
 Documents with equal texts are linked.  Linked documents start on the shard of
 their id's hash.  In each round one aggregate counts every group's documents
-per shard, one join tells each document the shard that holds most of its group
-and still has room, and the documents move there under the shard's quota: if
+per shard, one join tells each document the shards that hold most of its group
+and still have room, and the documents move there under the shard's quota: if
 more want in than there is room, a hash of the document picks the share that
-fits.  Documents without a link have no edge to cut; they fill what is left,
+fits.  Groups above half a shard move last, so that small ones stay whole.  Documents without a link have no edge to cut; they fill what is left,
 so that row counts differ by one at most (law ``rows``).
 
 The driver sees one row per shard (its load), never rows per document or
@@ -36,38 +36,43 @@ def _shard_table(docs: DataFrame, values: dict[int, dict]) -> DataFrame:
     return docs.sparkSession.range(1).select(F.inline(F.expr(f"array({entries})")))
 
 
-def propagate(linked: DataFrame, shards: int, quotas: dict[int, int], rounds: int) -> DataFrame:
-    """Move linked documents (``_group``, ``_u``, ``_shard``) towards their groups' shards."""
+def propagate(linked: DataFrame, shards: int, quotas: dict[int, int], even: int, rounds: int) -> DataFrame:
+    """Move linked documents (``_group1``, ``_group2``, ``_u``, ``_shard``) towards their groups' shards.
+
+    A group aims at as many shards as hold it when they have ``even`` rows each:
+    those that have room and most of its documents.
+    """
+    keys = ["_group1", "_group2"]
     for step in range(rounds):
-        cells = linked.groupBy("_group1", "_group2", "_shard").agg(F.count(F.lit(1)).alias("_n"))
-        cells = store(cells, "shard-cells")
+        cells = store(linked.groupBy(*keys, "_shard").agg(F.count(F.lit(1)).alias("_n")), "shard-cells")
         load = {r["_shard"]: r["n"] for r in cells.groupBy("_shard").agg(F.sum("_n").alias("n")).collect()}
         room = {s: max(0, quotas[s] - load.get(s, 0)) for s in range(shards)}
-        # a group aims at the shard with most of its documents among those it can still gain in
         free = _shard_table(linked, {s: {"_room": room[s]} for s in range(shards)})
-        rated = cells.join(F.broadcast(free), F.col("_shard") == F.col("_s"))
-        aim = rated.groupBy("_group1", "_group2").agg(
-            F.max_by("_shard", F.struct((F.col("_room") > 0).cast("int"), "_n", F.xxhash64("_shard", "_group1"))).alias("_aim"),
-            F.max("_n").alias("_most"), F.count(F.lit(1)).alias("_spread"),
-        ).where("_spread > 1")
-        wish = cells.join(aim, ["_group1", "_group2"]).where((F.col("_shard") != F.col("_aim")))
-        # leave only a shard that holds fewer of the group, or an emptier rest: never a fuller cell
-        target_n = cells.select("_group1", "_group2", F.col("_shard").alias("_aim"), F.col("_n").alias("_aim_n"))
-        wish = wish.join(target_n, ["_group1", "_group2", "_aim"])
-        better = (F.col("_aim_n") > F.col("_n")) | ((F.col("_aim_n") == F.col("_n")) & (F.xxhash64("_aim", "_group1") > F.xxhash64("_shard", "_group1")))
-        wish = store(wish.where(better).select("_group1", "_group2", "_shard", "_aim", "_n"), "shard-wishes")
-        asked = {r["_aim"]: r["n"] for r in wish.groupBy("_aim").agg(F.sum("_n").alias("n")).collect()}
+        rated = cells.join(F.broadcast(free), F.col("_shard") == F.col("_s")).withColumn("_hash", F.xxhash64("_shard", "_group1"))
+        # at most one entry per shard
+        ranked = rated.groupBy(*keys).agg(
+            F.sort_array(F.collect_list(F.struct((F.col("_room") > 0).alias("r"), F.col("_n").alias("n"), F.col("_hash").alias("h"), F.col("_shard").alias("s"))), False).alias("_cells"),
+            F.sum("_n").alias("_size"),
+        )
+        want = F.ceil(F.col("_size") / F.lit(max(1, even))).cast("int")
+        aims = ranked.where(F.size("_cells") > want).select(*keys, F.slice("_cells", F.lit(1), want).alias("_top"))
+        least = F.array_min(F.transform("_top", lambda x: F.struct(x["n"].alias("n"), x["h"].alias("h"))))
+        aims = aims.select(*keys, F.col("_top.s").alias("_aims"), least.alias("_least"))
+        # only towards fuller cells: a full shard that holds most of a group loses nothing
+        wish = rated.join(aims, keys).where(~F.array_contains("_aims", F.col("_shard")) & (F.struct(F.col("_n").alias("n"), F.col("_hash").alias("h")) < F.col("_least")))
+        wish = store(wish.select(*keys, "_shard", "_n", "_aims"), "shard-wishes")
+        each = wish.select(F.explode("_aims").alias("_aim"), (F.col("_n") / F.size("_aims")).alias("_n"))
+        asked = {r["_aim"]: r["n"] for r in each.groupBy("_aim").agg(F.sum("_n").alias("n")).collect()}
         if not any(room[s] and asked[s] for s in asked):
             break
-        share = _shard_table(linked, {s: {"_share": min(1.0, room[s] / asked[s]) if asked.get(s) else 0.0} for s in range(shards)})
-        share = share.select(F.col("_s").alias("_aim"), "_share")
-        moves = wish.join(F.broadcast(share), "_aim").select("_group1", "_group2", "_shard", "_aim", "_share")
+        share = {s: {"_share": min(1.0, room[s] / asked[s])} for s in asked}
+        share = _shard_table(linked, share).withColumnRenamed("_s", "_aim")
+        pick = F.element_at("_aims", (F.pmod(F.xxhash64("_u", F.lit(step), F.lit("aim")), F.size("_aims")) + 1).cast("int"))
         draw = F.pmod(F.xxhash64("_u", F.lit(step)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        told = linked.join(wish.drop("_n"), [*keys, "_shard"], "left").withColumn("_aim", pick).join(F.broadcast(share), "_aim", "left")
+        goes = F.coalesce(draw < F.col("_share"), F.lit(False))
         linked = store(
-            linked.join(moves, ["_group1", "_group2", "_shard"], "left").select(
-                *[c for c in linked.columns if c != "_shard"],
-                F.when(F.col("_aim").isNotNull() & (draw < F.col("_share")), F.col("_aim")).otherwise(F.col("_shard")).alias("_shard"),
-            ),
+            told.select(*[c for c in linked.columns if c != "_shard"], F.when(goes, F.col("_aim")).otherwise(F.col("_shard")).alias("_shard")),
             "shard-labels",
         )
     return linked
@@ -95,7 +100,12 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     marked = base.join(store(twice, "shard-groups"), ["_group1", "_group2"], "left")
     start = F.pmod(F.xxhash64("_u", F.lit("start")), F.lit(shards)).cast("int")
     marked = store(marked.withColumn("_shard", F.when(F.col("_copies").isNotNull(), start)), "shard-linked")
-    linked = propagate(marked.where(F.col("_copies").isNotNull()), shards, quotas, rounds)
+    # groups that take more than half a shard come second, in the room the others leave
+    large = F.col("_copies") > total // shards / 2
+    small = propagate(marked.where(~large).withColumn("_late", F.lit(0)), shards, quotas, total // shards, rounds)
+    load = {r["_shard"]: r["n"] for r in small.groupBy("_shard").agg(F.count(F.lit(1)).alias("n")).collect()}
+    left = {s: max(0, q - load.get(s, 0)) for s, q in quotas.items()}
+    linked = small.unionByName(propagate(marked.where(large).withColumn("_late", F.lit(1)), shards, left, total // shards, rounds))
     return _place(linked, marked.where(F.col("_copies").isNull()), shards, quotas, total)
 
 
@@ -103,8 +113,9 @@ def _place(linked: DataFrame, single: DataFrame, shards: int, quotas: dict[int,
     """Give every row its shard and slot: linked rows within the quota, then all others in the room left."""
     buckets = max(64, total // 50_000)
     deal = F.pmod(F.xxhash64("_u", "_group1", F.lit("slot")), F.lit(buckets))
+    # above the quota are the last numbers, which large groups have
     ranked = numbered(
-        linked.withColumns({"_bucket": deal, "_order": F.col("_u"), "_order2": F.col("_group1")}), "_shard", "slot", buckets
+        linked.withColumns({"_bucket": deal + F.col("_late") * buckets, "_order": F.col("_u"), "_order2": F.col("_group1")}), "_shard", "slot", buckets
     )
     quota = F.broadcast(_shard_table(linked, {s: {"_quota": q} for s, q in quotas.items()}))
     ranked = store(ranked.join(quota, F.col("_shard") == F.col("_s")).drop("_s"), "shard-ranked")
