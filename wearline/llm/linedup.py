@@ -77,24 +77,19 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     names = docs.columns
     covered = covered_windows(docs, id_col, text_col)
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), *row_key(F.col(id_col), F.col(text_col)))
-    text = F.col("_row")[text_col]
-    joined = keyed.join(covered, ["_k1", "_k2"], "left").withColumn("_lines", F.split(text, "\n"))
-    numbered = F.transform("_lines", lambda x, i: F.struct(i.alias("pos"), F.trim(x).alias("line")))
+    # lines and places are made below the join, so that no expression is evaluated again per line
+    lines = F.split(F.col(text_col), "\n")
+    numbered = F.transform(lines, lambda x, i: F.struct(i.alias("pos"), F.trim(x).alias("line")))
     places = F.transform(F.filter(numbered, lambda x: x["line"] != ""), lambda x: x["pos"])
-    joined = joined.withColumn("_places", F.when(F.col("_starts").isNotNull(), places))
+    others = [F.col(f"`{c}`") for c in names if c != text_col] or [F.lit(0).alias("_none")]
+    keyed = docs.select(F.struct(*others).alias("_row"), lines.alias("_lines"), places.alias("_places"), *row_key(F.col(id_col), F.col(text_col)))
+    joined = keyed.join(covered, ["_k1", "_k2"], "left")
     gone = F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.slice("_places", s + 1, WINDOW))))
-    joined = joined.withColumn("_gone", gone)
-    mark = F.map_from_arrays("_gone", F.transform("_gone", lambda x: F.lit(True)))
-    joined = joined.withColumn("_mark", mark)
-    kept = F.array_join(F.filter("_lines", lambda x, i: F.element_at("_mark", i).isNull()), "\n")
-    joined = joined.withColumns({
-        "_new": F.when(F.col("_gone").isNull(), text).otherwise(kept),
-        "_total": F.coalesce(F.size("_lines"), F.lit(0)).cast("long"),
-        "_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
-    })
-    extra = [F.col("_total").alias("n_lines"), F.col("_removed").alias("n_removed_lines")]
+    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), gone)
+    kept = F.array_join(F.transform(left, lambda i: F.element_at("_lines", i + 1)), "\n")
+    new = F.when(F.col("_starts").isNull(), F.array_join("_lines", "\n")).otherwise(kept)
     return joined.select(
-        *[F.col("_new").alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in names if c not in ("n_lines", "n_removed_lines")],
-        *extra,
+        *[new.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in names if c not in ("n_lines", "n_removed_lines")],
+        F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed_lines"),
     )
