@@ -16,25 +16,40 @@ from __future__ import annotations
 import numpy as np
 
 
+U64 = np.uint64
+
+
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes sorted by their first ``depth`` symbols or more (prefix doubling)."""
+    """Suffixes sorted by their first ``depth`` symbols or more (prefix doubling).
+
+    Below two million symbols two ranks and the place fit one word, so that a
+    round sorts plain numbers.
+    """
     n = len(symbols)
+    bits = U64(n.bit_length())
+    packed = 3 * n.bit_length() <= 64
     padded = np.concatenate([symbols, np.zeros(8, np.uint8)])
     key = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[:n]).view(">u8").ravel().astype(np.uint64)
-    step = 8
+    order = np.argsort(key)
+    ordered, step = key[order], 8
     while True:
-        order = np.argsort(key)
-        ordered = key[order]
-        new = np.ones(n, np.int64)
+        new = np.ones(n, np.int32)
         new[0] = 0
         new[1:] = ordered[1:] != ordered[:-1]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
-        if step >= depth or rank[order[-1]] == n - 1:
+        ranks = np.cumsum(new, dtype=np.int32)
+        if step >= depth or ranks[-1] == n - 1:
             return order
-        beyond = np.zeros(n, np.int64)
-        beyond[: n - step] = rank[step:] + 1 if step < n else 0
-        key = (rank.astype(np.uint64) << np.uint64(32)) | beyond.astype(np.uint64)
+        rank = np.empty(n, np.int32)
+        rank[order] = ranks
+        key = rank.astype(np.uint64) << bits
+        key[: max(0, n - step)] |= (rank[step:] + 1).astype(np.uint64)
+        if packed:
+            ordered = np.sort((key << bits) | np.arange(n, dtype=np.uint64))
+            order = (ordered & ((U64(1) << bits) - U64(1))).astype(np.int64)
+            ordered >>= bits
+        else:
+            order = np.argsort(key)
+            ordered = key[order]
         step *= 2
 
 
@@ -53,24 +68,31 @@ def _repeated(symbols: np.ndarray, length: int) -> np.ndarray:
     order = suffix_order(symbols, length)
     bwt = symbols[order - 1]
     by_symbol = np.argsort(bwt, kind="stable")
-    step_back = np.empty(n, np.int64)  # the last-to-first mapping
-    step_back[by_symbol] = np.arange(n)
-    before, after = np.full(n, -1, np.int64), np.full(n, n, np.int64)
+    step_back = np.empty(n, np.int32)  # the last-to-first mapping
+    step_back[by_symbol] = np.arange(n, dtype=np.int32)
+    before, after = np.full(n, -1, np.int32), np.full(n, n, np.int32)
     same = bwt[by_symbol[1:]] == bwt[by_symbol[:-1]]
     before[by_symbol[1:][same]] = by_symbol[:-1][same]
     after[by_symbol[:-1][same]] = by_symbol[1:][same]
+    # inside an interval a symbol occurs first at the interval's or a run's begin, and last at the end of either
+    begins = np.zeros(n, bool)
+    begins[1:] = bwt[1:] != bwt[:-1]
+    heads, upto = np.flatnonzero(begins).astype(np.int32), np.cumsum(begins, dtype=np.int32)
     closed = np.zeros(n + 1, bool)
     closed[[0, n]] = True
-    lo, hi = np.array([0]), np.array([n - 1])
+    lo, hi = np.array([0], np.int32), np.array([n - 1], np.int32)
     ends = int((symbols == 0).sum())
     for level in range(length):
-        size = hi - lo + 1
-        if not len(size):
+        if not len(lo):
             break
-        at = np.arange(size.sum()) + np.repeat(lo - (np.cumsum(size) - size), size)
-        first = at[before[at] < np.repeat(lo, size)]
-        last = at[after[at] > np.repeat(hi, size)]
-        lo, hi = np.sort(step_back[first]), np.sort(step_back[last])
+        runs = upto[hi] - upto[lo]
+        uniform, mixed = runs == 0, runs > 0
+        a, b, runs = lo[mixed], hi[mixed], runs[mixed]
+        inner = heads[np.arange(runs.sum()) + np.repeat(upto[a] - (np.cumsum(runs) - runs), runs)]
+        first = np.concatenate([a, inner[before[inner] < np.repeat(a, runs)]])
+        last = np.concatenate([b, inner[after[inner - 1] > np.repeat(b, runs)] - 1])
+        lo = np.concatenate([step_back[lo[uniform]], np.sort(step_back[first])])
+        hi = np.concatenate([step_back[hi[uniform]], np.sort(step_back[last])])
         fresh = ~closed[hi + 1]
         closed[hi[fresh] + 1] = True
         if level:  # a string that goes on after an end is of no use
