@@ -70,6 +70,33 @@ def test_csv_quarantine(spark, tmp_dir):
     assert reasons[("dup.csv", 1)] in ("duplicate header", "missing header")
 
 
+def test_trajectory_csv_quotes_lines_and_cycle_order(spark, tmp_dir):
+    rows = ['"cycle","sensor_2"', "1,1.0", '"2"," 2.5 "', "2,3.0", "3,4.0", "6,4.0", "5,1.0", "0,1.0"]
+    rows += [f"{k},1.0" for k in range(1, 5000)] + ['5000,"x,y"']
+    with open(os.path.join(tmp_dir, "one.csv"), "w") as f:
+        f.write("\n".join(rows))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8000")  # several splits
+    try:
+        ok, bad = readers.read_trajectory_csv(spark, tmp_dir, required=["cycle", "sensor_2"])
+        reasons = {r.line: r.reason for r in bad.collect()}
+        assert reasons == {
+            3: "duplicate cycle", 5: "cycle not consecutive", 6: "cycle not increasing", 7: "non-positive cycle",
+            5007: "non-numeric value",
+        }
+        assert ok.count() == len(rows) - 1 - len(reasons)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_positional_labels_need_one_file(spark, tmp_dir):
+    for name in ("a.txt", "b.txt"):
+        with open(os.path.join(tmp_dir, name), "w") as f:
+            f.write("1\n2\n")
+    with pytest.raises(ValueError, match="one file"):
+        readers.read_positional_labels(spark, tmp_dir)
+
+
 def test_request_json(spark):
     body_ok = json.dumps({"unit_id": "7", "observations": [{"cycle": 1, "sensor_2": 1.0}, {"cycle": 2, "sensor_2": 2.0}]})
     df = spark.createDataFrame([(1, body_ok), (2, "{not json"), (3, json.dumps({"unit_id": "8", "observations": []}))],

@@ -151,9 +151,13 @@ def exact_quantiles(
     probs: Sequence[float],
     group_cols: Sequence[str] = (),
     buckets: int | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Linear-interpolation quantiles (numpy default / ``quantile_cont``).
 
+    ``weight`` names a column of positive counts where a row stands for
+    several equal ones.
+
     Returns one row per (group, q) with columns ``q`` and ``value``.  Unlike
     ``percentile`` no task ever holds all distinct values of a group: values
     are counted per distinct value, prefix-summed in value order, and only
@@ -164,7 +168,7 @@ def exact_quantiles(
     spark = df.sparkSession
     parts = list(group_cols)
     vals = df.where(F.col(value_col).isNotNull())
-    counts = reused(vals.groupBy(*parts, value_col).agg(F.count(F.lit(1)).alias("_qc")))
+    counts = reused(vals.groupBy(*parts, value_col).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_qc")))
     cum = prefix_sums(counts, value_col, ["_qc"], parts, buckets=buckets).withColumn(
         "_qb", F.col("cum__qc") - F.col("_qc")
     )

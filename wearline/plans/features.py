@@ -255,20 +255,20 @@ def lifecycle_stages(spark, sf_dir):
 
 
 @register("failure_extracts", ops=["F1", "F3", "F4", "T9", "T1"], views=["obs"],
-          round_cols=["score_a", "torque", "tool_wear"], sql="""
-(SELECT 'false_negative' AS kind, unit_id, cycle, score_a, torque, tool_wear FROM obs
- WHERE failure = 1 AND score_a < 0.5)
+          round_cols=["score_b", "torque", "tool_wear"], sql="""
+(SELECT 'false_negative' AS kind, unit_id, cycle, score_b, torque, tool_wear FROM obs
+ WHERE failure = 1 AND score_b < 0.65)
 UNION ALL
-(SELECT 'false_positive' AS kind, unit_id, cycle, score_a, torque, tool_wear FROM obs
- WHERE failure = 0 AND score_a >= 0.5 AND tool_wear <= 90
- ORDER BY score_a DESC, unit_id, cycle LIMIT 20)""")
+(SELECT 'false_positive' AS kind, unit_id, cycle, score_b, torque, tool_wear FROM obs
+ WHERE failure = 0 AND score_b >= 0.65 AND tool_wear <= 180
+ ORDER BY score_b DESC, unit_id, cycle LIMIT 20)""")
 def failure_extracts(spark, sf_dir):
     """All false negatives and the 20 highest-scoring false positives
     (with an expression filter on tool wear), ordered by score."""
-    o = tables.obs(spark, sf_dir).select("unit_id", "cycle", "score_a", "torque", "tool_wear", "failure")
-    fn = o.where((F.col("failure") == 1) & ~X.decision("score_a", 0.5)).withColumn("kind", F.lit("false_negative"))
-    fp = (o.where("failure = 0 AND score_a >= 0.5 AND tool_wear <= 90")
-          .orderBy(F.desc("score_a"), "unit_id", "cycle").limit(20)
+    o = tables.obs(spark, sf_dir).select("unit_id", "cycle", "score_b", "torque", "tool_wear", "failure")
+    fn = o.where((F.col("failure") == 1) & ~X.decision("score_b", 0.65)).withColumn("kind", F.lit("false_negative"))
+    fp = (o.where((F.col("failure") == 0) & X.decision("score_b", 0.65) & (F.col("tool_wear") <= 180))
+          .orderBy(F.desc("score_b"), "unit_id", "cycle").limit(20)
           .withColumn("kind", F.lit("false_positive")))
-    cols = ["kind", "unit_id", "cycle", "score_a", "torque", "tool_wear"]
+    cols = ["kind", "unit_id", "cycle", "score_b", "torque", "tool_wear"]
     return finish(fn.select(*cols).unionByName(fp.select(*cols)))

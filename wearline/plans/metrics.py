@@ -38,11 +38,16 @@ ch AS (
   UNION ALL SELECT 'critical', (SELECT threshold FROM prf WHERE precision >= 0.95
                                 ORDER BY recall DESC, threshold LIMIT 1)
   UNION ALL SELECT 'best_f1', (SELECT threshold FROM prf WHERE f1 IS NOT NULL ORDER BY f1 DESC, threshold LIMIT 1))
-SELECT ch.policy, ch.threshold, prf.precision, prf.recall, prf.f1 FROM ch LEFT JOIN prf USING (threshold)""")
+SELECT ch.policy, ch.threshold, prf.precision, prf.recall, prf.f1,
+       (SELECT coalesce(0 < m AND m < h AND h < c AND c < 1, false) FROM (
+          SELECT max(CASE WHEN policy = 'medium' THEN threshold END) AS m, max(CASE WHEN policy = 'high' THEN threshold END) AS h,
+                 max(CASE WHEN policy = 'critical' THEN threshold END) AS c FROM ch)) AS thresholds_ordered
+FROM ch LEFT JOIN prf USING (threshold)""")
 def operating_points(spark, sf_dir):
-    """Medium / High / Critical / best-F1 thresholds picked on the PR curve."""
+    """Medium / High / Critical / best-F1 thresholds picked on the PR curve, and
+    whether they rise from medium to critical inside (0, 1)."""
     curve = metrics.pr_curve(tables.obs(spark, sf_dir), "score_b", "failure")
-    return finish(metrics.operating_points(curve))
+    return finish(metrics.thresholds_ordered(metrics.operating_points(curve)))
 
 
 @register("ranking_metrics", ops=["A30", "A31", "A32", "A33", "M25", "U5"], views=["obs"],

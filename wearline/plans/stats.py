@@ -313,7 +313,7 @@ def score_by_stage(spark, sf_dir):
     return finish(base.join(med, ["lifecycle_stage", "score"]))
 
 
-@register("importance_by_family", ops=["P25", "A55", "M19"], views=["traj"], round_cols=["importance"], sql=f"""
+@register("importance_by_family", ops=["P25", "A55"], views=["traj"], round_cols=["importance"], sql=f"""
 WITH r AS (SELECT t.*, least(max(cycle) OVER (PARTITION BY unit_id) - cycle, 125) AS capped_rul,
                   lag(sensor_4, 1) OVER o AS sensor_4_lag_1,
                   avg(sensor_4) OVER w5 AS sensor_4_rolling_mean_5,

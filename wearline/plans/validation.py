@@ -1,7 +1,8 @@
 """Validation queries (V1-V17) over the driver tables.
 
 Trajectory rules run on ``events``: one user = one trajectory, arrival
-order = ``ts``, cycle = the JSON field ``props.k`` (which has duplicates,
+order = ``ts``, unit = the user but missing or foreign on rows of small
+``value`` (seeded faults, so that the unit rules fire), cycle = the JSON field ``props.k`` (which has duplicates,
 gaps, zeros and out-of-order values), sensor = ``value``.  The expected
 trajectory dimension is ``customer`` (keys without events are ``empty``).
 """
@@ -23,7 +24,7 @@ _FIRST = "\n".join(f"    WHEN {r} THEN '{r}'" for r in RULES[1:])
 @register("trajectory_rule_violations",
           ops=["V1", "V2", "V4", "V5", "V6", "V7", "V8", "V9", "V10", "V13", "G18", "S8"], sql=f"""
 WITH e AS (
-  SELECT user_id, user_id AS unit_id, ts,
+  SELECT user_id, CASE WHEN value < 0.5 THEN NULL WHEN value < 1 THEN user_id + 1 ELSE user_id END AS unit_id, ts,
          TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS c,
          TRY_CAST(value AS DOUBLE) AS v
   FROM events),
@@ -56,7 +57,8 @@ def trajectory_rule_violations(spark, sf_dir):
     """Every trajectory rule for every user, plus the first failing rule."""
     ev = tables.table(spark, sf_dir, "events")
     traj = ev.select(
-        "user_id", F.col("user_id").alias("unit_id"), "ts",
+        "user_id", F.when(F.col("value") < 0.5, None).when(F.col("value") < 1, F.col("user_id") + 1)
+        .otherwise(F.col("user_id")).alias("unit_id"), "ts",
         F.get_json_object("props", "$.k").alias("cycle"), "value")
     dim = tables.table(spark, sf_dir, "customer").select("c_custkey")
     return validate.trajectory_violations(traj, "user_id", "unit_id", "cycle", "ts", ["value"], expected=dim)
@@ -120,15 +122,20 @@ WITH a AS (SELECT count(*) AS rows, count(DISTINCT unit_id) AS units,
                        + count_if(sensor_5 IS NULL) AS BIGINT) AS null_cells FROM traj),
 e AS (SELECT count(*) AS expected_units FROM supplier)
 SELECT rows, units, null_cells, expected_units, units = expected_units AND null_cells = 0 AS contract_ok,
-       '' AS column_problems
+       'duplicate columns: [''sensor_1'']; missing required columns: [''sensor_6'']; '
+       || 'target or failure-label columns are not accepted: [''rul'']; '
+       || 'unexpected columns: [''l_quantity'', ''l_linenumber'', ''l_returnflag'', '' RUL '']' AS column_problems
 FROM a, e""")
 def dataset_contract_gate(spark, sf_dir):
     """Dataset gate: one aggregate (rows, units, missing cells) checked against
     the expected unit count from the unit dimension, plus the metadata-only
-    column contract (duplicates, missing, forbidden target / label names)."""
+    column contract of the table as it comes with a repeated, a target and an
+    absent column (duplicates, missing, forbidden and extra names)."""
     cols = ["unit_id", "cycle", "sensor_1", "sensor_2", "sensor_3", "sensor_4", "sensor_5"]
-    t = validate.allow_list(tables.traj(spark, sf_dir), cols)
-    problems = "; ".join(validate.column_contract(t.columns, cols))
+    whole = tables.traj(spark, sf_dir)
+    t = validate.allow_list(whole, cols)
+    faulty = whole.select("*", "sensor_1", F.col("cycle").alias(" RUL "))
+    problems = "; ".join(validate.column_contract(faulty.columns, [*cols, "sensor_6"], forbid_extra=True))
     a = t.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("unit_id").alias("units"),
               sum((F.count_if(F.col(c).isNull()) for c in cols), F.lit(0)).cast("bigint").alias("null_cells"))
     e = tables.table(spark, sf_dir, "supplier").agg(F.count(F.lit(1)).alias("expected_units"))

@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import contracts as C
 from ..operators.ordered import prefix_sums
+from ..operators.windows import trailing_columns
 
 # S1 ------------------------------------------------------------------------
 
@@ -66,9 +67,14 @@ def read_positional_labels(spark: SparkSession, path: str, name: str = "provided
 
     Line order comes from the reader's row ids (partition index and offset
     inside the file split, stable for a given file) ranked with distributed
-    prefix sums; no whole-file string in one task.
+    prefix sums; no whole-file string in one task.  The order of several files
+    is not defined, so more than one is an error.
     """
-    lines = spark.read.text(path).where(F.trim("value") != "").select(
+    text = spark.read.text(path)
+    files = text.inputFiles()
+    if len(files) > 1:
+        raise ValueError(f"a positional label list is one file, found {len(files)}")
+    lines = text.where(F.trim("value") != "").select(
         F.monotonically_increasing_id().alias("_id"), F.trim("value").cast("int").alias(name))
     ranked = prefix_sums(lines.withColumn("_one", F.lit(1)), "_id", ["_one"])
     return ranked.select(F.col("cum__one").alias("position"), name)
@@ -76,9 +82,30 @@ def read_positional_labels(spark: SparkSession, path: str, name: str = "provided
 
 # S7 ------------------------------------------------------------------------
 
+def _cells(line: F.Column) -> F.Column:
+    """Trimmed cells of one line; a quoted cell may hold commas and doubled quotes."""
+    outside_quotes = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+    parts = F.when(line.contains('"'), F.split(line, outside_quotes)).otherwise(F.split(line, ","))
+    return F.transform(parts, lambda c: F.regexp_replace(F.regexp_replace(F.trim(c), r'^"(.*)"$', "$1"), '""', '"'))
+
+
+def _numbered_lines(raw: DataFrame) -> DataFrame:
+    """Adds ``line``, the 0-based line number in the row's file.
+
+    A row id holds its split and its place there; the lines of a file's earlier
+    splits are added (one row per split, whatever the file's size).
+    """
+    rows = raw.withColumn("_split", F.shiftright("_id", 33))
+    sizes = rows.groupBy("file", "_split").agg(F.min("_id").alias("_from"), F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.partitionBy("file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("file", "_split", "_from", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    return rows.join(starts, ["file", "_split"]).withColumn("line", F.col("_before") + F.col("_id") - F.col("_from")).drop(
+        "_split", "_from", "_before")
+
+
 def _header_problems(header: F.Column, required: Sequence[str], allowed_extra: bool) -> F.Column:
     """File-level header rules on the trimmed, BOM-stripped header cells."""
-    cells = F.transform(F.split(F.regexp_replace(header, "^﻿", ""), ","), lambda c: F.trim(c))
+    cells = _cells(F.regexp_replace(header, "^﻿", ""))
     lowered = F.transform(cells, lambda c: F.lower(c))
     forbidden = sorted(C.TARGET_COLUMNS | C.FAILURE_LABEL_COLUMNS)
     req = F.array(*[F.lit(c) for c in required])
@@ -98,28 +125,31 @@ def read_trajectory_csv(spark: SparkSession, path: str, required: Sequence[str]
                         ) -> tuple[DataFrame, DataFrame]:
     """Bulk CSV trajectories -> (good rows, quarantine).
 
-    Every file is checked on its own header (first line) and every row on
-    width, blanks, numeric cells (``try_cast``), boolean words (rejected
-    when ``allow_booleans`` is false) and integer cycles.  Quarantine rows
-    carry the file, the line position and the first failing reason.
+    A file is one trajectory.  Every file is checked on its own header (first
+    line) and every row on width, blanks, numeric cells (``try_cast``), boolean
+    words (rejected when ``allow_booleans`` is false), integer positive cycles,
+    and the step from the row before: a repeated, falling or skipping cycle is
+    rejected at the row that breaks the order.  Cells may be quoted.  Quarantine
+    rows carry the file, the line (the header is line 0) and the first failing
+    reason.
     """
     raw = spark.read.text(path).select(
         F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("_id"), "value")
-    first = raw.groupBy("file").agg(F.min("_id").alias("_first"))
-    lines = raw.join(first, "file")  # files table: one row per file
-    header = lines.where(F.col("_id") == F.col("_first")).select("file", F.col("value").alias("_header"))
-    body = lines.where(F.col("_id") != F.col("_first")).join(header, "file")
+    lines = _numbered_lines(raw)
+    header = lines.where("line = 0").select("file", F.col("value").alias("_header"))
+    body = lines.where("line > 0").join(header, "file")
     body = body.withColumn("_hdr_problem", _header_problems(F.col("_header"), required, allow_extra))
-    names = F.transform(F.split(F.regexp_replace("_header", "^﻿", ""), ","), lambda c: F.trim(c))
-    cells = F.transform(F.split("value", ","), lambda c: F.trim(c))
-    body = body.withColumn("_cells", cells).withColumn("_names", names)
+    names = _cells(F.regexp_replace("_header", "^﻿", ""))
+    body = body.withColumn("_cells", _cells(F.col("value"))).withColumn("_names", names)
     width_bad = F.size("_cells") != F.size("_names")
     blank_row = F.trim("value") == ""
     field = lambda c: F.element_at(F.col("_cells"), F.array_position(F.col("_names"), F.lit(c)).cast("int"))
     nums = [field(c) for c in required]
     non_numeric = F.exists(F.array(*nums), lambda v: v.try_cast("double").isNull() | (v == ""))
     booleans = F.exists(F.array(*nums), lambda v: F.lower(v).isin("true", "false"))
-    cyc = field("cycle").try_cast("double")
+    body = body.withColumn("_cycle", field("cycle").try_cast("double"))
+    body = trailing_columns(body, {"_before": lambda w: F.lag("_cycle", 1).over(w)}, unit="file", order="line", lookback=1)
+    cyc, step = F.col("_cycle"), F.col("_cycle") - F.col("_before")
     checks = [
         (F.col("_hdr_problem").isNotNull(), F.col("_hdr_problem")),
         (blank_row, F.lit("blank row")),
@@ -127,13 +157,16 @@ def read_trajectory_csv(spark: SparkSession, path: str, required: Sequence[str]
         (booleans if not allow_booleans else F.lit(False), F.lit("boolean value")),
         (non_numeric, F.lit("non-numeric value")),
         (cyc != F.floor(cyc), F.lit("non-integer cycle")),
+        (cyc <= 0, F.lit("non-positive cycle")),
+        (step == 0, F.lit("duplicate cycle")),
+        (step < 0, F.lit("cycle not increasing")),
+        (step > 1, F.lit("cycle not consecutive")),
     ]
     reason = F.coalesce(*[F.when(c, r) for c, r in checks])
     checked = body.withColumn("reason", reason)
     good = checked.where(F.col("reason").isNull()).select(
         "file", "_id", *[field(c).try_cast("double").alias(c) for c in required])
-    bad = checked.where(F.col("reason").isNotNull()).select("file", (F.col("_id") - F.col("_first")).alias("line"),
-                                                            "reason", "value")
+    bad = checked.where(F.col("reason").isNotNull()).select("file", "line", "reason", "value")
     return good.withColumn("cycle", F.col("cycle").cast("long")), bad
 
 

@@ -30,13 +30,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _VIEWS: dict[tuple[str, str, str], DataFrame] = {}
 
 
+def _version(spark: SparkSession, sf_dir: str) -> int:
+    """Changes when the files that the fixture views read are rewritten."""
+    found = []
+    for name in ("lineitem", "embeddings", "supplier"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(sf_dir, f"{name}.parquet"))
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(path):
+            found += [(s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(path)]
+    return hash(tuple(sorted(found)))
+
+
 def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """A fixture view written once per session to the shared checkpoint dir.
+    """A fixture view written once per session and version of its input files
+    to the shared checkpoint dir.
 
     The views stand in for stored sensor tables: every query reads the
     written Parquet (with pushdown and pruning) instead of re-deriving it.
     """
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), name)
+    key = (spark.sparkContext.applicationId, f"{sf_dir}@{_version(spark, sf_dir)}", name)
     if key not in _VIEWS:
         _VIEWS[key] = materialize(build(spark, sf_dir), f"view-{name}")
     return _VIEWS[key]
