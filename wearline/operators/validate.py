@@ -154,6 +154,17 @@ def trajectory_violations(
     return out.select(key, "n_rows", *rules, first.alias("first_error"))
 
 
+def valid_trajectories(df: DataFrame, unit: str, cycle: str, arrival: str, numeric: Sequence[str]) -> DataFrame:
+    """Rows of the trajectories that break no rule (the gate in front of features and scoring).
+
+    The windows behind the gate may rely on consecutive cycles (V10).  Rows
+    without a unit belong to no valid trajectory."""
+    keyed = df.withColumn("_trajectory", F.col(unit))
+    checked = trajectory_violations(keyed, "_trajectory", unit, cycle, arrival, numeric)
+    good = checked.where(F.col("first_error").isNull()).select(F.col("_trajectory").alias(unit))
+    return df.join(good, unit, "left_semi")
+
+
 def machine_rule_flags(df: DataFrame) -> DataFrame:
     """V11/V12/V2 per observation: value ranges, category domain, finiteness."""
     pos = ["air_temperature", "process_temperature", "rotational_speed"]

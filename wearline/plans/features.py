@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import contracts as C
 from ..functions import columns as X
-from ..operators import detect, windows
+from ..operators import detect, validate, windows
 from ..sources import tables
 from .registry import finish, register
 
@@ -81,6 +81,33 @@ def rul_temporal_features(spark, sf_dir):
     return finish(windows.add_temporal_features(t, SENSORS4))
 
 
+FAULTY_SQL = """fed AS (
+  SELECT unit_id, cycle AS arrival, cycle + CASE WHEN l_quantity = 50 AND l_linenumber = 7 THEN 1 ELSE 0 END AS cycle,
+         sensor_1, sensor_4 FROM traj),
+good AS (
+  SELECT unit_id FROM (SELECT unit_id, cycle, cycle - lag(cycle) OVER (PARTITION BY unit_id ORDER BY arrival) AS step
+                       FROM fed)
+  GROUP BY unit_id HAVING count(CASE WHEN step <> 1 THEN 1 END) = 0 AND min(cycle) > 0)"""
+
+
+@register("validated_rul_features", ops=["V6", "V7", "V8", "V9", "V10", "V13", "M27", "M29"], views=["traj"],
+          round_cols=["sensor_1", "sensor_4"] + [f"{s}_{x}" for s in ("sensor_1", "sensor_4") for x in C.TEMPORAL_SUFFIXES],
+          sql=f"""
+WITH {FAULTY_SQL}
+SELECT unit_id, cycle, sensor_1, sensor_4,
+  {_feature_sql(["sensor_1", "sensor_4"])}
+FROM fed WHERE unit_id IN (SELECT unit_id FROM good)
+{WINDOWS_SQL}""")
+def validated_rul_features(spark, sf_dir):
+    """Trajectories, some with a repeated or skipped cycle, behind the contract
+    gate: features of the units that break no rule, in cycle order."""
+    bump = F.when((F.col("l_quantity") == 50) & (F.col("l_linenumber") == 7), 1).otherwise(0)
+    fed = tables.traj(spark, sf_dir).select(
+        "unit_id", F.col("cycle").alias("arrival"), (F.col("cycle") + bump).alias("cycle"), "sensor_1", "sensor_4")
+    good = validate.valid_trajectories(fed, "unit_id", "cycle", "arrival", ["sensor_1", "sensor_4"]).drop("arrival")
+    return finish(windows.add_temporal_features(good, ["sensor_1", "sensor_4"]))
+
+
 @register("rul_latest_features", ops=["G11", "G19", "P18"], views=["traj"],
           round_cols=SENSORS4 + FEATURE_COLS, sql=f"""
 WITH f AS (
