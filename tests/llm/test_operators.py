@@ -248,6 +248,22 @@ def test_transform_finds_repeated_windows():
             assert mask.tolist() == [counts[s[i : i + length]] > 1 for i in range(len(s) - length + 1)]
 
 
+@pytest.mark.parametrize("size", [300_000, 2_300_000])  # packed words, and a block above them
+def test_transform_of_large_blocks_matches_counting(size):
+    rng = np.random.default_rng(5)
+    shared = [rng.integers(97, 101, 700, np.uint8).tobytes() for _ in range(20)]
+    strings, total = [], 0
+    while total < size:
+        own = rng.integers(97, 101, int(rng.integers(0, 900)), np.uint8).tobytes()
+        part = shared[int(rng.integers(20))]
+        cut = int(rng.integers(0, 300))
+        strings.append(own + part[cut : cut + int(rng.integers(0, 700))])
+        total += len(strings[-1])
+    seen = Counter(hash(s[i : i + 200]) for s in strings for i in range(len(s) - 199))
+    for s, mask in zip(strings, repeated_windows(strings, 200), strict=True):
+        assert mask.tolist() == [seen[hash(s[i : i + 200])] > 1 for i in range(max(0, len(s) - 199))]
+
+
 def test_contamination_in_blocks_equals_one_pass(ready):
     rng = random.Random(6)
     items = [" ".join(words(rng, n)) for n in (13, 14, 40, 5, 1, 200, 12)]
