@@ -107,6 +107,16 @@ def test_request_json(spark):
     assert {r.request_id: r.reason for r in bad.collect()} == {2: "malformed JSON", 3: "no observations"}
 
 
+def test_metadata_rules_follow_the_kind(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "rul-meta")
+    artifacts.write_metadata(spark, {"model_name": "rul", "model_version": "1", "predictor_columns": ["cycle"]}, path)
+    artifacts.require_metadata(spark, path, "rul", ["cycle"])
+    with pytest.raises(ValueError, match="predictors_match_contract"):
+        artifacts.require_metadata(spark, path, "rul", ["cycle", "sensor_2"])
+    with pytest.raises(ValueError, match="risk_thresholds_ordered"):
+        artifacts.require_metadata(spark, path, "failure", ["cycle"])
+
+
 def test_pipeline_artifact_roundtrip(spark, tmp_dir):
     o = tables.obs(spark, SF_SMALL)
     model = Pipeline(stages=models.machine_preprocessing() + [models.classifier("logistic", n_rows=6000)]).fit(o)

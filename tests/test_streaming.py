@@ -87,3 +87,40 @@ def test_stream_scoring(spark, tmp_dir):
     res = spark.sql("SELECT * FROM scored_stream")
     assert res.count() == o.count()
     assert res.where("p_failure < 0 OR p_failure > 1").count() == 0
+
+
+class _State:
+    """Group state of one unit, without a stream."""
+
+    def __init__(self):
+        self.value, self.timeout, self.hasTimedOut = None, None, False
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def setTimeoutDuration(self, ms):
+        self.timeout = ms
+
+
+def test_non_finite_rows_are_rejected_in_every_batch_shape_and_idle_state_goes():
+    update = monitor._update_unit(["s"], 5, 3, idle_ms=1000)
+
+    def run(rows):
+        state = _State()
+        pdf = pd.DataFrame([(i, c, v, False) for i, (c, v) in enumerate(rows)], columns=["arrival", "cycle", "s", "exceeded"])
+        out = pd.concat(list(update((7,), iter([pdf]), state)))
+        return out.set_index(["cycle", "status"])["s_rolling_mean_5"].dropna().to_dict(), list(out["status"]), state
+
+    clean, status, state = run([(1, 1.0), (2, float("nan")), (2, 3.0)])
+    assert clean == {(1, "ok"): 1.0, (2, "ok"): 2.0} and status == ["ok", "non_numeric", "ok"]
+    mixed, status, _ = run([(1, 1.0), (2, float("nan")), (1, 5.0), (2, 3.0)])
+    assert mixed == clean and status == ["ok", "non_numeric", "duplicate", "ok"]
+    assert state.timeout == 1000
+    state.hasTimedOut = True
+    assert list(update((7,), iter([]), state)) == [] and not state.exists

@@ -60,6 +60,7 @@ def train_anomaly(spark: SparkSession, sf_dir: str, out: str, n_trees: int = 300
                         "premature_unit_pct": 100 * u["premature"], "critical_unit_coverage_pct": 100 * u["coverage"],
                         "units_never_alerted": float(u["never"])}}
     artifacts.write_metadata(spark, meta, os.path.join(out, "metadata"))
+    artifacts.require_metadata(spark, os.path.join(out, "metadata"), "anomaly", z)
     return meta
 
 
@@ -77,6 +78,7 @@ def train_rul(spark: SparkSession, sf_dir: str, out: str) -> dict:
             "training_row_count": f.count(),
             "metrics": {"rmse": m["rmse"], "mae": m["mae"], "r2": m["r2"], "penalty_mean": m["penalty_mean"]}}
     artifacts.write_metadata(spark, meta, os.path.join(out, "metadata"))
+    artifacts.require_metadata(spark, os.path.join(out, "metadata"), "rul", RUL_FEATURES)
     return meta
 
 
@@ -103,6 +105,7 @@ def train_failure(spark: SparkSession, sf_dir: str, out: str, thresholds: dict |
                         **{f"platt_a_{i}": a for i, (_, (a, b)) in enumerate(cal.members)},
                         **{f"platt_b_{i}": b for i, (_, (a, b)) in enumerate(cal.members)}}}
     artifacts.write_metadata(spark, meta, os.path.join(out, "metadata"))
+    artifacts.require_metadata(spark, os.path.join(out, "metadata"), "failure", C.MACHINE_RAW_FEATURES)
     return meta
 
 

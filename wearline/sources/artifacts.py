@@ -71,12 +71,21 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(METADATA_SCHEMA).json(path)
 
 
+#: Rules that an artifact's metadata must meet beside name, version and predictors.
+KIND_RULES = {
+    "anomaly": ["threshold_finite", "quantile_in_unit_interval", "p97_5_matches_threshold"],
+    "rul": [],
+    "failure": ["risk_thresholds_ordered"],
+}
+
+
 def metadata_violations(meta: DataFrame, reference_scores: DataFrame | None = None,
-                        contract: list[str] | None = None) -> DataFrame:
+                        contract: list[str] | None = None, kind: str | None = None) -> DataFrame:
     """Every rule as a row (rule, violated).  Rules: non-empty name and
     version, predictor list equals the contract, finite numbers, 0 < medium <
     high < critical < 1, p97_5 equal to the threshold within 1e-12, and
-    reference scores finite and non-empty."""
+    reference scores finite and non-empty.  ``kind`` keeps the rules of one
+    kind of artifact (:data:`KIND_RULES`); without it every rule applies."""
     th = F.col("thresholds")
     rules = {
         "name_present": F.coalesce(F.length(F.trim("model_name")) > 0, F.lit(False)),
@@ -88,6 +97,8 @@ def metadata_violations(meta: DataFrame, reference_scores: DataFrame | None = No
             (th["medium"] > 0) & (th["medium"] < th["high"]) & (th["high"] < th["critical"]) & (th["critical"] < 1),
             F.lit(False)),
     }
+    if kind is not None:
+        rules = {k: v for k, v in rules.items() if k in ("name_present", "version_present", *KIND_RULES[kind])}
     if contract is not None:
         rules["predictors_match_contract"] = F.col("predictor_columns") == F.array(*[F.lit(c) for c in contract])
     checked = meta.select(*[F.coalesce(v, F.lit(False)).alias(k) for k, v in rules.items()])
@@ -101,3 +112,12 @@ def metadata_violations(meta: DataFrame, reference_scores: DataFrame | None = No
                                "'reference_finite', reference_not_finite) AS (rule, violated)")
         out = out.unionByName(extra)
     return out
+
+
+def require_metadata(spark: SparkSession, path: str, kind: str, contract: list[str],
+                     reference_scores: DataFrame | None = None) -> None:
+    """Read written metadata back and fail the job if it breaks a rule of its kind."""
+    checked = metadata_violations(read_metadata(spark, path), reference_scores, contract, kind)
+    broken = sorted(r["rule"] for r in checked.where("violated").collect())  # at most one row per rule
+    if broken:
+        raise ValueError(f"metadata at {path} breaks {broken}")

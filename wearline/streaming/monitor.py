@@ -107,8 +107,13 @@ def _fast_rows(key, cycles, values, flags, pdf, sensors, window, required):
             [bool(x) for x in all_f[keep]])
 
 
-def _update_unit(sensors: Sequence[str], window: int, required: int):
+def _update_unit(sensors: Sequence[str], window: int, required: int, idle_ms: int | None = None):
     def fn(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         if state.exists:
             first, cycles, values, flags = state.get
             cycles, values, flags = list(cycles), [list(v) for v in values], list(flags)
@@ -120,14 +125,19 @@ def _update_unit(sensors: Sequence[str], window: int, required: int):
         cols = [f.name for f in _output_schema(sensors).fields]
         cyc = pdf["cycle"].to_numpy(dtype=np.int64)
         start = cycles[-1] + 1 if cycles else (int(cyc[0]) if len(cyc) else 1)
-        if len(cyc) and start > 0 and np.array_equal(cyc, np.arange(start, start + len(cyc))):
+        finite = np.isfinite(pdf[list(sensors)].to_numpy(dtype=float)).all(axis=1)
+        if len(cyc) and start > 0 and finite.all() and np.array_equal(cyc, np.arange(start, start + len(cyc))):
             res, cycles, values, flags = _fast_rows(key, cycles, values, flags, pdf, sensors, window, required)
             state.update((first if first is not None else int(cyc[0]), cycles, values, flags))
             yield res[cols]
             return
-        for row in pdf.itertuples(index=False):
+        for row, usable in zip(pdf.itertuples(index=False), finite, strict=True):
             cyc = int(row.cycle)
             rec = {"unit_id": int(key[0]), "cycle": cyc}
+            if not usable:
+                rec["status"] = "non_numeric"
+                out.append(rec)
+                continue
             if cycles and cyc <= cycles[-1]:
                 # accepted cycles are one contiguous range [first, last]
                 rec["status"] = "duplicate" if cyc >= first else "out_of_order"
@@ -169,17 +179,21 @@ def _update_unit(sensors: Sequence[str], window: int, required: int):
 
 
 def unit_state_stream(stream: DataFrame, sensors: Sequence[str], window: int = C.PERSISTENCE_WINDOW,
-                      required: int = C.PERSISTENCE_REQUIRED_COUNT) -> DataFrame:
+                      required: int = C.PERSISTENCE_REQUIRED_COUNT, idle_ms: int | None = None) -> DataFrame:
     """Per-unit state -> temporal features, persistence alert, rejects.
 
+    A row with a missing or non-finite sensor value is rejected, whatever else
+    its batch holds.  The state of a unit that sends nothing for ``idle_ms``
+    milliseconds is dropped (kept for ever if None); its next row starts anew.
+
     ``stream`` needs unit_id, cycle, arrival (order within the unit),
     ``exceeded`` and the sensor columns.  Output mode append, one output row
     per input row.
     """
     ship_package(stream.sparkSession)
     return stream.groupBy("unit_id").applyInPandasWithState(
-        _update_unit(list(sensors), window, required), _output_schema(sensors), STATE_SCHEMA, "append",
-        GroupStateTimeout.NoTimeout)
+        _update_unit(list(sensors), window, required, idle_ms), _output_schema(sensors), STATE_SCHEMA, "append",
+        GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def _versions(spark: SparkSession, path: str) -> list[str]:
