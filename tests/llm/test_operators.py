@@ -378,6 +378,21 @@ def test_shards_are_even_and_keep_groups_together(ready):
     assert len(set(groups["hot text"])) < 30  # 200 rows at 15 or 16 a shard; at random they would be on all 40
 
 
+@pytest.mark.parametrize(("sizes", "most_split", "most_shards"), [([2, 3, 4, 5] * 715, 20, 2), ([400] * 25, 25, 3), ([9, 2, 3, 30, 3, 2, 140, 4, 5, 2] * 50, 30, 3)])
+def test_shards_of_copies_only_keep_groups_together(ready, sizes, most_split, most_shards):
+    """Every row has a copy: no shard has free room, 250 rows each."""
+    groups = [k for k, n in enumerate(sizes) for _ in range(n)]
+    docs = ready.createDataFrame([(i, f"text {k}") for i, k in enumerate(groups)], "doc_id long, text string").repartition(4)
+    rows = sharding.shard(docs, shards=40).collect()
+    load, held = Counter(r.shard for r in rows), {}
+    for r in rows:
+        held.setdefault(groups[r.doc_id], set()).add(r.shard)
+    assert len(rows) == len({r.doc_id for r in rows}) == len(groups) and len({(r.shard, r.slot) for r in rows}) == len(rows)
+    assert all(r.linked for r in rows) and max(load.values()) - min(load.values()) <= 1
+    split = [s for s in held.values() if len(s) > 1]
+    assert len(split) <= most_split and all(len(s) <= most_shards for s in held.values())
+
+
 def test_toxicity_learns_severity(ready):
     rng = random.Random(0)
     bad = ["vileword", "nastyword", "grimword"]
