@@ -204,6 +204,27 @@ def test_quality_removes_boilerplate_and_rejects_depleted(ready):
     assert cleaned == {i: texts[i].split("\n")[0] for i in range(12)}
 
 
+def test_quality_production_limits_fire_as_in_the_sql(ready):
+    import duckdb
+
+    from wearline.llm.sql import ORACLES
+
+    rng = random.Random(5)
+    body = lambda: " ".join(words(rng, 60))
+    rows = [("hit", f"{body()}\nshared footer line of this host") for _ in range(55)] + [("hit", body()) for _ in range(5)]
+    rows += [("hit", f"shared footer line of this host\nmore {k}") for k in range(3)]
+    rows += [("small", f"{body()}\nshared footer line of this host") for _ in range(49)]
+    rows += [("copies", f"{rows[0][1]}\nown")] * 60 + [("copies", body()) for _ in range(20)]
+    df = ready.createDataFrame([(i, t, h) for i, (h, t) in enumerate(rows)], "doc_id long, text string, source string")
+    got = {r.doc_id: (r.n_lost_words, r.kept) for r in quality.assess(df).collect()}
+    lost = Counter((rows[i][0], n) for i, (n, _) in got.items())
+    assert lost == {("hit", 6): 58, ("hit", 0): 5, ("small", 0): 49, ("copies", 0): 80}
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    want = con.sql(f"SELECT doc_id, n_lost_words, kept FROM ({ORACLES['op6_quality']})").df()
+    assert got == {r.doc_id: (r.n_lost_words, r.kept) for r in want.itertuples()}
+
+
 def test_quality_statistics_of_edges(ready):
     got = {r.doc_id: r for r in quality.assess(documents(ready, edge_texts())).collect()}
     assert [got[i].n_words for i in range(4)] == [0, 0, 0, 1] and got[0].base_failed
