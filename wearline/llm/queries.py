@@ -13,6 +13,7 @@ from wearline.llm import (
     linedup,
     neardup,
     packing,
+    phrases,
     quality,
     sharding,
     substring,
@@ -88,6 +89,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best collocations of every language."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py, one after the other."""
     import corpus_pipeline
@@ -99,7 +105,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_warc, op2_toxicity, op3_line_dedup, op4_packing, op5_language_id, op6_quality, op7_substring_dedup,
-        op8_decontaminate, op9_near_duplicates, op10_sharding, pipeline,
+        op8_decontaminate, op9_near_duplicates, op10_sharding, op11_phrases, pipeline,
     )
 }
 __all__ = ["ORACLES", "QUERIES"]

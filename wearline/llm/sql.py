@@ -120,10 +120,46 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) m USING (doc_id)
 """)
 
+OP11 = r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^.,;:!?\x0A-\x0D]+')) AS piece
+  FROM documents
+), words AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM piece
+), gram AS (
+  SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k
+), counted AS (
+  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS f FROM gram GROUP BY ALL
+), total AS (
+  SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counted WHERE k = 1 GROUP BY lang
+), candidate AS (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM counted WHERE k >= 2 AND f >= 30
+), cut AS (
+  SELECT c.lang, c.phrase, c.a, c.first, l.f AS l, r.f AS r, CAST(2000000::HUGEINT * c.a // (l.f + r.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS first FROM candidate) c
+  JOIN counted l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1 : c.first], ' ')
+  JOIN counted r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.first + 1 : c.k], ' ')
+), weakest AS (
+  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, first) = 1
+), inner_phrase AS (
+  SELECT lang, array_to_string(w[i : i + size - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT lang, w, a, size, unnest(range(1, k - size + 2)) AS i
+        FROM candidate, (SELECT unnest([2, 3]) AS size) WHERE size < k) GROUP BY ALL
+), kept AS (
+  SELECT w.* FROM weakest w LEFT JOIN inner_phrase p ON p.lang = w.lang AND p.phrase = w.phrase
+  WHERE p.longer IS NULL OR 100::HUGEINT * p.longer < 80::HUGEINT * w.a
+)
+SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept k JOIN total t ON t.lang = k.lang
+QUALIFY row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
 ORACLES: dict[str, str] = {
     "op1_warc": OP1,
     "op3_line_dedup": OP3,
     "op6_quality": OP6,
     "op8_decontaminate": OP8,
     "op9_near_duplicates": OP9,
+    "op11_phrases": OP11,
 }
