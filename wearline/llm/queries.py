@@ -11,6 +11,7 @@ from wearline.llm import (
     decontaminate,
     langid,
     linedup,
+    merkle,
     neardup,
     packing,
     phrases,
@@ -94,6 +95,12 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proof of every document, and the root that tampered ones fold to."""
+    manifest = merkle.build(table(spark, sf_dir, "documents"), also={"tampered": merkle.tampered_by_one(7)})
+    return merkle.verify(manifest, "tampered")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py, one after the other."""
     import corpus_pipeline
@@ -105,7 +112,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_warc, op2_toxicity, op3_line_dedup, op4_packing, op5_language_id, op6_quality, op7_substring_dedup,
-        op8_decontaminate, op9_near_duplicates, op10_sharding, op11_phrases, pipeline,
+        op8_decontaminate, op9_near_duplicates, op10_sharding, op11_phrases, op12_merkle, pipeline,
     )
 }
 __all__ = ["ORACLES", "QUERIES"]

@@ -155,6 +155,62 @@ FROM kept k JOIN total t ON t.lang = k.lang
 QUALIFY row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) <= 2000
 """
 
+def _field(col: str, value: str) -> str:
+    return f"CASE WHEN {col} IS NULL THEN '-' ELSE octet_length(encode(CAST({value} AS VARCHAR))) || ':' || {value} END"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    fields = [("doc_id", "doc_id"), ("source", "source"), ("lang", "lang"), ("n_chars", n_chars), ("text", "text")]
+    return "sha256(" + " || ".join(_field(c, v) for c, v in fields) + ")"
+
+
+#: Unsigned CRC-32 of the decimal doc_id, byte by byte and bit by bit.
+_CRC = """xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+  lambda crc, byte: list_reduce(range(8), lambda a, i: xor(a >> 1, 3988292384 * (a & 1)), xor(crc, byte)), 4294967295), 4294967295)"""
+
+OP12 = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, CASE WHEN lang IS NULL THEN '-' ELSE '=' || lang END AS tree, {_leaf_sql('n_chars')} AS leaf,
+         CASE WHEN crc32_of % 7 = 0 THEN {_leaf_sql('(n_chars + 1)')} END AS changed
+  FROM (SELECT *, {_CRC} AS crc32_of FROM documents)
+), leaf AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM d
+), node AS (
+  SELECT tree, 0 AS lvl, pos, n, leaf AS h FROM leaf
+  UNION ALL
+  SELECT tree, lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM node WHERE n > 1 GROUP BY tree, lvl, pos // 2, n
+), lang_root AS (
+  SELECT tree, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS top_pos, count(*) OVER () AS top_n FROM node WHERE n = 1
+), top AS (
+  SELECT 0 AS lvl, top_pos AS pos, top_n AS n, subroot AS h FROM lang_root
+  UNION ALL
+  SELECT lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY lvl, pos // 2, n
+), sibling AS (
+  SELECT l.tree, l.pos, t.lvl, t.h FROM leaf l JOIN node t ON t.tree = l.tree AND t.n > 1 AND t.pos = xor(l.pos >> t.lvl, 1)
+), top_sibling AS (
+  SELECT r.tree, t.lvl, t.h FROM lang_root r JOIN top t ON t.n > 1 AND t.pos = xor(r.top_pos >> t.lvl, 1)
+), proof AS (
+  SELECT tree, pos, string_agg(h, '' ORDER BY part, lvl) AS path FROM (
+    SELECT tree, pos, 0 AS part, lvl, h FROM sibling
+    UNION ALL SELECT l.tree, l.pos, 1, s.lvl, s.h FROM leaf l JOIN top_sibling s USING (tree)) GROUP BY tree, pos
+), fold AS (
+  SELECT tree, pos, 0 AS lvl, pos AS at, n, coalesce(changed, leaf) AS h FROM leaf
+  UNION ALL
+  SELECT f.tree, f.pos, f.lvl + 1, f.at // 2, (f.n + 1) // 2,
+         sha256(CASE WHEN s.h IS NULL THEN f.h WHEN f.at % 2 = 1 THEN s.h || f.h ELSE f.h || s.h END)
+  FROM fold f LEFT JOIN sibling s ON s.tree = f.tree AND s.pos = f.pos AND s.lvl = f.lvl WHERE f.n > 1
+), top_fold AS (
+  SELECT f.tree, f.pos, 0 AS lvl, r.top_pos AS at, r.top_n AS n, f.h FROM fold f JOIN lang_root r USING (tree) WHERE f.n = 1
+  UNION ALL
+  SELECT f.tree, f.pos, f.lvl + 1, f.at // 2, (f.n + 1) // 2,
+         sha256(CASE WHEN s.h IS NULL THEN f.h WHEN f.at % 2 = 1 THEN s.h || f.h ELSE f.h || s.h END)
+  FROM top_fold f LEFT JOIN top_sibling s ON s.tree = f.tree AND s.lvl = f.lvl WHERE f.n > 1
+)
+SELECT l.doc_id, l.leaf, r.subroot, t.h AS root, sha256(coalesce(p.path, '')) AS proof_sha256, f.h AS folded_root, f.h = t.h AS verified
+FROM leaf l JOIN lang_root r USING (tree) JOIN top_fold f ON f.tree = l.tree AND f.pos = l.pos AND f.n = 1
+JOIN (SELECT h FROM top WHERE n = 1) t ON true LEFT JOIN proof p ON p.tree = l.tree AND p.pos = l.pos
+"""
+
 ORACLES: dict[str, str] = {
     "op1_warc": OP1,
     "op3_line_dedup": OP3,
@@ -162,4 +218,5 @@ ORACLES: dict[str, str] = {
     "op8_decontaminate": OP8,
     "op9_near_duplicates": OP9,
     "op11_phrases": OP11,
+    "op12_merkle": OP12,
 }
