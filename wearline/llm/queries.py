@@ -16,6 +16,7 @@ from wearline.llm import (
     packing,
     phrases,
     quality,
+    rules,
     sharding,
     substring,
     toxicity,
@@ -101,6 +102,17 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(manifest, "tampered")
 
 
+def op13_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; learned from four fifths of the labels."""
+    def held(doc_id: str):
+        return F.coalesce(F.pmod(F.crc32(F.encode(F.col(doc_id).cast("string"), "UTF-8")), F.lit(5)) == 0, F.lit(False))
+
+    docs = table(spark, sf_dir, "documents")
+    model = rules.train(docs, table(spark, sf_dir, "labels").where(~held("doc_id")))
+    scored = rules.score(docs, model)
+    return scored.select("doc_id", held("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_rules")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py, one after the other."""
     import corpus_pipeline
@@ -112,7 +124,8 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_warc, op2_toxicity, op3_line_dedup, op4_packing, op5_language_id, op6_quality, op7_substring_dedup,
-        op8_decontaminate, op9_near_duplicates, op10_sharding, op11_phrases, op12_merkle, pipeline,
+        op8_decontaminate, op9_near_duplicates, op10_sharding, op11_phrases, op12_merkle,
+        op13_quality_score, pipeline,
     )
 }
 __all__ = ["ORACLES", "QUERIES"]
