@@ -9,10 +9,13 @@ a failure of the sample: it is proposed now, and a further pass counts what its
 coming in adds to the border.  The passes end when a pass proposes nothing new,
 so the counts do not depend on the sample.
 
-The proposals travel as a bit table of fixed size.  A phrase that hits it by
-chance is counted in vain and falls to the threshold; one that was proposed is
-never missed.  A phrase is counted whole in the one pass whose table first
-admits it, since tables only gain bits.
+These passes tell phrases apart by a 64-bit hash, and the proposals travel as a
+bit table of fixed size.  A phrase that hits the table by chance is counted in
+vain; one that was proposed is never missed.  A phrase is counted whole in the
+one pass whose table first admits it, since tables only gain bits.  Two phrases
+of one hash could pass together what neither would alone, never less, so a last
+pass counts by text those whose hash was found frequent: its counts are the
+result.
 """
 
 from __future__ import annotations
@@ -30,8 +33,9 @@ from wearline.llm.text import U64, Words, mix, texts
 
 LONGEST = 4
 MIN_COUNT = 30
-#: One document in SAMPLE is sampled; two sightings there propose a phrase.
-SAMPLE, SAMPLE_COUNT = 8, 2
+#: One document in SAMPLE is sampled; SAMPLE_COUNT sightings there propose a phrase.  Both only
+#: shift work between the full pass and the passes behind it, never a count.
+SAMPLE, SAMPLE_COUNT = 16, 4
 #: log2 of the bits of the table of proposals (8 MB).
 TABLE_BITS = 26
 KEEP_PER_LANG = 2000
@@ -43,12 +47,10 @@ _WORD = ~_BREAK
 _WORD[[0x20, 0x09]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASES = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F))
+_BASE = U64(0x9E3779B97F4A7C15)
 
-_COUNTS = "lang string, k int, h long, phrase string, n long"
 
-
-def _cut_long(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _cut_long(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(bytes, offsets, document of each part) of about ``most`` bytes.
 
     A document above that is cut behind a byte that ends a piece, where no
@@ -84,7 +86,7 @@ def _lang_codes(column: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
 
 def _bits_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     shift = U64(64 - TABLE_BITS)
-    return h >> shift, (h * _BASES[0]) >> shift
+    return h >> shift, (h * _BASE) >> shift
 
 
 def _admitted(table: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -110,93 +112,103 @@ def _spell(data: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarr
     return pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(out))
 
 
-def _count_part(data, offsets, lang, lang_hash, names, admit, count_words: bool) -> Iterator[pa.RecordBatch]:
-    """Counts of the admitted phrases of some documents; ``lang``: code by document."""
-    words = Words(data, offsets, _WORD)
-    n = len(words.start)
-    if not n:
-        return
-    breaks = np.zeros(len(data) + 1, np.int32)
-    np.cumsum(_BREAK[data], out=breaks[1:])
-    joined = (breaks[words.start[1:]] == breaks[words.start[:-1]]) & (words.doc[1:] == words.doc[:-1])
-    code = lang[words.doc]
-    salt = lang_hash[code]
-    if count_words:
-        totals = np.bincount(code, minlength=len(names))
-        seen = np.flatnonzero(totals)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([names[c] for c in seen], pa.string()), pa.array(np.zeros(len(seen), np.int32)),
-             pa.array(np.zeros(len(seen), np.int64)), pa.array([""] * len(seen), pa.string()), pa.array(totals[seen].astype(np.int64))],
-            names=["lang", "k", "h", "phrase", "n"])
-    word = words.hashes(True)
-    rolling = [word.copy(), word.copy()]
-    keyed = mix(rolling[0] ^ salt)
-    valid = np.ones(n, bool)
-    for k in range(1, LONGEST + 1):
-        if k > 1:
-            shorter, m = keyed, n - k + 1
-            if m <= 0:
-                return
-            valid = valid[:m] & joined[k - 2 : k - 2 + m]
-            rolling = [r[:m] * base + word[k - 1 : k - 1 + m] for r, base in zip(rolling, _BASES, strict=True)]
-            keyed = mix(mix(rolling[0]) ^ salt[:m] ^ U64(k))
-            at = np.flatnonzero(valid)
-            at = at[admit(shorter[at], shorter[at + 1])]
-        elif count_words:
-            at = np.arange(n)
-        else:
-            continue
-        if not len(at):
-            continue
-        order = at[np.argsort(keyed[at])]
-        a, b = keyed[order], rolling[1][order]
-        new = np.ones(len(order), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        runs = np.flatnonzero(new)
-        first = order[runs]
-        counts = np.diff(np.append(runs, len(order)))
-        step = 1 << 18  # a column of strings stays below 2 GB
-        for i in range(0, len(first), step):
-            some = first[i : i + step]
-            langs = pa.DictionaryArray.from_arrays(pa.array(code[some].astype(np.int32)), pa.array(names, pa.string())).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [langs, pa.array(np.full(len(some), k, np.int32)), pa.array(keyed[some].view(np.int64)),
-                 _spell(words.data, words.start, words.end, some, k), pa.array(counts[i : i + step].astype(np.int64))],
-                names=["lang", "k", "h", "phrase", "n"])
-
+class _Phrases:
+    """The phrases of some documents: by length, the word each begins with and its hash.
 
-def _count(docs: DataFrame, old, new) -> DataFrame:
-    """Exact counts of the phrases that table ``new`` admits and ``old`` does not.
+    ``lang``: code of the language by document, ``lang_hash`` by code.  The hash
+    takes in the language.
+    """
 
-    ``new`` None admits every phrase; ``old`` None none.  Words and their total
-    (as a phrase of no words) are counted where ``old`` is None.
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lang: np.ndarray, lang_hash: np.ndarray):
+        self.words = words = Words(data, offsets, _WORD)
+        n = len(words.start)
+        breaks = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(_BREAK[data], out=breaks[1:])
+        joined = (breaks[words.start[1:]] == breaks[words.start[:-1]]) & (words.doc[1:] == words.doc[:-1])
+        self.lang = lang[words.doc]
+        salt = lang_hash[self.lang]
+        word = words.hashes(True)
+        self.valid, self.hash = [np.ones(n, bool)], [mix(word ^ salt)]
+        rolling = word
+        for k in range(2, min(LONGEST, n) + 1):
+            m = n - k + 1
+            rolling = rolling[:m] * _BASE + word[k - 1 :]
+            self.valid.append(self.valid[-1][:m] & joined[k - 2 :])
+            self.hash.append(mix(mix(rolling) ^ salt[:m] ^ U64(k)))
+
+    def of(self, k: int) -> np.ndarray:
+        """First words of the phrases of ``k`` words."""
+        return np.flatnonzero(self.valid[k - 1]) if k <= len(self.valid) else np.zeros(0, np.int64)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Phrases, list[str]]]:
+    for batch in batches:
+        code, names, hashes = _lang_codes(batch.column(0))
+        data, offsets = texts(batch.column(1))
+        for part, part_offsets, of in _cut_long(data, offsets):
+            found = _Phrases(part, part_offsets, code[of], hashes)
+            if len(found.words.start):
+                yield found, names
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+
+
+def _hashed_counts(docs: DataFrame, old, new) -> DataFrame:
+    """(h, n): how often the phrases of hash ``h`` occur that table ``new`` admits and ``old`` does not.
+
+    ``new`` None admits every phrase; ``old`` None none, and then single words count too.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = None if new is None else np.frombuffer(new.value, np.uint8)
         then = None if old is None else np.frombuffer(old.value, np.uint8)
-
-        def admit(first: np.ndarray, last: np.ndarray) -> np.ndarray:
-            if now is None:
-                return np.ones(len(first), bool)
-            out = _admitted(now, first) & _admitted(now, last)
-            if then is not None:
-                out &= ~(_admitted(then, first) & _admitted(then, last))
-            return out
-
-        for batch in batches:
-            code, names, hashes = _lang_codes(batch.column(0))
-            data, offsets = texts(batch.column(1))
-            for part, part_offsets, of in _cut_long(data, offsets):
-                yield from _count_part(part, part_offsets, code[of], hashes, names, admit, then is None)
-
-    rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    parts = rows.mapInArrow(count, _COUNTS)
-    return parts.groupBy("lang", "k", "h", "phrase").agg(F.sum("n").alias("n"))
-
-
-def _table(frequent: DataFrame) -> np.ndarray:
-    """Bit table of phrases: bits are merged per 64-bit word by Spark, the table has a fixed size."""
-
+        for found, _ in _parts(batches):
+            counted = [found.hash[0]] if then is None else []
+            for k in range(2, LONGEST + 1):
+                at = found.of(k)
+                if now is not None:
+                    first, last = found.hash[k - 2][at], found.hash[k - 2][at + 1]
+                    admitted = _admitted(now, first) & _admitted(now, last)
+                    if then is not None:
+                        admitted &= ~(_admitted(then, first) & _admitted(then, last))
+                    at = at[admitted]
+                if len(at):
+                    counted.append(found.hash[k - 1][at])
+            if counted:
+                h, n = np.unique(np.concatenate(counted), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+    return _rows(docs).mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def _exact_counts(docs: DataFrame, table) -> DataFrame:
+    """Counts by text of the phrases whose own hash is in ``table``, and all words as a phrase of no words."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.frombuffer(table.value, np.uint8)
+        for found, names in _parts(batches):
+            words, langs = found.words, pa.array(names, pa.string())
+            total = np.bincount(found.lang, minlength=len(names))
+            yield pa.RecordBatch.from_arrays(
+                [langs, pa.array(np.zeros(len(names), np.int32)), pa.repeat(pa.scalar("", pa.string()), len(names)), pa.array(total.astype(np.int64))],
+                names=["lang", "k", "phrase", "n"])
+            for k in range(1, LONGEST + 1):
+                at = found.of(k)
+                at = at[_admitted(wanted, found.hash[k - 1][at])] if len(at) else at
+                for i in range(0, len(at), 1 << 16):
+                    some = at[i : i + (1 << 16)]
+                    spelled = pa.table({"lang": pa.array(found.lang[some]), "phrase": _spell(words.data, words.start, words.end, some, k)})
+                    counted = spelled.group_by(["lang", "phrase"]).aggregate([([], "count_all")])
+                    yield pa.RecordBatch.from_arrays(
+                        [langs.take(counted.column("lang").combine_chunks()), pa.array(np.full(len(counted), k, np.int32)),
+                         counted.column("phrase").combine_chunks(), counted.column("count_all").combine_chunks()], names=["lang", "k", "phrase", "n"])
+
+    parts = _rows(docs).mapInArrow(count, "lang string, k int, phrase string, n long")
+    return parts.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
+
+
+def _table(hashes: DataFrame) -> np.ndarray:
+    """Bit table of the hashes ``h``: Spark merges the bits of each 64-bit word, the table has a fixed size."""
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h = batch.column(0).to_numpy().view(np.uint64)
@@ -204,8 +216,8 @@ def _table(frequent: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array((bit >> U64(6)).astype(np.int64)), pa.array((U64(1) << (bit & U64(63))).view(np.int64))], names=["at", "bits"])
 
-    merged = frequent.where(F.col("k").between(1, LONGEST - 1)).select("h").mapInArrow(bits, "at long, bits long")
-    found = merged.groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    merged = hashes.select("h").mapInArrow(bits, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    found = merged.toArrow()
     table = np.zeros(1 << (TABLE_BITS - 6), np.uint64)
     table[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return table
@@ -220,21 +232,24 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, sample: int =
     Texts without a word, and tables without a row, give nothing.
     """
     context = docs.sparkSession.sparkContext
-    docs = docs.select("lang", "text")
-    sampled = docs.where(F.pmod(F.xxhash64(F.lit("sample"), "text", "lang"), F.lit(sample)) == 0)
-    table = _table(_count(sampled, None, None).where(F.col("n") >= sample_count))
-    old, found = None, None
+    sampled = docs.where(F.pmod(F.xxhash64(F.lit("sample"), *[c for c in ("doc_id", "text", "lang") if c in docs.columns]), F.lit(sample)) == 0)
+    table = _table(_hashed_counts(sampled, None, None).where(F.col("n") >= sample_count))
+    frequent = np.zeros_like(table)
+    old = None
     while True:
         new = context.broadcast(table.tobytes())
-        counted = store(_count(docs, old, new).where((F.col("k") == 0) | (F.col("n") >= min_count)), "phrases")
-        found = counted if found is None else found.unionByName(counted)
-        grown = table | _table(counted)
+        counted = store(_hashed_counts(docs, old, new).where(F.col("n") >= min_count), "phrases")
+        found = _table(counted)
+        frequent |= found
+        grown = table | found
         if old is not None:
             old.unpersist()
         if (grown == table).all():
             new.unpersist()
-            return found.select("lang", "k", "phrase", "n")
+            break
         old, table = new, grown
+    exact = _exact_counts(docs, context.broadcast(frequent.tobytes()))
+    return store(exact.where((F.col("k") == 0) & (F.col("n") > 0) | (F.col("k") > 0) & (F.col("n") >= min_count)), "phrases")
 
 
 def _wide(col: str):
