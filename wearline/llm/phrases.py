@@ -3,19 +3,19 @@
 A phrase is 1 to ``longest`` consecutive words of one piece of a text, counted
 per language.  A sample of the documents proposes phrases; the full pass counts
 them exactly together with their negative border, which for contiguous phrases
-are those whose first and last words-but-one are both proposed (all single
-words belong to it).  A frequent phrase of the border that was not proposed is
-a failure of the sample: it is proposed now, and a further pass counts what its
-coming in adds to the border.  The passes end when a pass proposes nothing new,
-so the counts do not depend on the sample.
+are those of which both shorter parts are proposed (all single words belong to
+it).  A frequent phrase of the border that was not proposed is a failure of the
+sample; then a closing pass counts every phrase not counted yet whose shorter
+parts are all frequent or not known either.  A frequent phrase has frequent
+parts only, so by induction over its length that pass leaves none out: one
+expansion closes the border, and the counts do not depend on the sample.
 
 These passes tell phrases apart by a 64-bit hash, and the proposals travel as a
 bit table of fixed size.  A phrase that hits the table by chance is counted in
-vain; one that was proposed is never missed.  A phrase is counted whole in the
-one pass whose table first admits it, since tables only gain bits.  Two phrases
-of one hash could pass together what neither would alone, never less, so a last
-pass counts by text those whose hash was found frequent: its counts are the
-result.
+vain; one that was proposed is never missed.  A phrase is counted whole in one
+pass, the two conditions exclude each other.  Two phrases of one hash could
+pass together what neither would alone, never less, so a last pass counts by
+text those whose hash was found frequent: its counts are the result.
 """
 
 from __future__ import annotations
@@ -47,10 +47,10 @@ _WORD = ~_BREAK
 _WORD[[0x20, 0x09]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE = U64(0x9E3779B97F4A7C15)
+_BASE, _OTHER_BASE = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
 
 
-def _cut_long(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _cut_long(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(bytes, offsets, document of each part) of about ``most`` bytes.
 
     A document above that is cut behind a byte that ends a piece, where no
@@ -127,7 +127,7 @@ class _Phrases:
         joined = (breaks[words.start[1:]] == breaks[words.start[:-1]]) & (words.doc[1:] == words.doc[:-1])
         self.lang = lang[words.doc]
         salt = lang_hash[self.lang]
-        word = words.hashes(True)
+        word = self.word = words.hashes(True)
         self.valid, self.hash = [np.ones(n, bool)], [mix(word ^ salt)]
         rolling = word
         for k in range(2, min(LONGEST, n) + 1):
@@ -136,6 +136,14 @@ class _Phrases:
             self.valid.append(self.valid[-1][:m] & joined[k - 2 :])
             self.hash.append(mix(mix(rolling) ^ salt[:m] ^ U64(k)))
 
+    def second(self, k: int, at: np.ndarray) -> np.ndarray:
+        """Another hash of the phrases of ``k`` words from the words ``at`` on, and of their words' sizes."""
+        out = np.zeros(len(at), np.uint64)
+        for j in range(k):
+            size = (self.words.end[at + j] - self.words.start[at + j]).astype(np.uint64)
+            out = (out + self.word[at + j]) * _OTHER_BASE + size
+        return out
+
     def of(self, k: int) -> np.ndarray:
         """First words of the phrases of ``k`` words."""
         return np.flatnonzero(self.valid[k - 1]) if k <= len(self.valid) else np.zeros(0, np.int64)
@@ -149,30 +157,44 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Phrases, list[s
             found = _Phrases(part, part_offsets, code[of], hashes)
             if len(found.words.start):
                 yield found, names
+        pa.default_memory_pool().release_unused()
 
 
 def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
 
 
-def _hashed_counts(docs: DataFrame, old, new) -> DataFrame:
-    """(h, n): how often the phrases of hash ``h`` occur that table ``new`` admits and ``old`` does not.
+def _hashed_counts(docs: DataFrame, proposed, closing=None) -> DataFrame:
+    """(h, n): how often the phrases of hash ``h`` occur.
 
-    ``new`` None admits every phrase; ``old`` None none, and then single words count too.
+    ``proposed`` None: every phrase.  A table: single words, and what has both
+    its shorter parts (without the last or the first word) in the table.
+    ``closing``, a table that holds ``proposed``: what the pass with
+    ``proposed`` left out and has each shorter part in ``closing`` or among the
+    phrases counted here.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = None if new is None else np.frombuffer(new.value, np.uint8)
-        then = None if old is None else np.frombuffer(old.value, np.uint8)
+        first_table = None if proposed is None else np.frombuffer(proposed.value, np.uint8)
+        second_table = None if closing is None else np.frombuffer(closing.value, np.uint8)
         for found, _ in _parts(batches):
-            counted = [found.hash[0]] if then is None else []
+            counted = [found.hash[0]] if second_table is None else []
+            open_ = np.zeros(len(found.hash[0]), bool)  # shorter phrases counted in this pass
             for k in range(2, LONGEST + 1):
                 at = found.of(k)
-                if now is not None:
-                    first, last = found.hash[k - 2][at], found.hash[k - 2][at + 1]
-                    admitted = _admitted(now, first) & _admitted(now, last)
-                    if then is not None:
-                        admitted &= ~(_admitted(then, first) & _admitted(then, last))
-                    at = at[admitted]
+                if not len(at):
+                    break
+                if first_table is not None:
+                    shorter = found.hash[k - 2]
+                    known = _admitted(first_table, shorter)
+                    in_first = known[at] & known[at + 1]
+                    if second_table is None:
+                        at = at[in_first]
+                    else:
+                        at = at[~in_first]
+                        at = at[open_[at] | _admitted(second_table, shorter[at])]
+                        at = at[open_[at + 1] | _admitted(second_table, shorter[at + 1])]
+                        open_ = np.zeros(len(open_), bool)
+                        open_[at] = True
                 if len(at):
                     counted.append(found.hash[k - 1][at])
             if counted:
@@ -182,26 +204,46 @@ def _hashed_counts(docs: DataFrame, old, new) -> DataFrame:
     return _rows(docs).mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def _exact_counts(docs: DataFrame, table) -> DataFrame:
-    """Counts by text of the phrases whose own hash is in ``table``, and all words as a phrase of no words."""
+def _exact_counts(docs: DataFrame, table, most: int = 1 << 17) -> DataFrame:
+    """Counts by text of the phrases whose own hash is in ``table``, and all words as a phrase of no words.
+
+    A task holds ``most`` counts before it hands them on.
+    """
+    columns = ["lang", "k", "phrase"]
+
+    def merged(tables: list[pa.Table]) -> pa.Table:
+        out = pa.concat_tables(tables).group_by(columns, use_threads=False).aggregate([("n", "sum")])
+        return out.rename_columns([c.removesuffix("_sum") for c in out.column_names]).select([*columns, "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.frombuffer(table.value, np.uint8)
+        held: list[pa.Table] = []
         for found, names in _parts(batches):
             words, langs = found.words, pa.array(names, pa.string())
             total = np.bincount(found.lang, minlength=len(names))
-            yield pa.RecordBatch.from_arrays(
-                [langs, pa.array(np.zeros(len(names), np.int32)), pa.repeat(pa.scalar("", pa.string()), len(names)), pa.array(total.astype(np.int64))],
-                names=["lang", "k", "phrase", "n"])
+            held.append(pa.table({
+                "lang": langs, "k": pa.array(np.zeros(len(names), np.int32)), "phrase": pa.array([""] * len(names), pa.string()),
+                "n": pa.array(total.astype(np.int64))}))
             for k in range(1, LONGEST + 1):
                 at = found.of(k)
                 at = at[_admitted(wanted, found.hash[k - 1][at])] if len(at) else at
-                for i in range(0, len(at), 1 << 16):
-                    some = at[i : i + (1 << 16)]
-                    spelled = pa.table({"lang": pa.array(found.lang[some]), "phrase": _spell(words.data, words.start, words.end, some, k)})
-                    counted = spelled.group_by(["lang", "phrase"]).aggregate([([], "count_all")])
-                    yield pa.RecordBatch.from_arrays(
-                        [langs.take(counted.column("lang").combine_chunks()), pa.array(np.full(len(counted), k, np.int32)),
-                         counted.column("phrase").combine_chunks(), counted.column("count_all").combine_chunks()], names=["lang", "k", "phrase", "n"])
+                for i in range(0, len(at), 1 << 15):
+                    some = at[i : i + (1 << 15)]
+                    _, first, own, n = np.unique(found.hash[k - 1][some], return_index=True, return_inverse=True, return_counts=True)
+                    second = found.second(k, some)
+                    if (second[first][own] == second).all():
+                        some = some[first]
+                    else:  # two phrases of one hash
+                        n = np.ones(len(some), np.int64)
+                    held.append(pa.table({
+                        "lang": langs.take(pa.array(found.lang[some])), "k": pa.array(np.full(len(some), k, np.int32)),
+                        "phrase": _spell(words.data, words.start, words.end, some, k), "n": pa.array(n.astype(np.int64))}))
+            if sum(t.num_rows for t in held) > most:
+                held = [merged(held)]
+                if held[0].num_rows > most // 2:
+                    yield from held.pop().to_batches()
+        if held:
+            yield from merged(held).to_batches()
 
     parts = _rows(docs).mapInArrow(count, "lang string, k int, phrase string, n long")
     return parts.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
@@ -233,21 +275,14 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, sample: int =
     """
     context = docs.sparkSession.sparkContext
     sampled = docs.where(F.pmod(F.xxhash64(F.lit("sample"), *[c for c in ("doc_id", "text", "lang") if c in docs.columns]), F.lit(sample)) == 0)
-    table = _table(_hashed_counts(sampled, None, None).where(F.col("n") >= sample_count))
-    frequent = np.zeros_like(table)
-    old = None
-    while True:
-        new = context.broadcast(table.tobytes())
-        counted = store(_hashed_counts(docs, old, new).where(F.col("n") >= min_count), "phrases")
-        found = _table(counted)
-        frequent |= found
-        grown = table | found
-        if old is not None:
-            old.unpersist()
-        if (grown == table).all():
-            new.unpersist()
-            break
-        old, table = new, grown
+    table = _table(_hashed_counts(sampled, None).where(F.col("n") >= sample_count))
+    proposed = context.broadcast(table.tobytes())
+    counted = store(_hashed_counts(docs, proposed).where(F.col("n") >= min_count), "phrases")
+    frequent = _table(counted)
+    if (frequent & ~table).any():
+        closing = context.broadcast((table | frequent).tobytes())
+        failed = store(_hashed_counts(docs, proposed, closing).where(F.col("n") >= min_count), "phrases")
+        frequent |= _table(failed)
     exact = _exact_counts(docs, context.broadcast(frequent.tobytes()))
     return store(exact.where((F.col("k") == 0) & (F.col("n") > 0) | (F.col("k") > 0) & (F.col("n") >= min_count)), "phrases")
 
