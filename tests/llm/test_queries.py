@@ -31,8 +31,8 @@ def test_query_equals_its_sql(spark, name):
     assert same(QUERIES[name](spark, SF).toPandas(), con.sql(ORACLES[name]).df())
 
 
-def test_eleven_queries_are_registered():
-    assert [n.split("_")[0] for n in QUERIES] == [*(f"op{k}" for k in range(1, 11)), "pipeline"]
+def test_fourteen_queries_are_registered():
+    assert [n.split("_")[0] for n in QUERIES] == [*(f"op{k}" for k in range(1, 14)), "pipeline"]
 
 
 def test_pipeline_keeps_clean_documents_and_one_of_each_group(spark):
