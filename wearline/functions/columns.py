@@ -168,12 +168,15 @@ def small_sample_flag(n: Column | str) -> Column:
 
 
 def feature_family(name: Column | str) -> Column:
+    """P25: family of a feature by its name; a rolling mean of a delta is a rolling mean."""
     n = col(name)
-    out = None
-    for kind, token, fam in C.FEATURE_FAMILIES:
-        cond = {"equals": n == token, "startswith": n.startswith(token), "contains": n.contains(token)}[kind]
-        out = F.when(cond, fam) if out is None else out.when(cond, fam)
-    return out.otherwise(C.FEATURE_FAMILY_DEFAULT)
+    return (F.when(n == "cycle", "cycle")
+            .when(n.startswith("operational_"), "operating setting")
+            .when(n.contains("_rolling_mean_"), "rolling mean")
+            .when(n.contains("_rolling_std_"), "rolling std")
+            .when(n.contains("_delta_"), "delta")
+            .when(n.contains("_lag_"), "lag")
+            .otherwise("raw sensor"))
 
 
 def label_text(label: Column | str, texts: Mapping[int, str] = C.LABEL_TEXT) -> Column:

@@ -46,7 +46,7 @@ def read_machine_csv(spark: SparkSession, path: str) -> DataFrame:
 
 # S2 ------------------------------------------------------------------------
 
-TRAJECTORY_COLUMNS = ["unit_id", "cycle", *C.OPERATIONAL_SETTINGS, *(f"sensor_{n + 1}" for n in range(C.SENSOR_COUNT))]
+TRAJECTORY_COLUMNS = ["unit_id", "cycle", *C.OPERATIONAL_SETTINGS, *C.SENSORS]
 
 
 def read_trajectory_text(spark: SparkSession, path: str) -> DataFrame:
