@@ -1,21 +1,23 @@
-"""Streaming queries run to completion over the stored trajectory table.
+"""Streaming queries run to completion over stored tables.
 
-The stream reads the trajectory table's Parquet files (one file per
-micro-batch, ``availableNow``), keeps per-unit state and writes to a Parquet
-sink in the shared checkpoint folder; the query returns that table.  The
-oracle is the batch SQL of the same features, so a match shows stream =
-batch.
+The stream reads a table's Parquet files (``readStream``, ``availableNow``),
+keeps per-unit contract state and writes its rows to the shared checkpoint
+folder and to a latest-status table.  The oracles are batch SQL, so a match
+shows stream = batch: over the trajectories, where every row is accepted, and
+over the events, where most rows break the contract.
 """
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..sources import tables
-from ..streaming import monitor
+from ..streaming import units
+from ..streaming.latest import LatestTable
 from .features import _feature_sql
 from .registry import finish, register
 
@@ -32,47 +34,27 @@ WINDOW o AS (PARTITION BY unit_id ORDER BY cycle),
        w5 AS (PARTITION BY unit_id ORDER BY cycle ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"""
 
 
-BLOCK = 250  # cycles per landed block (one or more micro-batches each)
-
-
-def _land(spark, sf_dir, run):
-    """Land the stored trajectories as a feed would: block after block of
-    cycles (later blocks have later file times), each block partitioned by
-    unit and ordered by cycle, so every unit's rows arrive in cycle order."""
-    t = tables.traj(spark, sf_dir).select("unit_id", "cycle", *SENSORS)
-    landing = scratch_path(spark, f"landing-{run}")
-    last = t.agg(F.max("cycle")).first()[0] or 0
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
-    for start in range(1, last + 1, BLOCK):
-        block = t.where((F.col("cycle") >= start) & (F.col("cycle") < start + BLOCK))
-        block.repartition(n_parts, "unit_id").sortWithinPartitions("unit_id", "cycle").write.mode(
-            "append").parquet(landing)
-    return landing, t.schema
-
-
 _RUNS: dict = {}
 
 
-def _stream_outputs(spark, sf_dir):
-    """Run the stateful stream once per session; one ``foreachBatch`` appends
-    the per-row output and merges the latest-status table (W5)."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def _run(spark, name, version, stream, sensors):
+    """Run the contract stream to its end once per session and version of its input.
+
+    One ``foreachBatch`` writes a folder of rows per batch, which a retried
+    batch writes again, and takes the batch into the latest-status table.
+    """
+    key = (spark.sparkContext.applicationId, name, version)
     if key in _RUNS:
         return _RUNS[key]
     run = uuid.uuid4().hex
-    landing, schema = _land(spark, sf_dir, run)
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
-    stream = monitor.observation_stream(spark, landing, schema, files_per_batch=n_parts).withColumn(
-        "exceeded", F.col("sensor_4") > 0.06).withColumn("arrival", F.col("cycle"))
-    out = monitor.unit_state_stream(stream, SENSORS)
+    out = units.contract_stream(stream, sensors)
     rows_path = scratch_path(spark, f"stream-rows-{run}")
-    latest_path = scratch_path(spark, f"stream-latest-{run}")
-    merge_latest = monitor.latest_status_writer(latest_path)
+    table = LatestTable(spark, scratch_path(spark, f"stream-latest-{run}"))
 
     def sink(batch, batch_id):
-        # one folder per batch id: a retried batch overwrites its own output
         batch.write.mode("overwrite").parquet(f"{rows_path}/batch={batch_id}")
-        merge_latest(batch, batch_id)
+        written = batch.sparkSession.read.schema(batch.schema).parquet(f"{rows_path}/batch={batch_id}")
+        table.merge(written.where("status = 'ok'"), batch_id)
 
     # state partitions are fixed when a query first starts: size them to the
     # cluster's cores rather than a batch-oriented shuffle setting
@@ -85,24 +67,98 @@ def _stream_outputs(spark, sf_dir):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", previous)
     q.awaitTermination()
-    _RUNS[key] = (rows_path, latest_path)
+    # a table without rows makes no batch
+    rows = spark.read.parquet(rows_path).drop("batch") if q.lastProgress else spark.createDataFrame([], out.schema)
+    _RUNS[key] = (rows, table.read() if q.lastProgress else rows)
     return _RUNS[key]
 
 
-@register("stream_unit_state", ops=["W2", "W3", "W4", "G2", "G3", "G4", "G5", "G6", "G8"], views=["traj"],
+def _trajectories(spark, sf_dir):
+    """The stored trajectory table as a stream."""
+    stored = tables.traj(spark, sf_dir).select("unit_id", "cycle", *SENSORS)
+    files = stored.inputFiles()
+    stream = spark.readStream.schema(tables.traj(spark, sf_dir).schema).parquet(os.path.dirname(files[0]))
+    stream = stream.select("unit_id", "cycle", *SENSORS, (F.col("sensor_4") > 0.06).alias("exceeded"), F.col("cycle").alias("arrival"))
+    return _run(spark, "traj", os.path.dirname(files[0]), stream, SENSORS)
+
+
+@register("stream_unit_state", ops=["W2", "W3", "G2", "G3", "G4", "G5", "G6", "G8"], views=["traj"],
           round_cols=FEATS, sql=STREAM_SQL)
 def stream_unit_state(spark, sf_dir):
     """Per-unit stateful stream (ring buffer of 6 rows): temporal features,
     3-of-5 persistence and contract status for every arriving row."""
-    rows_path, _ = _stream_outputs(spark, sf_dir)
-    return finish(spark.read.parquet(rows_path).drop("batch"))
+    rows, _ = _trajectories(spark, sf_dir)
+    return finish(rows)
 
 
 @register("stream_latest_status", ops=["W5", "G11"], views=["traj"], round_cols=FEATS, sql=f"""
 WITH f AS ({STREAM_SQL}), l AS (SELECT unit_id, max(cycle) AS m FROM traj GROUP BY unit_id)
 SELECT f.* FROM f JOIN l ON f.unit_id = l.unit_id AND f.cycle = l.m""")
 def stream_latest_status(spark, sf_dir):
-    """The same stream's latest-status table (newest cycle per unit wins),
-    merged batch by batch into versioned Parquet."""
-    _, latest_path = _stream_outputs(spark, sf_dir)
-    return finish(monitor.read_latest_status(spark, latest_path))
+    """The same stream's latest-status table (newest cycle per unit wins)."""
+    _, latest = _trajectories(spark, sf_dir)
+    return finish(latest)
+
+
+# Events as observations: a user is a unit, the remainder of ``props.k`` its
+# cycle, so that cycles repeat, fall and skip; some values are missing.
+EVENT_SENSORS = ["value"]
+EVENT_FEATURES = [f"value_{x}" for x in ["lag_1", "lag_5", "rolling_mean_5", "rolling_std_5", "delta_1"]]
+
+
+def _events(spark, sf_dir):
+    path = os.path.join(sf_dir, "events.parquet")
+    # a pattern, because a stream takes a single file only by one
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(os.path.join(sf_dir, "event[s].parquet"))
+    k = F.get_json_object("props", "$.k").try_cast("long")
+    stream = stream.where("user_id IS NOT NULL").select(
+        F.col("user_id").alias("unit_id"), (k % 12).alias("cycle"), F.col("event_id").alias("arrival"),
+        F.when(F.col("event_id") % 53 != 0, F.col("value")).alias("value")).withColumn("exceeded", F.col("value") > 20)
+    return _run(spark, path, tables.version(spark, sf_dir, ["events"]), stream, EVENT_SENSORS)
+
+
+EVENT_SQL = f"""
+RECURSIVE ev AS (
+  SELECT user_id AS unit_id, event_id AS arrival, CAST(json_extract(props, '$.k') AS BIGINT) % 12 AS cycle,
+         CASE WHEN event_id % 53 <> 0 THEN value END AS value FROM events),
+acc AS (
+  SELECT * FROM (SELECT unit_id, arrival, cycle, value, row_number() OVER (PARTITION BY unit_id ORDER BY arrival) AS r
+                 FROM ev WHERE cycle > 0 AND value IS NOT NULL) WHERE r = 1
+  UNION ALL
+  SELECT * FROM (SELECT e.unit_id, e.arrival, e.cycle, e.value, row_number() OVER (PARTITION BY e.unit_id ORDER BY e.arrival) AS r
+                 FROM acc a JOIN ev e ON e.unit_id = a.unit_id AND e.cycle = a.cycle + 1 AND e.arrival > a.arrival AND e.value IS NOT NULL)
+  WHERE r = 1),
+feat AS (
+  SELECT unit_id, arrival, cycle, {_feature_sql(EVENT_SENSORS)}, value > 20 AS exceeded,
+         CAST(sum(CAST(value > 20 AS INT)) OVER w5 AS BIGINT) AS recent_count, count(*) OVER w5 AS recent_size,
+         count(*) OVER w5 >= 5 AND sum(CAST(value > 20 AS INT)) OVER w5 >= 3 AS alert_active
+  FROM acc WINDOW o AS (PARTITION BY unit_id ORDER BY cycle),
+       w5 AS (PARTITION BY unit_id ORDER BY cycle ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
+seen AS (
+  SELECT e.unit_id, e.arrival, min(a.cycle) AS first, max(a.cycle) AS last
+  FROM ev e LEFT JOIN acc a ON a.unit_id = e.unit_id AND a.arrival < e.arrival GROUP BY e.unit_id, e.arrival),
+judged AS (
+  SELECT e.unit_id, e.cycle, CASE WHEN f.cycle IS NOT NULL THEN 'ok' WHEN e.value IS NULL THEN 'non_numeric'
+           WHEN s.last IS NULL THEN 'non_positive' WHEN e.cycle > s.last THEN 'gap'
+           WHEN e.cycle >= s.first THEN 'duplicate' ELSE 'out_of_order' END AS status,
+         {", ".join(f"f.{c}" for c in EVENT_FEATURES)}, f.exceeded, f.recent_count, f.recent_size, f.alert_active
+  FROM ev e JOIN seen s ON s.unit_id = e.unit_id AND s.arrival = e.arrival
+  LEFT JOIN feat f ON f.unit_id = e.unit_id AND f.arrival = e.arrival)
+"""
+
+
+@register("stream_contract_status", ops=["W2", "W3", "W4"], round_cols=EVENT_FEATURES, sql=f"WITH {EVENT_SQL} SELECT * FROM judged")
+def stream_contract_status(spark, sf_dir):
+    """Contract status of every event as it arrives: accepted, or rejected as
+    duplicate, out of order, gap, not positive or not numeric; features and
+    alert of the accepted ones."""
+    rows, _ = _events(spark, sf_dir)
+    return finish(rows)
+
+
+@register("stream_contract_latest", ops=["W5"], round_cols=EVENT_FEATURES, sql=f"""
+WITH {EVENT_SQL} SELECT * FROM judged WHERE status = 'ok' QUALIFY row_number() OVER (PARTITION BY unit_id ORDER BY cycle DESC) = 1""")
+def stream_contract_latest(spark, sf_dir):
+    """Latest accepted status per unit of the event stream."""
+    _, latest = _events(spark, sf_dir)
+    return finish(latest)

@@ -30,10 +30,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _VIEWS: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def _version(spark: SparkSession, sf_dir: str) -> int:
-    """Changes when the files that the fixture views read are rewritten."""
+def version(spark: SparkSession, sf_dir: str, names=("lineitem", "embeddings", "supplier")) -> int:
+    """Changes when the files of the tables (those of the fixture views) are rewritten."""
     found = []
-    for name in ("lineitem", "embeddings", "supplier"):
+    for name in names:
         path = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(sf_dir, f"{name}.parquet"))
         fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
         if fs.exists(path):
@@ -48,7 +48,7 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     The views stand in for stored sensor tables: every query reads the
     written Parquet (with pushdown and pruning) instead of re-deriving it.
     """
-    key = (spark.sparkContext.applicationId, f"{sf_dir}@{_version(spark, sf_dir)}", name)
+    key = (spark.sparkContext.applicationId, f"{sf_dir}@{version(spark, sf_dir)}", name)
     if key not in _VIEWS:
         _VIEWS[key] = materialize(build(spark, sf_dir), f"view-{name}")
     return _VIEWS[key]
