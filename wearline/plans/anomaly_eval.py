@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import contracts as C
 from ..functions import columns as X
-from ..operators import detect, joins, ordered, splits, stats
+from ..operators import detect, joins, ordered, splits, stats, studies
 from ..session import materialize
 from ..sources import tables
 from .anomaly import FIXTURE_SENSORS, SCORED_SQL
@@ -266,43 +266,39 @@ def _study(spark, sf_dir):
     return tables.stored(spark, sf_dir, "sensitivity-study", _build_study)
 
 
+def _study_rows(spark, sf_dir, *columns):
+    """Trajectory rows with ``raw_rul`` and the seeds' bits, kept while a study reads them."""
+    r = detect.add_rul_targets(tables.traj(spark, sf_dir).select("unit_id", "cycle", *columns))
+    bits = studies.held_bits(r.select("unit_id").distinct(), SEEDS)
+    return ordered.reused(r.join(bits, "unit_id").select("unit_id", "cycle", "raw_rul", "held_bits", *columns))
+
+
+def _evaluated(rows, scores, pairs, name):
+    """Study table of an array of scores by pair; releases what it kept."""
+    scored = ordered.reused(rows.select("unit_id", "raw_rul", "held_bits", scores.alias("scores")))
+    out = materialize(studies.evaluate(scored, pairs), name)
+    scored.unpersist()
+    rows.unpersist()
+    return out
+
+
 def _build_study(spark, sf_dir):
-    """5 unit splits x 3 reference cutoffs in one job keyed by (seed, cutoff).
-
-    Rows are replicated once per (seed, cutoff); every fit (scaler, threshold)
-    and evaluation (Spearman, alert rates) is a grouped operator on the key.
-    """
-    r = detect.add_rul_targets(tables.traj(spark, sf_dir).select("unit_id", "cycle", *S))
-    units = r.select("unit_id").distinct()
-    seeds = spark.createDataFrame([(s,) for s in SEEDS], "seed int")
-    cut = spark.createDataFrame([(c,) for c in CUTOFFS], "cutoff int")
-    us = units.crossJoin(F.broadcast(seeds)).withColumn(
-        "_h", F.conv(F.substr(F.md5(F.concat_ws(":", F.col("unit_id").cast("string"), F.col("seed").cast("string"))),
-                              F.lit(1), F.lit(13)), 16, 10).cast("bigint")).withColumn("_c", F.lit(1))
-    ranked = ordered.prefix_sums(us, "_h", ["_c"], ["seed"], tiebreak=["unit_id"])
-    n = units.agg(F.count(F.lit(1)).alias("_n"))
-    held = ranked.crossJoin(F.broadcast(n)).select(
-        "seed", "unit_id", (F.col("cum__c") <= F.ceil(F.col("_n") * 0.2)).alias("held"))
-    x = materialize(r.join(held, "unit_id").crossJoin(F.broadcast(cut)), "study-rows")
-    keys = ["seed", "cutoff"]
-    train_ref = x.where(~F.col("held") & (F.col("raw_rul") > F.col("cutoff")))
-    aggs = [a for s in S for a in (F.avg(s).alias(f"{s}_mean"), F.stddev_pop(s).alias(f"{s}_std"))]
-    p = train_ref.groupBy(*keys).agg(*aggs).select(*keys, *[c for s in S for c in (
-        F.col(f"{s}_mean"), F.when(F.col(f"{s}_std") == 0, 1.0).otherwise(F.col(f"{s}_std")).alias(f"{s}_scale"))])
-    z = x.join(F.broadcast(p), keys)  # one row per (seed, cutoff): 15 rows
-    sc = z.withColumn("score", X.rms([(F.col(s) - F.col(f"{s}_mean")) / F.col(f"{s}_scale") for s in S])).select(
-        *keys, "unit_id", "raw_rul", "held", "score")
-    th = ordered.exact_quantiles(sc.where(~F.col("held") & (F.col("raw_rul") > F.col("cutoff"))), "score",
-                                 [C.THRESHOLD_QUANTILE], keys).select(*keys, F.col("value").alias("threshold"))
-    ev = sc.where("held").join(F.broadcast(th), keys)
-    rho = stats.spearman(ev, "score", "raw_rul", by=keys).select(*keys, "spearman")
-    alert = (F.col("score") > F.col("threshold")).cast("double")
-    rates = ev.groupBy(*keys).agg(
-        F.first("threshold").alias("threshold"),
-        (100.0 * F.avg(F.when(F.col("raw_rul") > C.NORMAL_REFERENCE_RUL, alert))).alias("healthy_alert_pct"),
-        (100.0 * F.avg(F.when(F.col("raw_rul") <= C.CRITICAL_RUL, alert))).alias("critical_alert_pct"),
-        F.count_distinct("unit_id").alias("held_out_units"))
-    return rates.join(rho, keys)
+    """5 unit splits x 3 reference cutoffs; every fit and evaluation is a
+    condition on the row's bits, so the fleet is not copied."""
+    rows = _study_rows(spark, sf_dir, *S)
+    pairs = studies.pairs_of(SEEDS, CUTOFFS)
+    return _evaluated(rows, F.array(*studies.statistical_scores(rows, S, pairs)), pairs, "study")
+
+
+STUDY_TREES, STUDY_SAMPLES = 100, 256
+
+
+def _build_forest_study(spark, sf_dir):
+    """M23, forest branch: one isolation forest per pair, all grown in one job."""
+    rows = _study_rows(spark, sf_dir, *S)
+    pairs = studies.pairs_of(SEEDS, CUTOFFS)
+    nodes, psi = studies.grow_forests(rows, S, pairs, STUDY_TREES, STUDY_SAMPLES)
+    return _evaluated(rows, studies.forest_scores(rows, nodes, psi, S, pairs), pairs, "forest-study")
 
 
 @register("sensitivity_study", ops=["M23", "R4", "F2"], views=["traj"],
@@ -314,6 +310,13 @@ def sensitivity_study(spark, sf_dir):
     return finish(_study(spark, sf_dir))
 
 
+@register("sensitivity_forest_study", ops=["M23", "M13", "M14", "R4"], trains=True)
+def sensitivity_forest_study(spark, sf_dir):
+    """The same splits and cutoffs with the isolation forest fitted on every
+    split's reference rows: threshold, held-out Spearman and alert rates."""
+    return finish(tables.stored(spark, sf_dir, "forest-study", _build_forest_study))
+
+
 @register("sensitivity_stability", ops=["A46", "M23"], views=["traj"],
           round_cols=[f"{m}_{a}" for m in ("spearman", "healthy_alert_pct") for a in
                       ("mean", "std", "min", "max", "median", "range")], sql=f"""
