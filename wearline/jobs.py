@@ -60,7 +60,8 @@ def train_anomaly(spark: SparkSession, sf_dir: str, out: str, n_trees: int = 300
                         "premature_unit_pct": 100 * u["premature"], "critical_unit_coverage_pct": 100 * u["coverage"],
                         "units_never_alerted": float(u["never"])}}
     artifacts.write_metadata(spark, meta, os.path.join(out, "metadata"))
-    artifacts.require_metadata(spark, os.path.join(out, "metadata"), "anomaly", z)
+    artifacts.require_metadata(spark, os.path.join(out, "metadata"), "anomaly", z,
+                               scores_path=os.path.join(out, "reference_scores"))
     return meta
 
 

@@ -56,6 +56,23 @@ def group_kfold_audit(spark, sf_dir):
     return splits.disjointness(f, "unit_id", "fold")
 
 
+@register("group_kfold_balanced", ops=["R3"], views=["traj"], sql="""
+WITH RECURSIVE u AS (SELECT unit_id, count(*) AS rows FROM traj GROUP BY unit_id),
+o AS (SELECT *, row_number() OVER (ORDER BY rows DESC, unit_id) AS i FROM u),
+deal AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST([0, 0, 0, 0, 0] AS BIGINT[]) AS load, CAST(0 AS BIGINT) AS rows, 0 AS fold
+  UNION ALL
+  SELECT o.i, list_transform(d.load, lambda x, j: x + CASE WHEN j = list_position(d.load, list_min(d.load)) THEN o.rows ELSE 0 END),
+         o.rows, CAST(list_position(d.load, list_min(d.load)) - 1 AS INT)
+  FROM deal d JOIN o ON o.i = d.i + 1),
+slots AS (SELECT rows, fold, row_number() OVER (PARTITION BY rows ORDER BY fold) AS r FROM deal WHERE i > 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY rows ORDER BY unit_id) AS r FROM u)
+SELECT unit_id, ranked.rows, fold FROM ranked JOIN slots ON slots.rows = ranked.rows AND slots.r = ranked.r""")
+def group_kfold_balanced(spark, sf_dir):
+    """Whole units dealt to five folds of even row counts, the longest first."""
+    return splits.balanced_group_kfold(tables.traj(spark, sf_dir).select("unit_id"), "unit_id", 5)
+
+
 @register("group_shuffle_membership", ops=["R4", "J4", "U3"], views=["traj"], sql=f"""
 WITH u AS (SELECT DISTINCT unit_id FROM traj),
 r AS (SELECT unit_id, row_number() OVER (ORDER BY {H52.format(expr=UNITKEY)}, unit_id) AS rn,

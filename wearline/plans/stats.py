@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import contracts as C
 from ..functions import columns as X
+from ..functions import special
 from ..operators import detect, ordered, stats, windows
 from ..sources import tables
 from .registry import finish, register
@@ -218,6 +219,28 @@ def score_rul_spearman(spark, sf_dir):
     return finish(out.withColumn("t_stat", t))
 
 
+_SERIES_TERMS = """(SELECT coalesce(sum(exp(lgamma(k + {half}) - lgamma({half}) + lgamma({one}) - lgamma(k + {one})) * pow(c2, k)), 0)
+       FROM (SELECT unnest(range(CAST({terms} AS BIGINT))) AS k))"""
+
+
+@register("unit_correlation_p_values", ops=["A22"], views=["traj"], round_cols=["pearson", "t_stat", "p_value"], sql=f"""
+WITH u AS (SELECT unit_id, corr(sensor_3, sensor_4) AS pearson, count(*) AS n FROM traj GROUP BY unit_id),
+t AS (SELECT *, pearson * sqrt((n - 2) / (1 - pearson * pearson)) AS t_stat FROM u),
+a AS (SELECT *, atan(abs(t_stat) / sqrt(n - 2)) AS theta FROM t),
+c AS (SELECT *, sin(theta) AS s, cos(theta) AS co, cos(theta) * cos(theta) AS c2 FROM a)
+SELECT unit_id, n, pearson, t_stat,
+       1 - CASE WHEN n % 2 = 0 THEN s * {_SERIES_TERMS.format(half="0.5", one="1.0", terms="(n - 2) / 2")}
+            ELSE 2 / pi() * (theta + s * co * {_SERIES_TERMS.format(half="1.0", one="1.5", terms="(n - 3) / 2")}) END AS p_value
+FROM c""")
+def unit_correlation_p_values(spark, sf_dir):
+    """Pearson correlation of two sensors per unit with its t statistic and
+    two-sided p-value (the oracle sums the finite series of integer degrees)."""
+    t = tables.traj(spark, sf_dir).select("unit_id", "sensor_3", "sensor_4")
+    u = t.groupBy("unit_id").agg(F.corr("sensor_3", "sensor_4").alias("pearson"), F.count(F.lit(1)).alias("n"))
+    u = u.withColumn("t_stat", special.correlation_t(F.col("pearson"), F.col("n")))
+    return finish(u.select("unit_id", "n", "pearson", "t_stat", special.t_p_value(F.col("t_stat"), F.col("n") - 2).alias("p_value")))
+
+
 @register("unit_spearman_summary", ops=["A21"], views=["obs"], round_cols=["median", "q25", "q75"], sql=f"""
 WITH r AS (SELECT unit_id, score_b, max(cycle) OVER (PARTITION BY unit_id) - cycle AS raw_rul FROM obs),
 k AS (SELECT *, {RANK_SQL.format(p="unit_id", x="score_b")} AS rx,

@@ -13,7 +13,7 @@ import json
 import os
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,7 +47,8 @@ def save_forest(nodes: DataFrame, reference_scores: DataFrame, params: dict, pat
     """S9 for the isolation-forest bundle: node table, sorted reference scores
     and the scalar parameters (psi, threshold, version)."""
     nodes.write.mode("overwrite").parquet(os.path.join(path, "nodes"))
-    reference_scores.select("score").write.mode("overwrite").parquet(os.path.join(path, "reference_scores"))
+    # written in order: Spark deals sorted ranges, one file each, named by their order
+    reference_scores.select("score").orderBy("score").write.mode("overwrite").parquet(os.path.join(path, "reference_scores"))
     spark = nodes.sparkSession
     spark.createDataFrame([(json.dumps(params),)], "params string").write.mode("overwrite").json(
         os.path.join(path, "params"))
@@ -60,6 +61,28 @@ def load_forest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, d
     return nodes, ref, params
 
 
+def order_breaks(spark: SparkSession, path: str, column: str = "score", chunk: int = 1 << 16) -> DataFrame:
+    """One row, ``breaks`` = places where a stored column falls, in the order of files and rows.
+
+    Rows are compared inside chunks of a file, then the ends of neighbouring
+    chunks, so a pair swapped across a border is found and no task sees more
+    than a chunk.  Nulls are not compared (a rule of their own finds them).
+    """
+    rows = spark.read.parquet(path).select(
+        F.col(column).alias("v"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at")).where("v IS NOT NULL")
+    rows = rows.withColumn("part", F.floor(F.col("at") / chunk))
+    inside = F.lag("v").over(Window.partitionBy("file", "part").orderBy("at"))
+    ends = rows.withColumn("before", inside).groupBy("file", "part").agg(
+        F.count_if(F.col("v") < F.col("before")).alias("within"), F.min_by("v", "at").alias("first"), F.max_by("v", "at").alias("last"))
+    # one row per chunk from here on; chunks of a file, then first and last of the files
+    across = ends.withColumn("before", F.lag("last").over(Window.partitionBy("file").orderBy("part")))
+    files = across.groupBy("file").agg(
+        F.sum(F.col("within") + F.when(F.col("first") < F.col("before"), 1).otherwise(0)).alias("within"),
+        F.min_by("first", "part").alias("first"), F.max_by("last", "part").alias("last"))
+    neighbours = files.withColumn("before", F.lag("last").over(Window.orderBy("file")))  # one row per file
+    return neighbours.agg(F.coalesce(F.sum(F.col("within") + F.when(F.col("first") < F.col("before"), 1).otherwise(0)), F.lit(0)).alias("breaks"))
+
+
 def write_metadata(spark: SparkSession, meta: dict, path: str) -> None:
     """S10 sink: one JSON object, path-free."""
     row = {f.name: meta.get(f.name) for f in METADATA_SCHEMA.fields}
@@ -80,11 +103,12 @@ KIND_RULES = {
 
 
 def metadata_violations(meta: DataFrame, reference_scores: DataFrame | None = None,
-                        contract: list[str] | None = None, kind: str | None = None) -> DataFrame:
+                        contract: list[str] | None = None, kind: str | None = None, scores_path: str | None = None) -> DataFrame:
     """Every rule as a row (rule, violated).  Rules: non-empty name and
     version, predictor list equals the contract, finite numbers, 0 < medium <
     high < critical < 1, p97_5 equal to the threshold within 1e-12, and
-    reference scores finite and non-empty.  ``kind`` keeps the rules of one
+    reference scores finite and non-empty, and, of the table at ``scores_path``,
+    in ascending order as stored.  ``kind`` keeps the rules of one
     kind of artifact (:data:`KIND_RULES`); without it every rule applies."""
     th = F.col("thresholds")
     rules = {
@@ -111,13 +135,16 @@ def metadata_violations(meta: DataFrame, reference_scores: DataFrame | None = No
         extra = ref.selectExpr("stack(2, 'reference_non_empty', reference_empty, "
                                "'reference_finite', reference_not_finite) AS (rule, violated)")
         out = out.unionByName(extra)
+    if scores_path is not None:
+        falls = order_breaks(meta.sparkSession, scores_path)
+        out = out.unionByName(falls.select(F.lit("reference_ascending").alias("rule"), (F.col("breaks") > 0).alias("violated")))
     return out
 
 
 def require_metadata(spark: SparkSession, path: str, kind: str, contract: list[str],
-                     reference_scores: DataFrame | None = None) -> None:
+                     reference_scores: DataFrame | None = None, scores_path: str | None = None) -> None:
     """Read written metadata back and fail the job if it breaks a rule of its kind."""
-    checked = metadata_violations(read_metadata(spark, path), reference_scores, contract, kind)
+    checked = metadata_violations(read_metadata(spark, path), reference_scores, contract, kind, scores_path)
     broken = sorted(r["rule"] for r in checked.where("violated").collect())  # at most one row per rule
     if broken:
         raise ValueError(f"metadata at {path} breaks {broken}")

@@ -180,6 +180,8 @@ def with_views(sql: str, *views: str) -> str:
             order.append(v)
     ctes = ",\n".join(f"{v} AS ({VIEW_SQL[v]})" for v in order)
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
