@@ -434,3 +434,19 @@ def test_toxicity_learns_severity(ready):
     counts = np.array([sum(rows[i][1].split().count(b) for b in bad) for i in range(0, 240, 4)])
     expected = np.array([got[i].expected_severity for i in range(0, 240, 4)])
     assert expected[counts >= 12].mean() > expected[counts <= 3].mean()
+
+
+def test_substring_dedup_of_many_rows_equal_in_id_and_text(ready):
+    import time
+
+    rng = random.Random(2)
+    text = " ".join(words(rng, 600))
+    other = " ".join(words(rng, 300))
+    rows = [(7, text)] * 3000 + [(8, other), (9, text[:1500] + other)]
+    start = time.time()
+    got = substring.remove_repeated(ready.createDataFrame(rows, "doc_id long, text string").repartition(6), with_kept=False).collect()
+    assert time.time() - start < 120  # the square of the repeats took minutes
+    assert len(got) == len(rows)
+    assert {(r.n_removed, r.n_spans, r.kept_sha256) for r in got if r.doc_id == 7} == {(len(text), 1, hashlib.sha256(b"").hexdigest())}
+    assert [r.n_removed for r in got if r.doc_id == 8] == [len(other)]
+    assert [r.n_removed for r in got if r.doc_id == 9] == [1500 + len(other)]

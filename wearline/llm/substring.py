@@ -256,8 +256,9 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = aside.where(~alone).select("_k1", "_k2", "doc_id", "_text")
 
     marked = marked_segments(found, texts, length, block_bytes, split_over)
+    # a set: rows repeated with equal id and text bring the same ranges and hold them once
     per_doc = found.join(marked, ["anchor", "seg"]).groupBy("_k1", "_k2").agg(
-        F.flatten(F.collect_list(
+        F.flatten(F.collect_set(
             F.transform("runs", lambda r: F.struct((r["lo"] + F.col("start")).alias("lo"), (r["hi"] + F.col("start")).alias("hi")))
         )).alias("_runs")
     )
