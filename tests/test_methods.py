@@ -231,3 +231,23 @@ def test_forest_study_has_one_row_per_pair_and_sees_late_life(spark):
     table = studies.evaluate(scored, pairs).toPandas()
     assert len(table) == 6 and set(table.held_out_units) == {4} and (table.threshold.between(0, 1)).all()
     assert (table.spearman < 0).all() and table.critical_alert_pct.mean() > 1.5 * 2.5
+
+
+# M17, M18 --------------------------------------------------------------------
+
+def test_candidates_score_every_row_once_on_shared_folds(spark):
+    from conftest import SF_SMALL
+    from wearline.operators import selection
+    from wearline.sources import tables
+
+    o = tables.obs(spark, SF_SMALL).select("unit_id", "cycle", "type", *selection.RAW_NUMERIC, "failure")
+    folded = splits.stratified_kfold(o, ["unit_id", "cycle"], "failure", 2, 1).cache()
+    both = [selection.Candidate("plain", "logistic", tuple(selection.RAW_NUMERIC)), selection.Candidate("balanced", "logistic", balanced=True)]
+    oof = selection.out_of_fold(folded, both).cache()
+    per = {(r.candidate, r.fold): r["count"] for r in oof.groupBy("candidate", "fold").count().collect()}
+    size = {r.fold: r["count"] for r in folded.groupBy("fold").count().collect()}
+    assert per == {(c.name, f): n for c in both for f, n in size.items()}
+    table = selection.compare(folded, both).toPandas().set_index("candidate")
+    assert list(table.loc[["plain", "balanced"], "numeric_features"]) == [5, 8] and (table.rows == o.count()).all()
+    assert table.loc["balanced", "recall_mean"] > table.loc["plain", "recall_mean"] and table.filter(like="_mean").ge(0).all().all()
+    assert [c.numeric[5:] for c in selection.ablation()] == [(), ("temperature_difference",), ("power_proxy",), ("strain_proxy",), tuple(selection.ENGINEERED)]
