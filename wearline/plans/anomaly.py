@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from ..operators import detect
+from pyspark.sql import functions as F
+
+from .. import contracts as C
+from ..operators import detect, detector, validate
+from ..session import materialize
 from ..sources import tables
 from .registry import finish, register
 
@@ -91,3 +95,37 @@ def fleet_alert_status(spark, sf_dir):
     """Per-unit anomaly status with the statistical detector (flagship)."""
     t = tables.traj(spark, sf_dir)
     return finish(detect.fleet_alert_status(t, FIXTURE_SENSORS, top_n=FLAGSHIP_TOP_N))
+
+
+VALID_SQL = """gated AS (
+  SELECT unit_id, cycle AS arrival, cycle + CASE WHEN l_quantity = 50 AND l_linenumber = 7 THEN 1 ELSE 0 END AS stated FROM traj),
+good AS (
+  SELECT unit_id FROM (SELECT unit_id, stated, stated - lag(stated) OVER (PARTITION BY unit_id ORDER BY arrival) AS step FROM gated)
+  GROUP BY unit_id HAVING count(CASE WHEN step <> 1 THEN 1 END) = 0 AND min(stated) > 0),
+valid AS (SELECT * FROM traj WHERE unit_id IN (SELECT unit_id FROM good)),
+"""
+
+
+def faulty_fleet(spark, sf_dir):
+    """The fleet as supplied: some units repeat or skip a cycle."""
+    bump = F.when((F.col("l_quantity") == 50) & (F.col("l_linenumber") == 7), 1).otherwise(0)
+    return tables.traj(spark, sf_dir).select(
+        "unit_id", F.col("cycle").alias("arrival"), (F.col("cycle") + bump).alias("cycle"), *FIXTURE_SENSORS)
+
+
+def fitted_detector(spark, sf_dir, kind="statistical", **params):
+    """A detector fitted on the normal rows of the units that break no rule."""
+    good = validate.valid_trajectories(faulty_fleet(spark, sf_dir), "unit_id", "cycle", "arrival", FIXTURE_SENSORS)
+    reference = detect.add_rul_targets(good).where(F.col("raw_rul") > C.NORMAL_REFERENCE_RUL)
+    reference = materialize(reference.select("unit_id", "cycle", *FIXTURE_SENSORS), "detector-reference")
+    return detector.AnomalyDetector(sensors=FIXTURE_SENSORS, kind=kind, **params).fit(reference)
+
+
+@register("validated_fleet_alert", ops=["M15", "M16", "M28", "M29", "V9", "V10", "V13", "A43", "G8", "G16", "G17"],
+          sql=FLEET_ALERT_SQL.replace("WITH \nr AS", f"WITH {VALID_SQL}r AS").replace("FROM traj t", "FROM valid t"), views=["traj"],
+          round_cols=["current_anomaly_score", "anomaly_percentile", "threshold_percentile", "raw_threshold"])
+def validated_fleet_alert(spark, sf_dir):
+    """Per-unit alert status of the units whose trajectory breaks no rule, by a
+    saved-bundle detector fitted on such units only."""
+    model = fitted_detector(spark, sf_dir)
+    return finish(detector.alert_status(model, faulty_fleet(spark, sf_dir), top_n=FLAGSHIP_TOP_N))

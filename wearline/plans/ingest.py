@@ -10,7 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import contracts as C
+from ..functions import columns as X
+from ..operators import validate, windows
+from ..session import materialize
 from ..sources import requests, tables
+from .features import _feature_sql
 from .registry import finish, register
 
 BLOCK = 500
@@ -141,6 +146,35 @@ def request_rows(spark, sf_dir):
     return finish(requests.accepted_rows(checked, requests.RUL_REQUEST))
 
 
+_TEMPORAL = [f"{s}_{x}" for s in C.TEMPORAL_BASE_SENSORS for x in C.TEMPORAL_SUFFIXES]
+
+
+@register("rul_request_predictors", ops=["M27", "S6", "G2", "G3", "G4", "G5", "G6", "G11", "P18"],
+          round_cols=[c for c in C.RUL_PREDICTORS if c != "cycle"], sql=f"""
+WITH {_FAULTS},
+good AS (SELECT request_id, {_ROW_VALUES} FROM ob JOIN top USING (request_id) WHERE request_id NOT IN (SELECT request_id FROM fault)),
+feat AS (
+  SELECT *, {_feature_sql(C.TEMPORAL_BASE_SENSORS)}, count(*) OVER (PARTITION BY request_id) AS history_cycle_count,
+         max(cycle) OVER (PARTITION BY request_id) AS last
+  FROM good WINDOW o AS (PARTITION BY request_id ORDER BY cycle),
+    w5 AS (PARTITION BY request_id ORDER BY cycle ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
+SELECT request_id, {", ".join(C.RUL_PREDICTORS)}, history_cycle_count,
+       CASE WHEN history_cycle_count >= 6 THEN 'full_context' ELSE 'limited_history' END AS history_quality
+FROM feat WHERE cycle = last""")
+def rul_request_predictors(spark, sf_dir):
+    """The 47 predictors of the newest cycle of every faultless request whose
+    trajectory breaks no rule."""
+    form = requests.RUL_REQUEST
+    rows = requests.accepted_rows(requests.checked_requests(trajectory_requests(spark, sf_dir), form), form).drop("unit_id")
+    rows = materialize(rows.withColumnRenamed("request_id", "unit_id"), "request-rows")
+    good = validate.valid_trajectories(rows, "unit_id", "cycle", "arrival", form.names)
+    feats = windows.add_temporal_features(good, C.TEMPORAL_BASE_SENSORS)
+    last = good.groupBy("unit_id").agg(F.max("cycle").alias("_last"), F.count(F.lit(1)).alias("history_cycle_count"))
+    newest = feats.join(last, "unit_id").where(F.col("cycle") == F.col("_last"))
+    return finish(newest.select(F.col("unit_id").alias("request_id"), *C.RUL_PREDICTORS, "history_cycle_count",
+                                X.history_quality("history_cycle_count").alias("history_quality")))
+
+
 _MACHINE = [f.name for f in requests.FAILURE_REQUEST.fields]
 _MACHINE_BAD = {1: ("type", '"X"'), 2: ("type", "3"), 3: ("torque", "-0.5"), 4: ("tool_wear", '"9"'), 5: ("air_temperature", "0"),
                 6: ("rotational_speed", "false"), 7: ("process_temperature", "null"), 8: ("torque", "-1e999")}
