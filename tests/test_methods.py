@@ -251,3 +251,10 @@ def test_candidates_score_every_row_once_on_shared_folds(spark):
     assert list(table.loc[["plain", "balanced"], "numeric_features"]) == [5, 8] and (table.rows == o.count()).all()
     assert table.loc["balanced", "recall_mean"] > table.loc["plain", "recall_mean"] and table.filter(like="_mean").ge(0).all().all()
     assert [c.numeric[5:] for c in selection.ablation()] == [(), ("temperature_difference",), ("power_proxy",), ("strain_proxy",), tuple(selection.ENGINEERED)]
+
+
+def test_a_classifier_of_other_classes_is_refused(spark):
+    df = spark.createDataFrame([(float(i), i % 3) for i in range(30)], "v double, failure int")
+    model = Pipeline(stages=[VectorAssembler(inputCols=["v"], outputCol="features"), LogisticRegression(featuresCol="features", labelCol="failure")]).fit(df)
+    with pytest.raises(ValueError, match="classes"):
+        models.require_two_classes(model)

@@ -89,6 +89,17 @@ def test_trajectory_csv_quotes_lines_and_cycle_order(spark, tmp_dir):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_a_file_with_a_rejected_line_is_refused_whole(spark, tmp_dir):
+    for name, cycles in (("good", [1, 2, 3]), ("gap", [1, 2, 4, 5]), ("blank", [1, "", 3])):
+        with open(os.path.join(tmp_dir, f"{name}.csv"), "w") as f:
+            f.write("\n".join(["cycle,sensor_2", *[f"{c},1.5" for c in cycles]]))
+    ok, bad = readers.read_trajectory_csv(spark, tmp_dir, required=["cycle", "sensor_2"], whole_files=True)
+    assert sorted((os.path.basename(r.file), r.cycle) for r in ok.collect()) == [("good.csv", 1), ("good.csv", 2), ("good.csv", 3)]
+    assert {(os.path.basename(r.file), r.line) for r in bad.collect()} >= {("gap.csv", 3), ("blank.csv", 2)}
+    loose, _ = readers.read_trajectory_csv(spark, tmp_dir, required=["cycle", "sensor_2"])
+    assert loose.count() > ok.count()
+
+
 def test_positional_labels_need_one_file(spark, tmp_dir):
     for name in ("a.txt", "b.txt"):
         with open(os.path.join(tmp_dir, name), "w") as f:

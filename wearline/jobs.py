@@ -26,7 +26,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from wearline import contracts as C  # noqa: E402
 from wearline.operators import detect, forest, metrics, models, ordered, splits  # noqa: E402
-from wearline.session import get_session, ship_package  # noqa: E402
+from wearline.session import get_session, materialize, ship_package  # noqa: E402
 from wearline.sources import artifacts, tables  # noqa: E402
 
 ANOMALY_SENSORS = ["sensor_1", "sensor_2", "sensor_3", "sensor_4", "sensor_5"]
@@ -41,7 +41,8 @@ def train_anomaly(spark: SparkSession, sf_dir: str, out: str, n_trees: int = 300
     ref = scored.where(F.col("raw_rul") > C.NORMAL_REFERENCE_RUL)
     nodes, psi = forest.fit_isolation_forest(ref, z, n_trees, max_samples)
     nodes = nodes.cache()
-    all_scores = forest.score_isolation_forest(scored.select("unit_id", "cycle", "raw_rul", *z), nodes, psi, z)
+    # read by the threshold, the diagnostics and the bundle: scored once
+    all_scores = materialize(forest.score_isolation_forest(scored.select("unit_id", "cycle", "raw_rul", *z), nodes, psi, z), "train-scores")
     ref_scores = all_scores.where(F.col("raw_rul") > C.NORMAL_REFERENCE_RUL).select("score")
     th = ordered.exact_quantiles(ref_scores, "score", [C.THRESHOLD_QUANTILE]).first()["value"]
     flagged = all_scores.withColumn("exceeded", F.col("score") > F.lit(th))
@@ -96,8 +97,7 @@ def train_failure(spark: SparkSession, sf_dir: str, out: str, thresholds: dict |
     pb = metrics.probability_scores(p, "calibrated_probability", "failure").first()
     auc = metrics.roc_auc(p, "calibrated_probability", "failure").first()["roc_auc"]
     ap = metrics.average_precision(metrics.pr_curve(p, "calibrated_probability", "failure")).first()[0]
-    for i, (member, _) in enumerate(cal.members):
-        artifacts.save_pipeline(member, os.path.join(out, f"member_{i}"))
+    cal.save(os.path.join(out, "model"))
     meta = {"model_name": "fleet failure risk", "model_version": "1.0.0",
             "predictor_columns": C.MACHINE_RAW_FEATURES, "calibration_method": "sigmoid",
             "thresholds": thresholds or {"medium": 0.3, "high": 0.6, "critical": 0.9},

@@ -1,4 +1,4 @@
-"""Strict request ingest (S8, V3) over requests made from ``events``.
+"""Strict ingest: JSON requests (S8, V3) made from ``events``, CSV files (S7) of the fleet.
 
 A request holds the events of one user in a block of 500 event ids, at most
 500 observations.  Every kind of fault is seeded by a rule on the ids; the
@@ -7,14 +7,16 @@ bodies are text, so that the readers see what a client sends.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import contracts as C
 from ..functions import columns as X
 from ..operators import validate, windows
-from ..session import materialize
-from ..sources import requests, tables
+from ..session import materialize, scratch_path
+from ..sources import readers, requests, tables
 from .features import _feature_sql
 from .registry import finish, register
 
@@ -225,3 +227,30 @@ def machine_request_verdicts(spark, sf_dir):
     size, first = F.count(F.lit(1)).alias("faults"), F.min("event_id").alias("first_event")
     return bad.groupBy("reason", "field").agg(size, first).unionByName(
         good.groupBy(F.lit("accepted").alias("reason"), F.col("type").alias("field")).agg(size, first))
+
+
+@register("trajectory_csv_ingest", ops=["S7", "V8", "V9", "V10"], views=["traj"], sql="""
+WITH fed AS (SELECT unit_id, cycle AS line, cycle + CASE WHEN l_quantity = 50 AND l_linenumber = 7 THEN 1 ELSE 0 END AS stated FROM traj),
+s AS (SELECT *, stated - lag(stated) OVER (PARTITION BY unit_id ORDER BY line) AS step FROM fed),
+r AS (SELECT *, CASE WHEN step = 0 THEN 'duplicate cycle' WHEN step < 0 THEN 'cycle not increasing'
+                     WHEN step > 1 THEN 'cycle not consecutive' END AS reason FROM s)
+SELECT unit_id, count(reason) AS rejected_lines, CASE WHEN count(reason) = 0 THEN count(*) ELSE 0 END AS accepted_rows,
+       CAST(CASE WHEN count(reason) = 0 THEN sum(stated) ELSE 0 END AS BIGINT) AS accepted_cycle_sum,
+       min(CASE WHEN reason IS NOT NULL THEN line END) AS first_line,
+       arg_min(reason, line) FILTER (WHERE reason IS NOT NULL) AS first_reason
+FROM r GROUP BY unit_id""")
+def trajectory_csv_ingest(spark, sf_dir):
+    """The fleet as CSV files, one per unit and some with a repeated or skipped
+    cycle, read back: accepted files whole, the others by their first fault."""
+    bump = F.when((F.col("l_quantity") == 50) & (F.col("l_linenumber") == 7), 1).otherwise(0)
+    fed = tables.traj(spark, sf_dir).select("unit_id", F.col("cycle").alias("at"), (F.col("cycle") + bump).alias("cycle"), "sensor_1", "sensor_4")
+    path = scratch_path(spark, f"csv-{uuid.uuid4().hex}")
+    fed.repartition("unit_id").sortWithinPartitions("unit_id", "at").drop("at").write.partitionBy("unit_id").option("header", True).csv(path)
+    good, bad = readers.read_trajectory_csv(spark, f"{path}/*/*.csv", ["cycle", "sensor_1", "sensor_4"], whole_files=True)
+    unit = F.regexp_extract("file", r"unit_id=(\d+)", 1).cast("long").alias("unit_id")
+    kept = good.groupBy(unit).agg(F.count(F.lit(1)).alias("_rows"), F.sum("cycle").alias("_sum"))
+    faults = bad.groupBy(unit).agg(F.count(F.lit(1)).alias("_bad"), F.min("line").alias("first_line"), F.min_by("reason", "line").alias("first_reason"))
+    none = F.lit(0).cast("long")
+    return kept.join(faults, "unit_id", "full").select(
+        "unit_id", F.coalesce("_bad", none).alias("rejected_lines"), F.coalesce("_rows", none).alias("accepted_rows"),
+        F.coalesce("_sum", none).alias("accepted_cycle_sum"), "first_line", "first_reason")

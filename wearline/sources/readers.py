@@ -121,7 +121,7 @@ def _header_problems(header: F.Column, required: Sequence[str], allowed_extra: b
 
 
 def read_trajectory_csv(spark: SparkSession, path: str, required: Sequence[str] = tuple(C.RAW_INPUT_COLUMNS),
-                        allow_extra: bool = True, allow_booleans: bool = True
+                        allow_extra: bool = True, allow_booleans: bool = True, whole_files: bool = False
                         ) -> tuple[DataFrame, DataFrame]:
     """Bulk CSV trajectories -> (good rows, quarantine).
 
@@ -131,7 +131,8 @@ def read_trajectory_csv(spark: SparkSession, path: str, required: Sequence[str]
     and the step from the row before: a repeated, falling or skipping cycle is
     rejected at the row that breaks the order.  Cells may be quoted.  Quarantine
     rows carry the file, the line (the header is line 0) and the first failing
-    reason.
+    reason.  With ``whole_files`` a file with any rejected line gives no good
+    rows: what is left of its trajectory would have a gap.
     """
     raw = spark.read.text(path).select(
         F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("_id"), "value")
@@ -167,6 +168,8 @@ def read_trajectory_csv(spark: SparkSession, path: str, required: Sequence[str]
     good = checked.where(F.col("reason").isNull()).select(
         "file", "_id", *[field(c).try_cast("double").alias(c) for c in required])
     bad = checked.where(F.col("reason").isNotNull()).select("file", "line", "reason", "value")
+    if whole_files:
+        good = good.join(bad.select("file").distinct(), "file", "left_anti")
     return good.withColumn("cycle", F.col("cycle").cast("long")), bad
 
 
