@@ -16,22 +16,27 @@ LIBRARY = {
     "S3": "sources/readers.py read_positional_labels; tests/test_sources.py",
     "S5": "operators/validate.py column_contract; tests/test_validation.py",
     "S7": "sources/readers.py read_trajectory_csv (good rows + quarantine); tests/test_sources.py",
-    "S9": "sources/artifacts.py save/load_pipeline, save/load_forest; tests/test_sources.py",
+    "S8": "sources/requests.py read_requests; tests/test_requests.py",
+    "S9": "operators/detector.py write/read, models.py CalibratedClassifier.save/load, sources/artifacts.py save/load_pipeline, save/load_forest; tests/test_sources.py",
     "S10": "sources/artifacts.py write/read_metadata; tests/test_sources.py",
-    "S11": "sources/artifacts.py metadata_violations; tests/test_sources.py, tests/test_studies.py",
+    "S11": "sources/artifacts.py metadata_violations, order_breaks; tests/test_methods.py, tests/test_sources.py, tests/test_studies.py",
     "R5": "operators/models.py out_of_fold; tests/test_models.py",
     "M5": "operators/models.py rul_regressor('ridge'); tests/test_models.py, tests/test_studies.py",
     "M6": "operators/models.py classifier('logistic', weight); tests/test_models.py",
     "M7": "operators/models.py classifier('forest', weight)",
     "M10": "operators/models.py rul_regressor('boosting')",
     "M11": "operators/models.py CalibratedClassifier('sigmoid'); tests/test_models.py; jobs.py train_failure",
-    "M12": "operators/models.py CalibratedClassifier('isotonic'); tests/test_models.py",
-    "M17": "operators/models.py out_of_fold + operators/metrics.py confusion/fold_summary; tests/test_models.py",
-    "M18": "operators/models.py feature_ablation; tests/test_studies.py",
-    "M20": "operators/models.py permutation_importance; tests/test_models.py",
+    "M12": "operators/models.py CalibratedClassifier('isotonic'), saved and loaded; tests/test_methods.py",
+    "M17": "operators/selection.py compare; tests/test_methods.py",
+    "M18": "operators/selection.py ablation, operators/models.py feature_ablation; tests/test_methods.py, tests/test_studies.py",
+    "M20": "operators/models.py permutation_importance (keyed bijection); tests/test_methods.py",
     "M21": "operators/models.py nested_calibrated_oof; tests/test_studies.py",
     "M22": "operators/models.py threshold_stability; tests/test_studies.py",
     "M31": "jobs.py train_anomaly / train_rul / train_failure (spark-submit); tests/test_studies.py",
+    "M15": "operators/detector.py AnomalyDetector; tests/test_detector.py",
+    "M28": "operators/detector.py score_observations; tests/test_detector.py",
+    "W4": "streaming/units.py contract_stream; tests/test_units.py",
+    "W5": "streaming/latest.py LatestTable; tests/test_units.py",
     "W1": "streaming/monitor.py score_observations; tests/test_streaming.py",
 }
 
