@@ -450,3 +450,43 @@ def test_substring_dedup_of_many_rows_equal_in_id_and_text(ready):
     assert {(r.n_removed, r.n_spans, r.kept_sha256) for r in got if r.doc_id == 7} == {(len(text), 1, hashlib.sha256(b"").hexdigest())}
     assert [r.n_removed for r in got if r.doc_id == 8] == [len(other)]
     assert [r.n_removed for r in got if r.doc_id == 9] == [1500 + len(other)]
+
+
+def test_revisits_refer_to_the_id_of_their_response_and_resolve(ready):
+    body = "<html>" + "é" * 100
+    pages = ready.createDataFrame([(1, "http://a/ b", body), (2, "http://x%20y", body), (3, "c", "other" * 40), (4, "d", body)], "page_id long, url string, html string")
+    folder = scratch_path(ready, "warc-test-" + hashlib.sha1(str(random.random()).encode()).hexdigest())
+    index = warc.write_archives(pages, folder)
+    rows = warc.read_payloads(index.where("page_id in (2, 3, 4)"), index, folder).collect()
+    assert {(r.page_id, r.record_type, bytes(r.payload).decode()) for r in rows} == {(2, "revisit", body), (3, "response", "other" * 40), (4, "revisit", body)}
+    assert {r.page_id: r.url for r in warc.read_records(index, folder).collect()} == {1: "http://a/ b", 2: "http://x%20y", 3: "c", 4: "d"}
+    digest = hashlib.sha256(body.encode()).hexdigest()
+    one = {"page_id": 1, "url": "u", "payload": body.encode(), "payload_digest": digest, "payload_bytes": len(body.encode()), "refers_to": None, "record_type": "response"}
+    two = one | {"page_id": 2, "record_type": "revisit", "refers_to": 1}
+    own = next(x for x in warc.record(one).decode().split("\r\n") if x.startswith("WARC-Record-ID"))
+    assert own.split(": ")[1] == next(x for x in warc.record(two).decode().split("\r\n") if x.startswith("WARC-Refers-To")).split(": ")[1]
+    assert warc.record(one) == warc.record(one)
+
+
+def test_columns_that_differ_in_case_or_repeat_names_pass_through(ready):
+    rng = random.Random(4)
+    text = "\n".join(" ".join(words(rng, 9)) for _ in range(6))
+    rows = [(i, text if i < 2 else f"{i} " + " ".join(words(rng, 60)), "en", "s", i, f"T{i}", i * 2, f"k{i}") for i in range(5)]
+    docs = ready.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, Text string, DOC_ID long, _k1 string")
+    bench = ready.createDataFrame([(1, "nothing of this is in there")], "item_id long, text string")
+    for out in (quality.clean(docs), linedup.remove_repeated_lines(docs), neardup.keep_one(docs), decontaminate.remove_contaminated(docs, bench)):
+        names = [c for c in out.columns if c not in ("n_lines", "n_removed_lines")]
+        assert names == docs.columns
+        place = {r[0]: r for r in out.collect()}
+        assert all((r[5], r[6], r[7]) == (f"T{i}", i * 2, f"k{i}") for i, r in place.items()) and 0 in place
+
+
+def test_one_of_near_copies_stays_whatever_their_ids(ready):
+    rng = random.Random(9)
+    base = words(rng, 200)
+    near = [*base[:-1], "changed"]
+    rows = [(None, " ".join(base)), (None, " ".join(base)), (None, " ".join(near)), (7, " ".join(near)), (7, " ".join(base)), (8, " ".join(words(rng, 50))), (None, ""), (9, "")]
+    kept = neardup.keep_one(ready.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), len(r.text.split())) for r in kept) == sorted([("7", 200), ("8", 50), ("None", 0), ("9", 0)])
+    nameless = neardup.keep_one(ready.createDataFrame([(None, " ".join(base)), (None, " ".join(near))], "doc_id long, text string")).collect()
+    assert len(nameless) == 1

@@ -71,5 +71,11 @@ def numbered(df: DataFrame, group: str, name: str, buckets: int = 64) -> DataFra
     return out.withColumn(name, F.col("_rank") + F.col("_from")).drop("_g", "_b", "_from", "_rank")
 
 
-def hex_lower(col: Column) -> Column:
-    return F.lower(col)
+def by_place(docs: DataFrame, *wanted: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with columns ``_c0``, ``_c1`` ... by place, and the new names of ``wanted``.
+
+    Names that differ only in case, or repeat those an operator uses, cannot
+    clash; ``toDF(*docs.columns)`` gives the names back.
+    """
+    names = docs.columns
+    return docs.toDF(*[f"_c{i}" for i in range(len(names))]), [f"_c{names.index(w)}" for w in wanted]

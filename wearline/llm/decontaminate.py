@@ -25,7 +25,6 @@ through ``remove_contaminated``.
 
 from __future__ import annotations
 
-import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wearline.llm import text as tx
-from wearline.llm.common import row_key, store
+from wearline.llm.common import by_place, row_key, store
 
 WINDOW = 13
 GRAM = 5
@@ -250,13 +249,8 @@ def is_contaminated():
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
-    """``docs`` without its contaminated rows."""
-    bad = contamination(docs, benchmark, id_col, text_col, **names).where(is_contaminated()).select("_k1", "_k2").distinct()
-    k1, k2 = row_key(F.col(id_col), F.col(text_col))
-    columns = docs.columns
-    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), k1.alias("_k1"), k2.alias("_k2"))
-    return marked.join(bad, ["_k1", "_k2"], "left_anti").select(*[F.col("_row")[c].alias(c) for c in columns])
-
-
-def digest_of(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+    """``docs`` without its contaminated rows; other columns are passed through, whatever their names."""
+    placed, (own_id, own_text) = by_place(docs, id_col, text_col)
+    bad = contamination(placed, benchmark, own_id, own_text, **names).where(is_contaminated()).select("_k1", "_k2").distinct()
+    marked = placed.select(F.struct(*placed.columns).alias("_row"), *row_key(F.col(own_id), F.col(own_text)))
+    return marked.join(bad, ["_k1", "_k2"], "left_anti").select("_row.*").toDF(*docs.columns)

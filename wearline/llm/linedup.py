@@ -10,7 +10,8 @@ lines that no later occurrence covers stay, blank ones included.
 Defined cases: a null or empty text, or one of fewer than three lines, is
 unchanged; a null id comes last in the order; rows repeated with the same id
 and text are one document, each repeated row gets its result; an empty table
-gives an empty table; other columns are passed through, whatever their names.
+gives an empty table; other columns are passed through, whatever their names,
+but columns called ``n_lines`` or ``n_removed_lines`` give way to the results.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wearline.llm.common import row_key, store
+from wearline.llm.common import by_place, row_key, store
 
 WINDOW = 3
 
@@ -75,21 +76,24 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     A document's starts and lines are bounded by its own size.
     """
-    names = docs.columns
-    covered = covered_windows(docs, id_col, text_col)
+    placed, (own_id, own_text) = by_place(docs, id_col, text_col)
+    names = dict(zip(placed.columns, docs.columns, strict=True))
+    covered = covered_windows(placed, own_id, own_text)
     # lines and places are made below the join, so that no expression is evaluated again per line
-    lines = F.split(F.col(text_col), "\n")
+    lines = F.split(F.col(own_text), "\n")
     numbered = F.transform(lines, lambda x, i: F.struct(i.alias("pos"), F.trim(x).alias("line")))
     places = F.transform(F.filter(numbered, lambda x: x["line"] != ""), lambda x: x["pos"])
-    others = [F.col(f"`{c}`") for c in names if c != text_col] or [F.lit(0).alias("_none")]
-    keyed = docs.select(F.struct(*others).alias("_row"), lines.alias("_lines"), places.alias("_places"), *row_key(F.col(id_col), F.col(text_col)))
+    others = [F.col(c) for c in names if c != own_text] or [F.lit(0).alias("_none")]
+    keyed = placed.select(F.struct(*others).alias("_row"), lines.alias("_lines"), places.alias("_places"), *row_key(F.col(own_id), F.col(own_text)))
     joined = keyed.join(covered, ["_k1", "_k2"], "left")
     gone = F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.slice("_places", s + 1, WINDOW))))
     left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), gone)
     kept = F.array_join(F.transform(left, lambda i: F.element_at("_lines", i + 1)), "\n")
     new = F.when(F.col("_starts").isNull(), F.array_join("_lines", "\n")).otherwise(kept)
+    left_out = ("n_lines", "n_removed_lines")
+    passed = {c: n for c, n in names.items() if n not in left_out}
     return joined.select(
-        *[new.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in names if c not in ("n_lines", "n_removed_lines")],
+        *[new.alias(c) if c == own_text else F.col("_row")[c].alias(c) for c in passed],
         F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed_lines"),
-    )
+    ).toDF(*passed.values(), *left_out)

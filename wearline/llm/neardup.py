@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wearline.llm import text as tx
-from wearline.llm.common import row_key, store
+from wearline.llm.common import by_place, row_key, store
 from wearline.llm.graph import components
 
 SHINGLE = 5
@@ -284,23 +284,22 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     classes = full.join(comps, "node", "left").select("doc_id", "node", F.coalesce("comp", "node").alias("comp"))
     smallest = classes.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    by_node = store(classes.select("node", "comp").distinct().join(smallest, "comp").select("node", "component_id"), "near-components")
+    by_node = store(classes.select("node", "comp").distinct().join(smallest, "comp").select("node", "comp", "component_id"), "near-components")
     out = described.select("_k1", "_k2", "doc_id", "n_shingles", "node").join(by_node, "node", "left")
     return out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id.
+    """``docs`` with one document of each component: the one with the smallest id (a null id comes last), then by hash.
 
-    Rows with a null id, or without a shingle, stay.  Of rows repeated with the
-    same id and text one stays.
+    Rows without a shingle stay, but of rows repeated with the same id and text
+    one stays.  Other columns are passed through, whatever their names.
     """
-    found = link_components(docs, id_col, text_col)
-    go = found.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select("_k1", "_k2").distinct()
-    k1, k2 = row_key(F.col(id_col), F.col(text_col))
-    columns = docs.columns
-    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), k1.alias("_k1"), k2.alias("_k2"))
-    left = marked.join(go, ["_k1", "_k2"], "left_anti")
-    alone = F.col("_row")[id_col].isNull()
-    first = left.where(~alone).dropDuplicates(["_k1", "_k2"])
-    return first.unionByName(left.where(alone)).select(*[F.col("_row")[c].alias(c) for c in columns])
+    placed, (own_id, own_text) = by_place(docs, id_col, text_col)
+    found = link_components(placed.select(F.col(own_id).alias("doc_id"), F.col(own_text).alias("text")))
+    member = found.where("node IS NOT NULL").select("comp", F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "_k1", "_k2").alias("_m"))
+    kept = member.groupBy("comp").agg(F.min("_m").alias("_keep"))
+    go = member.join(kept, "comp").where(~F.col("_m").eqNullSafe(F.col("_keep"))).select("_m._k1", "_m._k2").distinct()
+    marked = placed.select(F.struct(*placed.columns).alias("_row"), *row_key(F.col(own_id), F.col(own_text)))
+    left = marked.join(go, ["_k1", "_k2"], "left_anti").dropDuplicates(["_k1", "_k2"])
+    return left.select("_row.*").toDF(*docs.columns)

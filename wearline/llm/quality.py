@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wearline.llm import text as tx
-from wearline.llm.common import row_key, store
+from wearline.llm.common import by_place, row_key, store
 
 MIN_WORDS = 20
 REPEAT_WINDOW = 8
@@ -170,17 +170,18 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
-    """The kept rows of ``docs`` without their boilerplate lines."""
-    names = docs.columns
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), *_keys(text_col, host_col))
-    with_base = keyed.select("*", F.col("_row")[id_col].cast("long").alias("doc_id"), F.col("_row")[text_col].alias("_text"))
+    """The kept rows of ``docs`` without their boilerplate lines; other columns are passed through, whatever their names."""
+    placed, (own_id, own_text, own_host) = by_place(docs, id_col, text_col, host_col)
+    keyed = placed.select(F.struct(*placed.columns).alias("_row"), *_keys(own_text, own_host))
+    with_base = keyed.select("*", F.col("_row")[own_id].cast("long").alias("doc_id"), F.col("_row")[own_text].alias("_text"))
     failed = with_base.select("_k1", "_k2", "doc_id", "_text").mapInArrow(_stats, STATS_DDL).where("base_failed").select("_k1", "_k2").distinct()
-    verdicts = line_verdicts(docs, text_col, host_col, **limits)
+    verdicts = line_verdicts(placed, own_text, own_host, **limits)
     out = verdicts.select("_k1", "_k2", F.when(~F.col("_depleted"), F.col("_gone")).alias("_gone"), "_depleted")
     decided = failed.withColumn("_failed", F.lit(True)).join(out, ["_k1", "_k2"], "full")
     joined = keyed.join(decided, ["_k1", "_k2"], "left").where(
         ~F.coalesce(F.col("_failed"), F.lit(False)) & ~F.coalesce(F.col("_depleted"), F.lit(False))
     )
-    text = F.col("_row")[text_col]
+    text = F.col("_row")[own_text]
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    return joined.select(*[F.when(F.col("_gone").isNull(), text).otherwise(kept).alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in names])
+    new = F.when(F.col("_gone").isNull(), text).otherwise(kept)
+    return joined.select(*[new.alias(c) if c == own_text else F.col("_row")[c].alias(c) for c in placed.columns]).toDF(*docs.columns)

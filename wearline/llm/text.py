@@ -117,9 +117,3 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     for j in range(1, k):
         out = out * U64(_BASE) + h[j : j + n]
     return mix(out)
-
-
-def word_hash(word: bytes, lower: bool) -> int:
-    """The hash that ``Words.hashes`` gives to one word."""
-    w = Words(np.frombuffer(word, np.uint8), np.array([0, len(word)]), np.ones(256, bool))
-    return int(w.hashes(lower)[0])

@@ -24,7 +24,7 @@ import os
 import re
 import uuid
 import zlib
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -83,13 +83,18 @@ def _target(page_id, url) -> str:
     return _UNSAFE.sub(lambda m: quote(m[0]), url)
 
 
+def record_id(page_id, payload_digest: str) -> str:
+    """Id of a page's record: the same whenever and wherever it is written, so that revisits can name it."""
+    return uuid.uuid5(uuid.NAMESPACE_OID, f"{page_id}:{payload_digest}").urn
+
+
 def record(row: dict) -> bytes:
     """One WARC/1.1 record: response with the payload, or revisit without it."""
     page_id, body = row["page_id"], row["payload"] if row["record_type"] == "response" else b""
     head = [
         "WARC/1.1",
         f"WARC-Type: {row['record_type']}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>",
+        f"WARC-Record-ID: <{record_id(page_id, row['payload_digest'])}>",
         f"WARC-Target-URI: {_target(page_id, row['url'])}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha256:{row['payload_digest']}",
@@ -101,9 +106,12 @@ def record(row: dict) -> bytes:
         head.append(f"X-Page-Id: {page_id}")
     if row["url"] is None:
         head.append("X-No-Url: 1")
+    elif _UNSAFE.search(row["url"]):
+        head.append(f"X-Url: {quote(row['url'])}")
     if row["record_type"] == "revisit":
         head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        head.append(f"WARC-Refers-To: <urn:page:{row['refers_to']}>")
+        head.append(f"WARC-Refers-To: <{record_id(row['refers_to'], row['payload_digest'])}>")
+        head.append(f"X-Refers-To-Page: {row['refers_to']}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
@@ -118,14 +126,13 @@ def parse(raw: bytes) -> dict:
     kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha256:")
     if kind == "response" and hashlib.sha256(body).hexdigest() != digest:
         raise ValueError(f"payload of {fields['WARC-Target-URI']} doesn't have its digest")
-    refers = re.search(r"urn:page:(-?\d+)", fields.get("WARC-Refers-To", ""))
     return {
         "page_id": int(fields["X-Page-Id"]) if "X-Page-Id" in fields else None,
-        "url": None if "X-No-Url" in fields else fields["WARC-Target-URI"],
+        "url": None if "X-No-Url" in fields else unquote(fields["X-Url"]) if "X-Url" in fields else fields["WARC-Target-URI"],
         "payload_bytes": len(body) if kind == "response" else int(fields["X-Payload-Length"]),
         "payload_digest": digest,
         "record_type": kind,
-        "refers_to": int(refers[1]) if refers else None,
+        "refers_to": int(fields["X-Refers-To-Page"]) if "X-Refers-To-Page" in fields else None,
         "stored_bytes": len(body),
         "payload": body if kind == "response" else None,
     }
@@ -231,6 +238,20 @@ def read_records(selected: DataFrame, folder: str, block_bytes: int = 8 << 20, g
     return sorted_ranges.mapInArrow(_reader(folder, gap, block_bytes, with_payload), READ_SCHEMA)
 
 
+def read_payloads(selected: DataFrame, index: DataFrame, folder: str, **reading) -> DataFrame:
+    """The selected index rows with their payloads, those of revisits from the response they refer to.
+
+    Each response that a selected revisit needs is read once and joined on its
+    digest; a payload that many revisits share is spread by adaptive execution.
+    """
+    read = read_records(selected, folder, **reading)
+    wanted = selected.where("record_type = 'revisit'").select(F.col("refers_to").alias("page_id"), "payload_digest").distinct()
+    responses = index.where("record_type = 'response'").join(wanted, ["page_id", "payload_digest"], "left_semi").dropDuplicates(["payload_digest"])
+    bodies = read_records(responses, folder, **reading).select("payload_digest", F.col("payload").alias("_body"))
+    own, found = read.where("record_type = 'response'"), read.where("record_type = 'revisit'").join(bodies, "payload_digest", "left")
+    return own.unionByName(found.withColumn("payload", F.col("_body")).drop("_body"))
+
+
 def archive_round_trip(pages: DataFrame, spark: SparkSession) -> DataFrame:
     """Write all pages to a new shared folder and read all records back."""
     folder = scratch_path(spark, f"warc-{uuid.uuid4().hex}")
