@@ -191,6 +191,33 @@ def test_language_spans_scripts_and_held_out_accuracy(ready):
     assert got[4].score == 0.0 and got[6].score == 0.0 and all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_contamination_of_repeated_rows_hot_passages_and_items_without_id(ready):
+    import duckdb
+
+    from wearline.llm.sql import ORACLES
+
+    rng = random.Random(16)
+    hot, rare, short, unnamed = (" ".join(words(rng, n)) for n in (30, 13, 4, 14))
+    bench = [(1, hot), (2, hot), (None, rare), (None, hot), (None, unnamed), (3, short), (4, f"{rare} {short}"), (5, None)]
+    texts = [f"{' '.join(words(rng, 40))} {hot[rng.randrange(60):]}" for _ in range(200)]
+    texts += [rare, rare.rsplit(" ", 1)[0], f"{short} and {short}", " ".join([short] * 3000), f"{rare} {rare}", hot + " x " + hot, unnamed]
+    rows = list(enumerate(texts)) + [(7, texts[7])] * 300 + [(None, hot), (None, hot), (900, None)]
+    df = ready.createDataFrame(rows, "doc_id long, text string")
+    items = ready.createDataFrame(bench, "item_id long, text string")
+    found = decontaminate.contamination(df, items)
+    assert found.count() == len(rows)
+    got = {r.doc_id: (r.n_words, r.n_hit, list(r["items"])) for r in found.where("doc_id IS NOT NULL").collect()}
+    assert got[200][1:] == (13, ["4"]) and got[201][1] == 0 and got[206] == (14, 14, [])
+    con = duckdb.connect()
+    con.register("documents", ready.createDataFrame(sorted({r for r in rows if r[0] is not None}), df.schema).toPandas())
+    con.register("benchmark", items.toPandas().astype({"item_id": "Int64"}))
+    want = con.sql(f"SELECT doc_id, n_words, n_hit, n_items, items_sha256 FROM ({ORACLES['op8_decontaminate']})").fetchall()
+    sha = lambda names: hashlib.sha256(",".join(names).encode()).hexdigest()
+    assert {i: (w, h, len(n), sha(n)) for i, (w, h, n) in got.items()} == {r[0]: r[1:] for r in want}
+    kept = decontaminate.remove_contaminated(df, items).collect()
+    assert not any(r.text == hot or r.text == rare for r in kept) and sum(r.doc_id == 900 for r in kept) == 1
+
+
 def test_quality_removes_boilerplate_and_rejects_depleted(ready):
     rng = random.Random(2)
     body = lambda: " ".join(words(rng, 60))

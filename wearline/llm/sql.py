@@ -87,7 +87,7 @@ WITH d AS (
   SELECT doc_id, regexp_extract_all(""" + _FOLDED.format("coalesce(text, '')") + r""", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
 ), b AS (
   SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(""" + _FOLDED.format("text") + r""", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
-  FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+  FROM benchmark WHERE text IS NOT NULL
 ), bw AS (
   SELECT DISTINCT item, least(len(words), 13) AS m, array_to_string(words[i : i + least(len(words), 13) - 1], ' ') AS w
   FROM (SELECT item, words, unnest(range(1, greatest(len(words) - 12, 1) + 1)) AS i FROM b WHERE len(words) > 0)
@@ -97,7 +97,7 @@ dw AS (
   FROM (SELECT doc_id, words, m, unnest(range(1, len(words) - m + 2)) AS i FROM d, sizes WHERE len(words) >= m)
 ), hit AS (SELECT doc_id, item, dw.m AS m, i FROM dw JOIN bw ON dw.m = bw.m AND dw.w = bw.w),
 words_hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM hit) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+items AS (SELECT doc_id, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
 FROM d LEFT JOIN words_hit USING (doc_id) LEFT JOIN items USING (doc_id)
