@@ -241,11 +241,13 @@ def test_quality_production_limits_fire_as_in_the_sql(ready):
     rows = [("hit", f"{body()}\nshared footer line of this host") for _ in range(55)] + [("hit", body()) for _ in range(5)]
     rows += [("hit", f"shared footer line of this host\nmore {k}") for k in range(3)]
     rows += [("small", f"{body()}\nshared footer line of this host") for _ in range(49)]
+    rows += [("tiny", f"{body()}\nshared footer line of this host") for _ in range(9)]
+    rows += [("large", f"own {k} shared{k % 3 * ' '} footer line of this host" if k >= 1010 else f"own {k}\nshared footer line of this host") for k in range(10500)]
     rows += [("copies", f"{rows[0][1]}\nown")] * 60 + [("copies", body()) for _ in range(20)]
     df = ready.createDataFrame([(i, t, h) for i, (h, t) in enumerate(rows)], "doc_id long, text string, source string")
     got = {r.doc_id: (r.n_lost_words, r.kept) for r in quality.assess(df).collect()}
     lost = Counter((rows[i][0], n) for i, (n, _) in got.items())
-    assert lost == {("hit", 6): 58, ("hit", 0): 5, ("small", 0): 49, ("copies", 0): 80}
+    assert lost == {("hit", 6): 58, ("hit", 0): 5, ("small", 6): 49, ("tiny", 0): 9, ("copies", 0): 80, ("large", 6): 1010, ("large", 0): 9490}
     con = duckdb.connect()
     con.register("documents", df.toPandas())
     want = con.sql(f"SELECT doc_id, n_lost_words, kept FROM ({ORACLES['op6_quality']})").df()

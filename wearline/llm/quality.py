@@ -4,15 +4,17 @@ Base statistics of every whole text come from numpy over Arrow buffers.  The
 verdict then follows the lines: lines are normalised (white space collapsed,
 trimmed, lower case), hashed to 128 bits and counted in distinct documents
 per host.  A line is boilerplate where it is in at least ``min_documents`` of
-a host's documents and in at least ``min_share`` of them.  Boilerplate lines
-are removed; a document that loses more than ``most_lost`` of its words is
-depleted and rejected.
-
-A distinct document is a distinct text of a host: exact copies count once and
-share one verdict, so that a page copied often is not its own boilerplate
-(copies are the deduplication stages' business).  Defined cases: a null text has no words (base
-failed); a null host is a host of its own; empty lines never count; an empty
-table gives no row; other columns are passed through by ``clean``.
+a host's documents, and in ``min_share`` of them or, on a large host, in
+``most_documents``.  It must also be in ``min_texts`` different texts, so that
+a page copied often is not its own boilerplate (copies are the deduplication
+stages' business).  Boilerplate lines are removed; a document that loses more
+than ``most_lost`` of its words is depleted and rejected.
+
+Defined cases: rows repeated with the same id and text are one document, also
+with a null id; equal texts of a host share one verdict; a null text has no
+words (base failed); a null host is a host of its own; empty lines never
+count; an empty table gives no row; other columns are passed through by
+``clean``.
 """
 
 from __future__ import annotations
@@ -111,43 +113,51 @@ def _keys(text_col: str, host_col: str) -> list[Column]:
     return row_key(F.col(host_col), F.col(text_col))
 
 
-def _lines(docs: DataFrame, text_col: str, host_col: str) -> DataFrame:
-    """One row per non-empty line: its document, host, position, hash and words, and the document's words."""
+def _texts(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
+    """Written table of the different texts of each host: lines that are not empty, all their words, and documents.
+
+    A line is its position, its hash and its words.  Copies of a text fold
+    before the shuffle, however many they are.
+    """
     parts = F.transform(F.split(F.col(text_col), "\n"), lambda x, i: F.struct(i.alias("pos"), normalised(x).alias("line")))
     packed = F.transform(F.filter(parts, lambda x: x["line"] != ""), lambda x: F.struct(
         x["pos"].alias("pos"), F.xxhash64(x["line"]).alias("a"), F.xxhash64(F.lit(1), x["line"]).alias("b"),
         F.size(F.split(x["line"], " ")).alias("words"),
     ))
     h1, h2 = row_key(F.col(host_col))
-    rows = docs.select(*_keys(text_col, host_col), h1.alias("_h1"), h2.alias("_h2"), packed.alias("_p"))
-    rows = rows.withColumn("_total", F.aggregate("_p", F.lit(0).cast("long"), lambda n, x: n + x["words"]))
-    return rows.select("_k1", "_k2", "_h1", "_h2", "_total", F.explode("_p").alias("_l")).select(
-        "_k1", "_k2", "_h1", "_h2", "_total",
-        F.col("_l.pos").alias("_pos"), F.col("_l.a").alias("_a"), F.col("_l.b").alias("_b"), F.col("_l.words").alias("_words"),
-    )
+    rows = docs.select(*_keys(text_col, host_col), h1.alias("_h1"), h2.alias("_h2"), packed.alias("_lines"))
+    texts = rows.groupBy("_k1", "_k2").agg(*[F.first(c).alias(c) for c in ("_h1", "_h2", "_lines")])
+    own = docs.select(*_keys(text_col, host_col), F.col(id_col).alias("_id")).distinct()
+    copies = own.groupBy("_k1", "_k2").agg(F.count(F.lit(1)).alias("_copies"))
+    total = F.aggregate("_lines", F.lit(0).cast("long"), lambda n, x: n + x["words"])
+    return store(texts.join(copies, ["_k1", "_k2"]).withColumn("_total", total), "quality-texts")
 
 
-def boilerplate(docs: DataFrame, text_col: str, host_col: str, min_documents: int, min_share: float) -> tuple[DataFrame, DataFrame]:
-    """(all lines, boilerplate lines): hashes with their host and their distinct documents.
+def boilerplate(texts: DataFrame, min_documents: int, min_share: float, most_documents: int, min_texts: int) -> DataFrame:
+    """Written table of the boilerplate lines: hashes with their host and their distinct documents.
 
-    A line is counted once per document: the distinct (document, line) pairs
-    are spread by document, then counted with map-side combine, so neither a
-    hot host nor a hot line gathers in one task.
+    Lines are counted with map-side combine, so neither a hot host nor a hot
+    line gathers in one task.
     """
-    lines = store(_lines(docs, text_col, host_col), "quality-lines")
-    once = lines.select("_h1", "_h2", "_a", "_b", "_k1", "_k2").distinct()
-    counted = once.groupBy("_h1", "_h2", "_a", "_b").agg(F.count(F.lit(1)).alias("_docs")).where(F.col("_docs") >= min_documents)
-    h1, h2 = row_key(F.col(host_col))
-    own = docs.select(*_keys(text_col, host_col), h1.alias("_h1"), h2.alias("_h2")).distinct()
-    hosts = own.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_all"))
-    frequent = counted.join(hosts, ["_h1", "_h2"]).where(F.col("_docs") >= F.lit(min_share) * F.col("_all"))
-    return lines, store(frequent.select("_h1", "_h2", "_a", "_b", "_docs"), "quality-frequent")
-
-
-def line_verdicts(docs: DataFrame, text_col: str = "text", host_col: str = "source",
-                  min_documents: int = 50, min_share: float = 0.1, most_lost: float = 0.5) -> DataFrame:
-    """Per document with boilerplate: its key, lost words, positions of its boilerplate lines, ``_depleted``."""
-    lines, frequent = boilerplate(docs, text_col, host_col, min_documents, min_share)
+    distinct = F.array_distinct(F.transform("_lines", lambda x: F.struct(x["a"].alias("_a"), x["b"].alias("_b"))))
+    once = texts.select("_h1", "_h2", "_copies", F.explode(distinct).alias("_l")).select("_h1", "_h2", "_copies", "_l.*")
+    counted = once.groupBy("_h1", "_h2", "_a", "_b").agg(F.sum("_copies").alias("_docs"), F.count(F.lit(1)).alias("_different"))
+    counted = counted.where((F.col("_docs") >= min_documents) & (F.col("_different") >= min_texts))
+    hosts = texts.groupBy("_h1", "_h2").agg(F.sum("_copies").alias("_all"))
+    needed = F.least(F.lit(min_share) * F.col("_all"), F.lit(float(most_documents)))
+    frequent = counted.join(hosts, ["_h1", "_h2"]).where(F.col("_docs") >= needed)
+    return store(frequent.select("_h1", "_h2", "_a", "_b", "_docs"), "quality-frequent")
+
+
+def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_documents: int = 10,
+                  min_share: float = 0.1, most_documents: int = 1000, min_texts: int = 10, most_lost: float = 0.5) -> DataFrame:
+    """Per text of a host with boilerplate: its key, lost words, positions of its boilerplate lines, ``_depleted``."""
+    texts = _texts(docs, id_col, text_col, host_col)
+    frequent = boilerplate(texts, min_documents, min_share, most_documents, min_texts)
+    lines = texts.select("_k1", "_k2", "_h1", "_h2", "_total", F.explode("_lines").alias("_l")).select(
+        "_k1", "_k2", "_h1", "_h2", "_total",
+        F.col("_l.pos").alias("_pos"), F.col("_l.a").alias("_a"), F.col("_l.b").alias("_b"), F.col("_l.words").alias("_words"),
+    )
     hit = lines.join(frequent, ["_h1", "_h2", "_a", "_b"]).groupBy("_k1", "_k2").agg(
         F.collect_set(F.struct("_pos", "_words")).alias("_lines"), F.first("_total").alias("_total"),
     )
@@ -161,7 +171,7 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
     """Base statistics and verdict of every row: doc_id, statistics, base_failed, n_lost_words, kept."""
     keyed = docs.select(*_keys(text_col, host_col), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
     stats = keyed.mapInArrow(_stats, STATS_DDL)
-    verdicts = line_verdicts(docs, text_col, host_col, **limits).select("_k1", "_k2", "_lost", "_depleted")
+    verdicts = line_verdicts(docs, id_col, text_col, host_col, **limits).select("_k1", "_k2", "_lost", "_depleted")
     depleted = F.coalesce(F.col("_depleted"), F.lit(False))
     return stats.join(verdicts, ["_k1", "_k2"], "left").withColumns({
         "n_lost_words": F.coalesce(F.col("_lost"), F.lit(0)).cast("long"),
@@ -175,7 +185,7 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     keyed = placed.select(F.struct(*placed.columns).alias("_row"), *_keys(own_text, own_host))
     with_base = keyed.select("*", F.col("_row")[own_id].cast("long").alias("doc_id"), F.col("_row")[own_text].alias("_text"))
     failed = with_base.select("_k1", "_k2", "doc_id", "_text").mapInArrow(_stats, STATS_DDL).where("base_failed").select("_k1", "_k2").distinct()
-    verdicts = line_verdicts(placed, own_text, own_host, **limits)
+    verdicts = line_verdicts(placed, own_id, own_text, own_host, **limits)
     out = verdicts.select("_k1", "_k2", F.when(~F.col("_depleted"), F.col("_gone")).alias("_gone"), "_depleted")
     decided = failed.withColumn("_failed", F.lit(True)).join(out, ["_k1", "_k2"], "full")
     joined = keyed.join(decided, ["_k1", "_k2"], "left").where(

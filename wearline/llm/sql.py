@@ -59,11 +59,12 @@ WITH d AS (
 ), norm AS (
   SELECT doc_id, host, text, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) AS line FROM raw_line
 ), counted AS (
-  SELECT host, line, count(DISTINCT text) AS docs FROM norm WHERE line <> '' GROUP BY host, line
+  SELECT host, line, count(DISTINCT {'id': doc_id, 'text': text}) AS docs, count(DISTINCT text) AS texts FROM norm WHERE line <> '' GROUP BY host, line
 ), hosts AS (
-  SELECT host, count(DISTINCT text) AS docs FROM d GROUP BY host
+  SELECT host, count(DISTINCT {'id': doc_id, 'text': text}) AS docs FROM d GROUP BY host
 ), frequent AS (
-  SELECT c.host, c.line FROM counted c JOIN hosts h ON c.host = h.host WHERE c.docs >= 50 AND c.docs >= 0.1 * h.docs
+  SELECT c.host, c.line FROM counted c JOIN hosts h ON c.host = h.host 
+  WHERE c.docs >= 10 AND c.texts >= 10 AND c.docs >= least(0.1 * h.docs, 1000)
 ), lost AS (
   SELECT n.doc_id, sum(CASE WHEN f.line IS NULL THEN 0 ELSE len(string_split(n.line, ' ')) END) AS lost, sum(len(string_split(n.line, ' '))) AS n
   FROM norm n LEFT JOIN frequent f ON n.host = f.host AND n.line = f.line WHERE n.line <> '' GROUP BY n.doc_id
