@@ -6,8 +6,8 @@ inside words (A-Z folded, by 64-bit hash); a feature that occurs c times in n
 words has the value log(1 + 1000 c / n).  The fit uses a bounded sample: about
 ``per_class`` labelled rows of each grade, picked by a hash of the id.  Spark
 counts in how many toxic and clean sample texts each feature is; the features
-that toxic texts hold significantly more often, ``max_features`` at most, enter
-the model.  An L1 penalty picks among them.  Scoring covers every whole text.
+that toxic texts hold significantly more often all enter the model, whatever
+their number.  An L1 penalty picks among them.  Scoring covers every whole text.
 
 Labels that only say toxic or not are refined into grades by quantiles of the
 evidence (the features' lift times their value) among toxic texts.
@@ -151,21 +151,36 @@ def refine_grades(evidence: np.ndarray, toxic: np.ndarray, grades: int) -> np.nd
     return np.unique(grade, return_inverse=True)[1]  # ties may leave a grade out
 
 
-def select_features(sample: DataFrame, sizes: dict[bool, int], min_z: float, max_features: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, lifts) of the features that toxic texts hold significantly more often."""
+def select_features(sample: DataFrame, sizes: dict[bool, int], min_z: float) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, lifts) of all features that toxic texts hold significantly more often.
+
+    The test is the signed root of the likelihood ratio of the two-by-two
+    table, which holds for rare features too: no count is too small to enter.
+    The number of features is bounded by the texts of the sample.
+    """
     counts = sample.mapInArrow(_document_frequencies, "h long, bad long, good long").groupBy("h").agg(
         F.sum("bad").alias("bad"), F.sum("good").alias("good")
     )
-    bad, good = F.col("bad") / sizes[True], F.col("good") / sizes[False]
-    p = (F.col("bad") + F.col("good")) / (sizes[True] + sizes[False])
-    z = (bad - good) / F.sqrt(p * (1 - p) * (1 / sizes[True] + 1 / sizes[False]) + 1e-12)
-    lift = F.log((F.col("bad") + 0.5) / (sizes[True] + 1)) - F.log((F.col("good") + 0.5) / (sizes[False] + 1))
-    rows = counts.where(F.col("bad") >= 4).select("h", z.alias("z"), lift.alias("lift")).where(F.col("z") >= min_z).orderBy(F.desc("z"), "h").limit(max_features).collect()
+    toxic, clean = float(sizes[True]), float(sizes[False])
+    bad, good = F.col("bad").cast("double"), F.col("good").cast("double")
+
+    def part(seen, expected):
+        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+
+    with_it, every = bad + good, F.lit(toxic + clean)
+    without = every - with_it
+    ratio = 2 * (
+        part(bad, with_it * toxic / every) + part(good, with_it * clean / every)
+        + part(toxic - bad, without * toxic / every) + part(clean - good, without * clean / every)
+    )
+    z = F.sqrt(F.greatest(ratio, F.lit(0.0)))
+    lift = F.log((bad + 0.5) / (toxic + 1)) - F.log((good + 0.5) / (clean + 1))
+    rows = counts.where((bad * clean > good * toxic) & (z >= min_z)).select("h", lift.alias("lift")).orderBy("h").collect()
     return np.array([r["h"] for r in rows], np.int64).view(np.uint64), np.array([r["lift"] for r in rows], float)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          grades: int = 4, per_class: int = 4000, min_z: float = 4.0, max_features: int = 5000) -> OrdinalModel:
+          grades: int = 4, per_class: int = 4000, min_z: float = 4.0) -> OrdinalModel:
     """Fit on about ``per_class`` distinct texts of each label; a label column with values above 1 is taken as grades."""
     own = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg(
         F.max(F.col(label_col).cast("int")).alias("_label")
@@ -185,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     held = {r["bad"]: r["n"] for r in sample.groupBy((F.col("_label") > 0).alias("bad")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(held) < 2:
         return empty
-    hashes, lifts = select_features(sample, held, min_z, max_features)
+    hashes, lifts = select_features(sample, held, min_z)
     order = np.argsort(hashes)
     vocabulary, lifts = Vocabulary(hashes), lifts[order]
     rows = sample.mapInArrow(_sample_values(vocabulary), "label int, columns array<long>, values array<double>").collect()
