@@ -258,3 +258,14 @@ def test_a_classifier_of_other_classes_is_refused(spark):
     model = Pipeline(stages=[VectorAssembler(inputCols=["v"], outputCol="features"), LogisticRegression(featuresCol="features", labelCol="failure")]).fit(df)
     with pytest.raises(ValueError, match="classes"):
         models.require_two_classes(model)
+
+
+def test_large_fits_run_one_at_a_time(spark, monkeypatch):
+    from wearline.operators import selection
+    assert [selection.side_by_side(n) for n in (0, 1000, 1_000_000, 1_500_000, 36_000_000)] == [4, 4, 4, 2, 1]
+    seen = []
+    monkeypatch.setattr(selection, "ROWS_AT_ONCE", 4)
+    monkeypatch.setattr(selection, "ThreadPoolExecutor", lambda n: seen.append(n) or (_ for _ in ()).throw(StopIteration()))
+    with pytest.raises(StopIteration):
+        selection.compare(spark.range(4).selectExpr("id % 2 AS fold", "1 AS failure"), selection.classifiers(1))
+    assert seen == [1]
