@@ -86,33 +86,44 @@ def prefix_sums(
     )
 
 
+#: Rows of a partition that one task may number alone.
+WHOLE = 1 << 18
+
+
 def sequence_number(
     df: DataFrame,
     partition_cols: Sequence[str],
     order_cols: Sequence[Column | str],
     bucket: Column,
     name: str = "seq",
+    whole: int = WHOLE,
 ) -> DataFrame:
     """``row_number()`` per partition without sorting a hot partition in one task.
 
     ``bucket`` must be non-decreasing along ``order_cols`` (for example the
-    day of the leading timestamp key).  Rows are numbered inside
-    (partition, bucket) and shifted by the row count of earlier buckets,
-    which is exact.
+    day of the leading timestamp key).  Partitions of at most ``whole`` rows
+    are numbered by one window, so their rows move once.  Rows of larger ones
+    (at most rows / ``whole`` partitions) are numbered inside (partition,
+    bucket) and shifted by the row count of earlier buckets, which is exact.
     """
     parts = list(partition_cols)
-    with_b = df.withColumn("_sb", bucket)
+    large = F.broadcast(df.groupBy(*parts).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > whole).select(*parts))
+    alone = null_safe_join(df, large, parts, "left_anti").withColumn(
+        name, F.row_number().over(Window.partitionBy(*parts).orderBy(*order_cols)).cast("bigint"))
+
+    with_b = null_safe_join(df, large, parts, "left_semi").withColumn("_sb", bucket)
     counts = with_b.groupBy(*parts, "_sb").agg(F.count(F.lit(1)).alias("_sn"))
     before = Window.partitionBy(*parts).orderBy("_sb").rowsBetween(
         Window.unboundedPreceding, -1
     )
     offsets = counts.select(*parts, "_sb", F.coalesce(F.sum("_sn").over(before), F.lit(0)).alias("_so"))
     inside = Window.partitionBy(*parts, "_sb").orderBy(*order_cols)
-    return (
+    cut = (
         null_safe_join(with_b, offsets, [*parts, "_sb"])
         .withColumn(name, F.row_number().over(inside) + F.col("_so"))
         .drop("_sb", "_so")
     )
+    return alone.unionByName(cut)
 
 
 def average_rank(
