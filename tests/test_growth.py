@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from wearline.operators.ordered import sequence_number
+from wearline.plans.registry import finish, round_significant
 
 
 def _plan(df):
@@ -17,3 +18,19 @@ def test_only_large_partitions_are_numbered_by_bucket(spark):
         got = sequence_number(df, ["unit"], ["id"], bucket=F.col("day"), name="n", whole=whole)
         assert got.schema["n"].dataType.simpleString() == "bigint"
         assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_wide_results_are_rounded_as_single_values(spark):
+    values = [None, 0.0, float("nan"), float("inf"), -1e300, 5e-324, 1234567.85, -12345678.5, 0.49999999999999994, 2.0 ** 53 - 1, 1 / 3]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "k int, x double")
+    plain = F.round(F.col("x") * F.pow(F.lit(10.0), F.least(F.lit(12), F.greatest(F.lit(0), F.lit(7) - F.floor(F.log10(F.abs("x")))))), 0)
+    scale = F.pow(F.lit(10.0), F.least(F.lit(12), F.greatest(F.lit(0), F.lit(7) - F.floor(F.log10(F.abs("x"))))))
+    special = F.col("x").isNull() | F.isnan("x") | (F.abs("x") == float("inf")) | (F.col("x") == 0)
+    want = {r["k"]: repr(r["y"]) for r in df.select("k", F.when(special, F.col("x")).otherwise(plain / scale).alias("y")).collect()}
+    wide = finish(df.select("k", *[F.col("x").alias(f"x{i}") for i in range(30)], F.lit("t").alias("t")))
+    assert wide.columns == ["k", *[f"x{i}" for i in range(30)], "t"]
+    for r in wide.collect():
+        assert {repr(r[f"x{i}"]) for i in range(30)} == {want[r["k"]]}
+    assert {r["k"]: repr(r["y"]) for r in df.select("k", round_significant(F.col("x")).alias("y")).collect()} == want
+    # the rounding is written once, not once for every column
+    assert _plan(wide).count("log10") == 1

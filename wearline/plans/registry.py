@@ -99,19 +99,41 @@ def round_significant(c, significant: int = SIGNIFICANT):
     scale with the magnitude (a 1e9 variance keeps no decimals), while still
     leaving room for cancellation noise in differences of aggregates.
     """
-    d = F.least(F.lit(12), F.greatest(F.lit(0), F.lit(significant - 1) - F.floor(F.log10(F.abs(c)))))
-    scale = F.pow(F.lit(10.0), d)
-    special = c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")) | (c == 0)
-    return F.when(special, c).otherwise(F.round(c * scale, 0) / scale)
+    scale = _scale(c, significant)
+    return F.when(_special(c), c).otherwise(_half_up(c * scale) / scale)
+
+
+def _special(c):
+    return c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")) | (c == 0)
+
+
+def _scale(c, significant: int):
+    return F.pow(F.lit(10.0), F.least(F.lit(12), F.greatest(F.lit(0), F.lit(significant - 1) - F.floor(F.log10(F.abs(c))))))
+
+
+def _half_up(x):
+    """``round(x, 0)`` of a finite double, halves away from zero, in double
+    arithmetic (Spark's ``round`` goes through the decimal text of every value).
+
+    The fraction is exact; from 2^52 on a double has none."""
+    a = F.abs(x)
+    up = F.floor(a) + F.when(a - F.floor(a) >= 0.5, 1).otherwise(0)
+    return F.when(a >= float(1 << 52), x).otherwise(F.when(x < 0, -up).otherwise(up).cast("double"))
 
 
 def finish(df: DataFrame) -> DataFrame:
     """Round every double column to eight significant digits (the oracle wraps
-    its SQL the same way) so both engines emit identical values."""
-    out = []
-    for f in df.schema.fields:
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            out.append(round_significant(F.col(f.name).cast("double")).alias(f.name))
-        else:
-            out.append(F.col(f.name))
-    return df.select(*out)
+    its SQL the same way) so both engines emit identical values.
+
+    As :func:`round_significant`, written once over an array of the columns:
+    written per column, the code of a wide projection grows past what the JVM
+    compiles.  Scales are a column of their own, so that each is computed once."""
+    doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    if not doubles:
+        return df
+    at = {c: i for i, c in enumerate(doubles)}
+    wide = df.select(*[c for c in df.columns if c not in at], F.array(*[F.col(c).cast("double") for c in doubles]).alias("_values"))
+    wide = wide.withColumn("_scales", F.transform("_values", lambda v: F.when(~_special(v), _scale(v, SIGNIFICANT))))
+    wide = wide.withColumn("_rounded", F.zip_with(
+        "_values", "_scales", lambda v, s: F.when(s.isNull(), v).otherwise(_half_up(v * s) / s)))
+    return wide.select(*[F.col("_rounded")[at[c]].alias(c) if c in at else F.col(c) for c in df.columns])
