@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from wearline.operators.ordered import sequence_number
+from wearline.plans import REGISTRY
 from wearline.plans.registry import finish, round_significant
+from wearline.sources import tables
 
 
 def _plan(df):
@@ -34,3 +36,14 @@ def test_wide_results_are_rounded_as_single_values(spark):
     assert {r["k"]: repr(r["y"]) for r in df.select("k", round_significant(F.col("x")).alias("y")).collect()} == want
     # the rounding is written once, not once for every column
     assert _plan(wide).count("log10") == 1
+
+
+def test_group_shuffle_joins_units_not_rows(spark, monkeypatch):
+    rows = [(u, c) for u in [*range(10), None] for c in range(1, 4)]
+    traj = spark.createDataFrame(rows, "unit_id long, cycle long")
+    monkeypatch.setattr(tables, "traj", lambda *_: traj)
+    got = REGISTRY["group_shuffle_membership"].build(spark, "")
+    found = {r["split"]: (r["rows"], r["units"]) for r in got.collect()}
+    assert sum(n for n, _ in found.values()) == len(rows)
+    assert sum(u for _, u in found.values()) == 10
+    assert "distinct" not in _plan(got).split("join leftsemi")[0] and "count(distinct" not in _plan(got)

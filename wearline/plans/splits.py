@@ -84,13 +84,13 @@ UNION ALL
 SELECT 'train', count(*), count(DISTINCT unit_id) FROM traj WHERE unit_id NOT IN (SELECT unit_id FROM held)""")
 def group_shuffle_membership(spark, sf_dir):
     """20 % of units held out by hash order; rows selected with a semi join
-    (held out) and an anti join (training)."""
-    t = tables.traj(spark, sf_dir).select("unit_id", "cycle")
-    held = splits.group_shuffle_split(t.select("unit_id").distinct(), "unit_id", 0.2, 42).where("split = 'test'")
-    test = t.join(held.select("unit_id"), "unit_id", "left_semi").withColumn("split", F.lit("test"))
-    train = t.join(held.select("unit_id"), "unit_id", "left_anti").withColumn("split", F.lit("train"))
-    both = test.unionByName(train)
-    return both.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("unit_id").alias("units"))
+    (held out) and an anti join (training), as row counts of their units."""
+    units = tables.traj(spark, sf_dir).groupBy("unit_id").agg(F.count(F.lit(1)).alias("rows"))
+    held = splits.group_shuffle_split(units.select("unit_id"), "unit_id", 0.2, 42).where("split = 'test'")
+    test = units.join(held.select("unit_id"), "unit_id", "left_semi").withColumn("split", F.lit("test"))
+    train = units.join(held.select("unit_id"), "unit_id", "left_anti").withColumn("split", F.lit("train"))
+    # one row per unit: count() leaves out the null unit, as a distinct count does
+    return test.unionByName(train).groupBy("split").agg(F.sum("rows").alias("rows"), F.count("unit_id").alias("units"))
 
 
 @register("unit_dimension_join", ops=["J1", "U6"], views=["traj"], round_cols=["dim_s_acctbal"], sql="""
