@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from wearline.operators.ordered import sequence_number
 from wearline.plans import REGISTRY
 from wearline.plans.registry import finish, round_significant
-from wearline.sources import tables
+from wearline.sources import readers, tables
 
 
 def _plan(df):
@@ -47,3 +47,16 @@ def test_group_shuffle_joins_units_not_rows(spark, monkeypatch):
     assert sum(n for n, _ in found.values()) == len(rows)
     assert sum(u for _, u in found.values()) == 10
     assert "distinct" not in _plan(got).split("join leftsemi")[0] and "count(distinct" not in _plan(got)
+
+
+def test_csv_lines_are_checked_once_for_good_rows_and_quarantine(spark, tmp_path):
+    files = {"a.csv": "cycle,sensor_2\n1,5\n2,\"6\"\n3,7\n", "b.csv": "sensor_2,cycle,more\n5,1,x\n6,3,y\n7\n8,zz,\n\n", "c.csv": "cycle\n1\n"}
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    good, bad = readers.read_trajectory_csv(spark, str(tmp_path), required=["cycle", "sensor_2"], whole_files=True)
+    base = F.regexp_extract("file", r"([^/]+)$", 1)
+    assert sorted(map(tuple, good.select(base, "cycle", "sensor_2").collect())) == [("a.csv", 1, 5.0), ("a.csv", 2, 6.0), ("a.csv", 3, 7.0)]
+    assert sorted(map(tuple, bad.select(base, "line", "reason").collect())) == [
+        ("b.csv", 2, "cycle not consecutive"), ("b.csv", 3, "wrong number of fields"), ("b.csv", 4, "non-numeric value"),
+        ("b.csv", 5, "blank row"), ("c.csv", 1, "missing header")]
+    assert all("inmemoryrelation" in _plan(df) for df in (good, bad))

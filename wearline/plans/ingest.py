@@ -246,7 +246,7 @@ def trajectory_csv_ingest(spark, sf_dir):
     fed = tables.traj(spark, sf_dir).select("unit_id", F.col("cycle").alias("at"), (F.col("cycle") + bump).alias("cycle"), "sensor_1", "sensor_4")
     path = scratch_path(spark, f"csv-{uuid.uuid4().hex}")
     fed.repartition("unit_id").sortWithinPartitions("unit_id", "at").drop("at").write.partitionBy("unit_id").option("header", True).csv(path)
-    good, bad = readers.read_trajectory_csv(spark, f"{path}/*/*.csv", ["cycle", "sensor_1", "sensor_4"], whole_files=True)
+    good, bad = readers.read_trajectory_csv(spark, path, ["cycle", "sensor_1", "sensor_4"], whole_files=True)
     unit = F.regexp_extract("file", r"unit_id=(\d+)", 1).cast("long").alias("unit_id")
     kept = good.groupBy(unit).agg(F.count(F.lit(1)).alias("_rows"), F.sum("cycle").alias("_sum"))
     faults = bad.groupBy(unit).agg(F.count(F.lit(1)).alias("_bad"), F.min("line").alias("first_line"), F.min_by("reason", "line").alias("first_reason"))

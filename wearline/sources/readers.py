@@ -9,13 +9,15 @@ so one bad file does not stop a fleet-wide load.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import contracts as C
-from ..operators.ordered import prefix_sums
+from ..operators.ordered import prefix_sums, reused
 from ..operators.windows import trailing_columns
 
 # S1 ------------------------------------------------------------------------
@@ -85,22 +87,22 @@ def read_positional_labels(spark: SparkSession, path: str, name: str = "provided
 def _cells(line: F.Column) -> F.Column:
     """Trimmed cells of one line; a quoted cell may hold commas and doubled quotes."""
     outside_quotes = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
-    parts = F.when(line.contains('"'), F.split(line, outside_quotes)).otherwise(F.split(line, ","))
-    return F.transform(parts, lambda c: F.regexp_replace(F.regexp_replace(F.trim(c), r'^"(.*)"$', "$1"), '""', '"'))
+    quoted = F.transform(F.split(line, outside_quotes), lambda c: F.regexp_replace(F.regexp_replace(F.trim(c), r'^"(.*)"$', "$1"), '""', '"'))
+    return F.when(line.contains('"'), quoted).otherwise(F.transform(F.split(line, ","), lambda c: F.trim(c)))
 
 
-def _numbered_lines(raw: DataFrame) -> DataFrame:
-    """Adds ``line``, the 0-based line number in the row's file.
+def _file_splits(raw: DataFrame) -> DataFrame:
+    """(file, _split, _from, _before, _header), one row per split of a file: its
+    first row id, the lines of the file's earlier splits, the file's first line.
 
-    A row id holds its split and its place there; the lines of a file's earlier
-    splits are added (one row per split, whatever the file's size).
+    A row id holds its split and its place there.
     """
-    rows = raw.withColumn("_split", F.shiftright("_id", 33))
-    sizes = rows.groupBy("file", "_split").agg(F.min("_id").alias("_from"), F.count(F.lit(1)).alias("_rows"))
-    earlier = Window.partitionBy("file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("file", "_split", "_from", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
-    return rows.join(starts, ["file", "_split"]).withColumn("line", F.col("_before") + F.col("_id") - F.col("_from")).drop(
-        "_split", "_from", "_before")
+    sizes = raw.groupBy("file", "_split").agg(
+        F.min("_id").alias("_from"), F.count(F.lit(1)).alias("_rows"), F.min_by("value", "_id").alias("_first"))
+    order = Window.partitionBy("file").orderBy("_split")
+    before = F.coalesce(F.sum("_rows").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = F.first("_first").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return sizes.select("file", "_split", "_from", before.alias("_before"), first.alias("_header"))
 
 
 def _header_problems(header: F.Column, required: Sequence[str], allowed_extra: bool) -> F.Column:
@@ -135,38 +137,44 @@ def read_trajectory_csv(spark: SparkSession, path: str, required: Sequence[str]
     rows: what is left of its trajectory would have a gap.
     """
     raw = spark.read.text(path).select(
-        F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("_id"), "value")
-    lines = _numbered_lines(raw)
-    header = lines.where("line = 0").select("file", F.col("value").alias("_header"))
-    body = lines.where("line > 0").join(header, "file")
-    body = body.withColumn("_hdr_problem", _header_problems(F.col("_header"), required, allow_extra))
+        F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("_id"), "value").withColumn(
+        "_split", F.shiftright("_id", 33))
+    # the header is read once per file: its fault, its width and the places of the required columns
     names = _cells(F.regexp_replace("_header", "^﻿", ""))
-    body = body.withColumn("_cells", _cells(F.col("value"))).withColumn("_names", names)
-    width_bad = F.size("_cells") != F.size("_names")
+    splits = _file_splits(raw).withColumn("_names", names).select(
+        "file", "_split", "_from", "_before", F.size("_names").alias("_width"),
+        _header_problems(F.col("_header"), required, allow_extra).alias("_hdr_problem"),
+        *[F.array_position("_names", F.lit(c)).cast("int").alias(f"_at_{i}") for i, c in enumerate(required)])
+    body = raw.join(splits, ["file", "_split"]).withColumn("line", F.col("_before") + F.col("_id") - F.col("_from")).where("line > 0")
+    body = body.withColumn("_cells", _cells(F.col("value")))
+    width_bad = F.size("_cells") != F.col("_width")
     blank_row = F.trim("value") == ""
-    field = lambda c: F.element_at(F.col("_cells"), F.array_position(F.col("_names"), F.lit(c)).cast("int"))
-    nums = [field(c) for c in required]
-    non_numeric = F.exists(F.array(*nums), lambda v: v.try_cast("double").isNull() | (v == ""))
-    booleans = F.exists(F.array(*nums), lambda v: F.lower(v).isin("true", "false"))
-    body = body.withColumn("_cycle", field("cycle").try_cast("double"))
-    body = trailing_columns(body, {"_before": lambda w: F.lag("_cycle", 1).over(w)}, unit="file", order="line", lookback=1)
-    cyc, step = F.col("_cycle"), F.col("_cycle") - F.col("_before")
+    nums = {c: F.when(F.col(f"_at_{i}") > 0, F.try_element_at("_cells", F.col(f"_at_{i}"))) for i, c in enumerate(required)}
+    body = body.select("file", "line", "_id", "value", "_hdr_problem", blank_row.alias("_blank"), width_bad.alias("_width_bad"),
+                       *[v.alias(f"_text_{c}") for c, v in nums.items()])
+    texts = [F.col(f"_text_{c}") for c in required]
+    non_numeric = reduce(or_, [v.try_cast("double").isNull() | (v == "") for v in texts])
+    booleans = reduce(or_, [F.lower(v).isin("true", "false") for v in texts])
+    cyc = F.col("_text_cycle").try_cast("double")
     checks = [
         (F.col("_hdr_problem").isNotNull(), F.col("_hdr_problem")),
-        (blank_row, F.lit("blank row")),
-        (width_bad, F.lit("wrong number of fields")),
+        (F.col("_blank"), F.lit("blank row")),
+        (F.col("_width_bad"), F.lit("wrong number of fields")),
         (booleans if not allow_booleans else F.lit(False), F.lit("boolean value")),
         (non_numeric, F.lit("non-numeric value")),
         (cyc != F.floor(cyc), F.lit("non-integer cycle")),
         (cyc <= 0, F.lit("non-positive cycle")),
-        (step == 0, F.lit("duplicate cycle")),
-        (step < 0, F.lit("cycle not increasing")),
-        (step > 1, F.lit("cycle not consecutive")),
     ]
-    reason = F.coalesce(*[F.when(c, r) for c, r in checks])
-    checked = body.withColumn("reason", reason)
-    good = checked.where(F.col("reason").isNull()).select(
-        "file", "_id", *[field(c).try_cast("double").alias(c) for c in required])
+    own = F.coalesce(*[F.when(c, r) for c, r in checks])
+    body = body.select("file", "line", "_id", "value", cyc.alias("_cycle"), own.alias("_own"),
+                       *[v.try_cast("double").alias(f"_value_{c}") for c, v in zip(required, texts, strict=True)])
+    body = trailing_columns(body, {"_before": lambda w: F.lag("_cycle", 1).over(w)}, unit="file", order="line", lookback=1)
+    step = F.col("_cycle") - F.col("_before")
+    reason = F.coalesce("_own", F.when(step == 0, "duplicate cycle").when(step < 0, "cycle not increasing").when(
+        step > 1, "cycle not consecutive"))
+    # good rows, quarantine and the verdict on whole files read the checked lines
+    checked = reused(body.withColumn("reason", reason).drop("_cycle", "_own", "_before"))
+    good = checked.where(F.col("reason").isNull()).select("file", "_id", *[F.col(f"_value_{c}").alias(c) for c in required])
     bad = checked.where(F.col("reason").isNotNull()).select("file", "line", "reason", "value")
     if whole_files:
         good = good.join(bad.select("file").distinct(), "file", "left_anti")
