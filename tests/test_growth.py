@@ -1,11 +1,15 @@
 """Steps whose work is to grow no faster than their input."""
 
+from types import SimpleNamespace
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from wearline.operators.ordered import sequence_number
 from wearline.plans import REGISTRY
 from wearline.plans.registry import finish, round_significant
 from wearline.sources import readers, tables
+from wearline.streaming.units import UnitProcessor
 
 
 def _plan(df):
@@ -60,3 +64,16 @@ def test_csv_lines_are_checked_once_for_good_rows_and_quarantine(spark, tmp_path
         ("b.csv", 2, "cycle not consecutive"), ("b.csv", 3, "wrong number of fields"), ("b.csv", 4, "non-numeric value"),
         ("b.csv", 5, "blank row"), ("c.csv", 1, "missing header")]
     assert all("inmemoryrelation" in _plan(df) for df in (good, bad))
+
+
+def test_unit_without_an_accepted_row_keeps_its_rejected_ones():
+    held = []
+    processor = UnitProcessor(["s"], 5, 3, None, 1 << 16)
+    processor.unit = SimpleNamespace(exists=lambda: bool(held), get=lambda: held[-1], update=held.append)
+    rows = pd.DataFrame({"unit_id": [7, 7], "cycle": [0, 2], "arrival": [1, 2], "exceeded": [False, True], "s": [1.0, float("nan")]})
+    out = processor.advance((7,), rows)
+    assert out["status"].tolist() == ["non_positive", "non_numeric"] and not held
+    assert out.drop(columns=["unit_id", "cycle", "status"]).isna().all(axis=None)
+    out = processor.advance((7,), rows.assign(cycle=[1, 2], s=[1.0, 3.0]))
+    assert out["status"].tolist() == ["ok", "ok"] and out["s_delta_1"].tolist()[1] == 2.0 and out["recent_size"].tolist() == [1, 2]
+    assert out["recent_size"].dtype == "Int64" and out["alert_active"].dtype == "boolean"

@@ -131,15 +131,28 @@ class UnitProcessor(StatefulProcessor):
         usable = np.isfinite(rows[self.sensors].to_numpy(dtype=float)).all(axis=1) & rows["cycle"].notna().to_numpy()
         given = rows["cycle"].fillna(0).to_numpy(dtype=np.int64)
         status, first, _ = statuses(given.tolist(), usable.tolist(), first, cycles[-1] if cycles else None)
-        out = pd.DataFrame({"unit_id": np.full(len(rows), int(key[0]), np.int64), "cycle": rows["cycle"].astype("Int64").to_numpy(), "status": status})
         accepted = np.array([s == "ok" for s in status], bool)
-        good, cycles, values, flags = _fast_rows(key, cycles, values, flags, rows[accepted], self.sensors, self.window, self.required)
+        good = None
         if accepted.any():
+            good, cycles, values, flags = _fast_rows(key, cycles, values, flags, rows[accepted], self.sensors, self.window, self.required)
             self.unit.update((first, cycles, values, flags))
-        place = np.flatnonzero(accepted)
-        features = good.drop(columns=["unit_id", "cycle", "status"]).set_index(place).reindex(range(len(rows)))
-        return pd.concat([out, features], axis=1)[self.columns].astype(
-            {"exceeded": "boolean", "recent_count": "Int64", "recent_size": "Int64", "alert_active": "boolean"})
+        # one frame from arrays: most units send few rows, and a frame costs more than they do
+        out = {"unit_id": np.full(len(rows), int(key[0]), np.int64), "cycle": rows["cycle"].astype("Int64").to_numpy(), "status": status}
+        for name in self.columns[3:]:
+            found = good[name].to_numpy() if good is not None else []
+            if name in ("exceeded", "alert_active"):
+                laid = np.zeros(len(rows), bool)
+                laid[accepted] = found
+                out[name] = pd.arrays.BooleanArray(laid, ~accepted)
+            elif name in ("recent_count", "recent_size"):
+                laid = np.zeros(len(rows), np.int64)
+                laid[accepted] = found
+                out[name] = pd.arrays.IntegerArray(laid, ~accepted)
+            else:
+                laid = np.full(len(rows), np.nan)
+                laid[accepted] = found
+                out[name] = laid
+        return pd.DataFrame(out, columns=self.columns)
 
 
 def contract_stream(stream: DataFrame, sensors: Sequence[str], window: int = C.PERSISTENCE_WINDOW, required: int = C.PERSISTENCE_REQUIRED_COUNT,
