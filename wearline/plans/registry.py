@@ -100,7 +100,7 @@ def round_significant(c, significant: int = SIGNIFICANT):
     leaving room for cancellation noise in differences of aggregates.
     """
     scale = _scale(c, significant)
-    return F.when(_special(c), c).otherwise(_half_up(c * scale) / scale)
+    return F.when(_special(c), c).otherwise(F.round(c * scale, 0) / scale)
 
 
 def _special(c):
@@ -121,16 +121,22 @@ def _half_up(x):
     return F.when(a >= float(1 << 52), x).otherwise(F.when(x < 0, -up).otherwise(up).cast("double"))
 
 
+#: Double columns up to which every column has a rounding of its own.
+NARROW = 8
+
+
 def finish(df: DataFrame) -> DataFrame:
     """Round every double column to eight significant digits (the oracle wraps
     its SQL the same way) so both engines emit identical values.
 
-    As :func:`round_significant`, written once over an array of the columns:
-    written per column, the code of a wide projection grows past what the JVM
-    compiles.  Scales are a column of their own, so that each is computed once."""
+    As :func:`round_significant`.  For a wide result it is written once over an
+    array of the columns: written per column, the code of the projection grows
+    past what the JVM compiles.  Scales are a column of their own, so that each
+    is computed once.  A narrow result stays one projection, which a limit on
+    sorted rows below it takes in."""
     doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-    if not doubles:
-        return df
+    if len(doubles) <= NARROW:
+        return df.select(*[round_significant(F.col(c).cast("double")).alias(c) if c in doubles else F.col(c) for c in df.columns])
     at = {c: i for i, c in enumerate(doubles)}
     wide = df.select(*[c for c in df.columns if c not in at], F.array(*[F.col(c).cast("double") for c in doubles]).alias("_values"))
     wide = wide.withColumn("_scales", F.transform("_values", lambda v: F.when(~_special(v), _scale(v, SIGNIFICANT))))
