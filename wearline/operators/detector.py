@@ -145,15 +145,17 @@ def score_observations(model: AnomalyDetectorModel, df: DataFrame) -> tuple[Data
 
 
 def alert_status(model: AnomalyDetectorModel, rows: DataFrame, arrival: str = "arrival", window: int = C.PERSISTENCE_WINDOW,
-                 required: int = C.PERSISTENCE_REQUIRED_COUNT, top_n: int = C.TOP_DEVIATIONS) -> DataFrame:
+                 required: int = C.PERSISTENCE_REQUIRED_COUNT, top_n: int = C.TOP_DEVIATIONS, valid: DataFrame | None = None) -> DataFrame:
     """M29 behind the contract gate: latest status of every unit whose trajectory breaks no rule.
 
     ``rows``: unit_id, cycle, ``arrival`` and the sensors.  Only the last
     ``window`` cycles of a valid unit are scored: the newest row is reported and
     its window reaches no further, since valid cycles follow one another.
+    ``valid``: the units behind the gate, where it was asked already.
     """
     names: Sequence[str] = model.getOrDefault("sensors")
-    good = validate.valid_trajectories(rows, "unit_id", "cycle", arrival, names)
+    valid = validate.valid_units(rows, "unit_id", "cycle", arrival, names) if valid is None else valid
+    good = rows.join(valid, "unit_id", "left_semi")
     last = good.groupBy("unit_id").agg(F.max("cycle").alias("_last"), F.count(F.lit(1)).alias("history_cycle_count"))
     recent = good.join(last, "unit_id").where(F.col("cycle") > F.col("_last") - window)
     scored = model.transform(recent.select("unit_id", "cycle", "_last", "history_cycle_count", *names))

@@ -107,23 +107,31 @@ def sequence_number(
     bucket) and shifted by the row count of earlier buckets, which is exact.
     """
     parts = list(partition_cols)
+    alone, large = by_size(df, parts, whole)
+    alone = alone.withColumn(name, F.row_number().over(Window.partitionBy(*parts).orderBy(*order_cols)).cast("bigint"))
+    return alone.unionByName(number_by_bucket(large, parts, order_cols, bucket, name))
+
+
+def by_size(df: DataFrame, parts: Sequence[str], whole: int = WHOLE) -> tuple[DataFrame, DataFrame]:
+    """(rows of partitions of at most ``whole`` rows, rows of larger ones); there are at most rows / ``whole`` larger partitions."""
     large = F.broadcast(df.groupBy(*parts).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > whole).select(*parts))
-    alone = null_safe_join(df, large, parts, "left_anti").withColumn(
-        name, F.row_number().over(Window.partitionBy(*parts).orderBy(*order_cols)).cast("bigint"))
+    return null_safe_join(df, large, parts, "left_anti"), null_safe_join(df, large, parts, "left_semi")
 
-    with_b = null_safe_join(df, large, parts, "left_semi").withColumn("_sb", bucket)
+
+def number_by_bucket(df: DataFrame, parts: Sequence[str], order_cols: Sequence[Column | str], bucket: Column, name: str) -> DataFrame:
+    """``row_number()`` inside (partition, bucket), shifted by the rows of earlier buckets."""
+    with_b = df.withColumn("_sb", bucket)
     counts = with_b.groupBy(*parts, "_sb").agg(F.count(F.lit(1)).alias("_sn"))
     before = Window.partitionBy(*parts).orderBy("_sb").rowsBetween(
         Window.unboundedPreceding, -1
     )
     offsets = counts.select(*parts, "_sb", F.coalesce(F.sum("_sn").over(before), F.lit(0)).alias("_so"))
     inside = Window.partitionBy(*parts, "_sb").orderBy(*order_cols)
-    cut = (
+    return (
         null_safe_join(with_b, offsets, [*parts, "_sb"])
         .withColumn(name, F.row_number().over(inside) + F.col("_so"))
         .drop("_sb", "_so")
     )
-    return alone.unionByName(cut)
 
 
 def average_rank(
@@ -247,16 +255,14 @@ def ecdf_percentile(
 
     A null score keeps its row, with a null percentile.
     Right-inclusive ties, clipped to [0, 100].  Reference and query values
-    are merged per distinct value, prefix-summed in value order, and the
-    running reference count is joined back on the value (X2).
+    are merged per distinct value and prefix-summed in value order; the running
+    reference count of the query values alone is joined back on the value (X2).
     """
-    ref_counts = reference.where(F.col(ref_col).isNotNull()).groupBy(F.col(ref_col).alias("_ev")).agg(
-        F.count(F.lit(1)).alias("_er")
-    )
-    q_vals = queries.select(F.col(score_col).alias("_ev")).where("_ev IS NOT NULL").distinct().withColumn("_er", F.lit(0).cast("long"))
-    merged = ref_counts.unionByName(q_vals).groupBy("_ev").agg(F.sum("_er").alias("_er"))
-    n_ref = ref_counts.agg(F.sum("_er").alias("_en"))
-    cum = prefix_sums(merged, "_ev", ["_er"], buckets=buckets)
+    ref = reference.where(F.col(ref_col).isNotNull()).select(F.col(ref_col).alias("_ev"), F.lit(1).cast("long").alias("_er"), F.lit(False).alias("_eq"))
+    asked = queries.select(F.col(score_col).alias("_ev")).where("_ev IS NOT NULL").select("_ev", F.lit(0).cast("long").alias("_er"), F.lit(True).alias("_eq"))
+    merged = ref.unionByName(asked).groupBy("_ev").agg(F.sum("_er").alias("_er"), F.max("_eq").alias("_eq"))
+    n_ref = ref.agg(F.sum("_er").alias("_en"))
+    cum = prefix_sums(merged, "_ev", ["_er"], buckets=buckets).where("_eq")
     table = cum.crossJoin(F.broadcast(n_ref)).select(
         "_ev",
         F.least(F.greatest(100.0 * F.col("cum__er") / F.col("_en"), F.lit(0.0)), F.lit(100.0)).alias(name),

@@ -9,20 +9,22 @@ flow on and bad ones go to a quarantine table.  Rule precedence (V13) is a
 Order rules (V9 strictly increasing, V10 consecutive) compare each row with
 the previous row *in arrival order*, so the input must carry an arrival
 column (Spark tables are unordered).  Arrival positions are numbered
-without a per-unit sort (``sequence_number``) and the one-row look-back
-runs on cycle-chunked windows, so a huge trajectory is split across tasks.
+without a per-unit sort (``number_by_bucket``) where a trajectory is huge, and
+its one-row look-back runs on cycle-chunked windows, so it is split across
+tasks; the rows of any other trajectory move once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegralType
 
 from .. import contracts as C
 from ..functions import columns as X
-from .ordered import sequence_number
+from .ordered import by_size, number_by_bucket
 from .windows import trailing_columns
 
 
@@ -88,6 +90,12 @@ def _not_finite(c: Column) -> Column:
     return ~X.is_finite(c)
 
 
+def _number(df: DataFrame, c: str) -> Column:
+    """The column as a double, null where its text is no number; doubles and integers need no text."""
+    typed = isinstance(df.schema[c].dataType, (IntegralType, DoubleType))
+    return F.col(c).cast("double") if typed else F.col(c).cast("string").try_cast("double")
+
+
 def trajectory_violations(
     df: DataFrame,
     key: str,
@@ -105,36 +113,38 @@ def trajectory_violations(
     keys without rows get ``empty``.  With ``integer_typed_cycle`` (anomaly
     contract) a fractional cycle fails even when it is whole.
     """
-    cyc = F.col(cycle).cast("string").try_cast("double")
-    from pyspark.sql.types import IntegralType
     int_typed = isinstance(df.schema[cycle].dataType, IntegralType)
-    prepared = df.select(
-        key, unit, arrival,
-        F.col(cycle).alias("_raw_cycle"),
-        cyc.alias("_cycle"),
-        *[F.col(c).cast("string").try_cast("double").alias(f"_n{i}") for i, c in enumerate(numeric)],
-    )
-    pos = sequence_number(prepared, [key], [arrival], F.to_date(F.col(arrival).cast("timestamp")), name="_pos")
-    stepped = trailing_columns(
+    non_num = sum((_not_finite(_number(df, c)).cast("int") for c in [*numeric, cycle]), F.lit(0))
+    prepared = df.select(key, unit, arrival, _number(df, cycle).alias("_cycle"), non_num.alias("_non_num"))
+    alone, large = by_size(prepared, [key])
+    # rows of a trajectory move once: both orders and the totals are per key
+    alone = alone.withColumn("_prev", F.lag("_cycle", 1).over(Window.partitionBy(key).orderBy(arrival))).withColumn(
+        "_same", F.col("_cycle") == F.lag("_cycle", 1).over(Window.partitionBy(key).orderBy("_cycle")))
+    pos = number_by_bucket(large, [key], [arrival], F.to_date(F.col(arrival).cast("timestamp")), "_pos")
+    large = trailing_columns(
         pos, {"_prev": lambda w: F.lag("_cycle", 1).over(w)}, unit=key, order="_pos", lookback=1)
-    non_num = sum((_not_finite(F.col(f"_n{i}")).cast("int") for i in range(len(numeric))), F.lit(0))
-    per = stepped.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.sum(F.col(unit).isNull().cast("int")).alias("_unit_nulls"),
-        F.count_distinct(unit).alias("_units"),
-        F.sum(non_num + _not_finite(F.col("_cycle")).cast("int")).alias("_non_numeric"),
-        F.count_if((F.col("_cycle") != F.floor("_cycle")) | F.lit(integer_typed_cycle and not int_typed))
-        .alias("_fractional"),
-        F.count_if(F.col("_cycle") <= 0).alias("_non_positive"),
-        F.count(F.lit(1)).alias("_n"),
-        F.count_distinct("_cycle").alias("_distinct_cycles"),
-        F.count_if(F.col("_cycle") <= F.col("_prev")).alias("_not_increasing"),
-        F.count_if((F.col("_cycle") - F.col("_prev")) != 1).alias("_gaps"),
-    )
+
+    def totals(stepped: DataFrame, distinct: Column) -> DataFrame:
+        return stepped.groupBy(key).agg(
+            F.count(F.lit(1)).alias("n_rows"),
+            F.sum(F.col(unit).isNull().cast("int")).alias("_unit_nulls"),
+            F.min(unit).alias("_first_unit"), F.max(unit).alias("_last_unit"),
+            F.sum("_non_num").alias("_non_numeric"),
+            F.count_if((F.col("_cycle") != F.floor("_cycle")) | F.lit(integer_typed_cycle and not int_typed))
+            .alias("_fractional"),
+            F.count_if(F.col("_cycle") <= 0).alias("_non_positive"),
+            F.count(F.lit(1)).alias("_n"),
+            distinct.alias("_distinct_cycles"),
+            F.count_if(F.col("_cycle") <= F.col("_prev")).alias("_not_increasing"),
+            F.count_if((F.col("_cycle") - F.col("_prev")) != 1).alias("_gaps"),
+        )
+
+    per = totals(alone, F.count("_cycle") - F.count_if("_same")).unionByName(totals(large, F.count_distinct("_cycle")))
     flags = per.select(
         key, "n_rows",
         (F.col("_unit_nulls") > 0).alias("unit_missing"),
-        ((F.col("_units") + F.when(F.col("_unit_nulls") > 0, 1).otherwise(0)) != 1).alias("unit_not_unique"),
+        (F.when(F.col("_first_unit").isNull(), False).otherwise((F.col("_unit_nulls") > 0) | (F.col("_first_unit") != F.col("_last_unit"))))
+        .alias("unit_not_unique"),
         (F.col("_non_numeric") > 0).alias("non_numeric"),
         (F.col("_fractional") > 0).alias("non_integer_cycle"),
         (F.col("_non_positive") > 0).alias("non_positive_cycle"),
@@ -159,10 +169,14 @@ def valid_trajectories(df: DataFrame, unit: str, cycle: str, arrival: str, numer
 
     The windows behind the gate may rely on consecutive cycles (V10).  Rows
     without a unit belong to no valid trajectory."""
+    return df.join(valid_units(df, unit, cycle, arrival, numeric), unit, "left_semi")
+
+
+def valid_units(df: DataFrame, unit: str, cycle: str, arrival: str, numeric: Sequence[str]) -> DataFrame:
+    """The units behind the gate, one row each."""
     keyed = df.withColumn("_trajectory", F.col(unit))
     checked = trajectory_violations(keyed, "_trajectory", unit, cycle, arrival, numeric)
-    good = checked.where(F.col("first_error").isNull()).select(F.col("_trajectory").alias(unit))
-    return df.join(good, unit, "left_semi")
+    return checked.where(F.col("first_error").isNull()).select(F.col("_trajectory").alias(unit))
 
 
 def machine_rule_flags(df: DataFrame) -> DataFrame:
