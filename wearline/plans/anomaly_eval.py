@@ -43,9 +43,13 @@ def stage_key(raw_rul: str = "raw_rul"):
 
 
 def scored_fleet(spark, sf_dir):
-    """Statistical scores of every trajectory row, stored once per session."""
-    return tables.stored(spark, sf_dir, "scored", lambda sp, d: detect.statistical_scores(
-        detect.add_rul_targets(tables.traj(sp, d)), S))
+    """Statistical scores of every trajectory row.  The rows with their RUL and the
+    fitted scaler are stored once per session; z values and score are row-local."""
+    rows = tables.stored(spark, sf_dir, "fleet", lambda sp, d: detect.add_rul_targets(
+        tables.traj(sp, d).select("unit_id", "cycle", *S)))
+    params = tables.stored(spark, sf_dir, "scaler", lambda *_: detect.scaler_params(
+        rows.where(F.col("raw_rul") > C.NORMAL_REFERENCE_RUL), S))
+    return detect.statistical_scores(rows, S, params=params)
 
 
 def threshold(scored, q=C.THRESHOLD_QUANTILE):
@@ -396,8 +400,8 @@ def lifecycle_inference(spark, sf_dir):
     """The median-lifetime unit scored as of the cycles nearest to RUL 150 / 90
     / 45 / 15 (ties -> earliest): every feature looks back only, so the row at
     that cycle is the status of the truncated history."""
-    pol = policy_fleet(spark, sf_dir)
     rep = representative(spark, sf_dir).where(F.col("role") == "median")
+    pol = policy_fleet(spark, sf_dir)
     m = pol.join(F.broadcast(rep.select("unit_id")), "unit_id")
     tg = spark.createDataFrame([(t,) for t in TARGETS], "target_rul int")
     pick = m.crossJoin(F.broadcast(tg)).groupBy("target_rul").agg(
