@@ -62,6 +62,12 @@ def flagged_fleet(spark, sf_dir):
     return sc.crossJoin(F.broadcast(threshold(sc))).withColumn("exceeded", X.exceeded("score", "raw_threshold"))
 
 
+def policies_of(spark, sf_dir, units):
+    """The four persistence policies of the rows of a few ``units``: the windows are per unit."""
+    return detect.alert_policies(flagged_fleet(spark, sf_dir).join(F.broadcast(units), "unit_id").select(
+        "unit_id", "cycle", "raw_rul", "score", "raw_threshold", "exceeded"))
+
+
 def policy_fleet(spark, sf_dir):
     """Flagged rows with all four persistence policies, stored per session."""
     return tables.stored(spark, sf_dir, "policies", lambda sp, d: detect.alert_policies(
@@ -370,9 +376,9 @@ FROM pol JOIN rep USING (unit_id) LEFT JOIN fa USING (unit_id)""")
 def alert_timeline(spark, sf_dir):
     """Cycle-by-cycle percentile, threshold, exceedance and persistent alert
     for the shortest, median and longest unit, with each one's first alert."""
-    pol = policy_fleet(spark, sf_dir)
-    rep = representative(spark, sf_dir)
-    rows = pol.join(F.broadcast(rep), "unit_id")  # three units
+    rep = representative(spark, sf_dir)  # three units
+    pol = policies_of(spark, sf_dir, rep.select("unit_id").distinct())
+    rows = pol.join(F.broadcast(rep), "unit_id")
     ref = scored_fleet(spark, sf_dir).where(F.col("raw_rul") > C.NORMAL_REFERENCE_RUL).select("score")
     rows = ordered.ecdf_percentile(rows, "score", ref, "score", name="percentile")
     fa = pol.where("three_of_five").groupBy("unit_id").agg(F.min("cycle").alias("first_alert_cycle"))
@@ -401,8 +407,7 @@ def lifecycle_inference(spark, sf_dir):
     / 45 / 15 (ties -> earliest): every feature looks back only, so the row at
     that cycle is the status of the truncated history."""
     rep = representative(spark, sf_dir).where(F.col("role") == "median")
-    pol = policy_fleet(spark, sf_dir)
-    m = pol.join(F.broadcast(rep.select("unit_id")), "unit_id")
+    m = policies_of(spark, sf_dir, rep.select("unit_id"))
     tg = spark.createDataFrame([(t,) for t in TARGETS], "target_rul int")
     pick = m.crossJoin(F.broadcast(tg)).groupBy("target_rul").agg(
         F.min_by("cycle", F.struct(F.abs(F.col("raw_rul") - F.col("target_rul")), F.col("cycle"))).alias("cycle"))
