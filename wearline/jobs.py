@@ -91,7 +91,7 @@ def train_failure(spark: SparkSession, sf_dir: str, out: str, thresholds: dict |
     split = splits.stratified_holdout(o, ["unit_id", "cycle"], "failure", 0.2, 42).cache()
     train = splits.stratified_kfold(split.where("split = 'train'").drop("split"), ["unit_id", "cycle"], "failure")
     test = split.where("split = 'test'")
-    base = lambda: Pipeline(stages=models.machine_preprocessing() + [models.classifier("boosting")])
+    base = lambda: Pipeline(stages=models.machine_preprocessing(binned=True) + [models.classifier("boosting")])
     cal = models.CalibratedClassifier(base, "sigmoid", 5).fit(train)
     p = cal.transform(test, ["failure"])
     pb = metrics.probability_scores(p, "calibrated_probability", "failure").first()
