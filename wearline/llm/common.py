@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from wearline.session import scratch_path
 
 _WRITTEN: list[str] = []
+#: With it, the shuffle files of a query go when it ends, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,12 +26,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate to the shared folder and read it back.
 
-    Cuts the lineage: a lost executor costs a read, not a recomputation.
+    Cuts the lineage: a lost executor costs a read, not a recomputation.  What
+    the write shuffled is of no more use and goes with its end.
     """
-    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     _WRITTEN.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def note_written(path: str) -> None:
