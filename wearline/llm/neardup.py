@@ -11,16 +11,19 @@ symmetric difference changes one word, hence the number of differing words
 (a Hamming distance) never exceeds the symmetric difference, which for linked
 sets of n and up to 1.25 n shingles is at most D = n / 4.
 
-Pigeonhole.  Each set offers its first D + 1 non-empty words as keys: of the
-shorter of two such prefixes at most D words can differ, so linked sets share
-a key.  A set with fewer non-empty words offers them all and one key that
-such sets share.  Sets within 80 % of the next band's lower bound offer keys
-there too.  No candidate is capped or sampled.
+Pigeonhole.  Each set offers its first D + e non-empty words as keys, with
+e = n / 64 + 1, in one order for all sets: of the shorter of two such prefixes
+at most D words can differ, so linked sets share e keys (the e of the smaller
+set).  A set with fewer non-empty words offers them all and one key that such
+sets share, which counts for any number.  Sets within 80 % of the next band's
+lower bound offer keys there too.  No candidate is capped or sampled: keys that
+many of a sixteenth of the texts offer only come last in the order, and any
+order gives the same links.
 
 Verify.  Sets equal by hash are one node.  Round one tests, per key, all
 members against the member with most shared keys, which merges groups of near
 copies by a star instead of all pairs.  Round two tests every remaining pair
-of members of a key whose components still differ.  Before texts are compared,
+of members of e keys whose components still differ.  Before texts are compared,
 a 512-bit parity sketch (bit differences again bound the symmetric difference
 from below) and the sizes drop hopeless pairs; then the shingle sets decide.
 
@@ -95,8 +98,10 @@ class Sets:
             out.append(np.packbits(odd.astype(np.uint8)).tobytes())
         return out
 
-    def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """(document, key) of the pigeonhole join."""
+    def keys(self, common: np.ndarray | None = None, offer_all: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(document, key) of the pigeonhole join; ``common``: sorted keys that come last in the order.
+
+        ``offer_all``: every word of a set is a key, whatever the prefix."""
         low = np.int64(1) << np.int64(np.floor(np.log2(np.maximum(self.n, 1))))
         docs, keys = [], []
         for band, member in ((low, self.n > 0), (2 * low, (self.n > 0) & (100 * self.n >= LEVEL * 2 * low))):
@@ -111,14 +116,22 @@ class Sets:
             at = np.flatnonzero(start)
             word = np.bitwise_xor.reduceat(tx.mix(h ^ _SALT[3]), at)
             d, place = doc[at], tx.mix((band[doc[at]].astype(np.uint64) << U64(32)) ^ part[at])
+            key = tx.mix(word ^ place)
+            if offer_all:
+                docs.append(d)
+                keys.append(key)
+                continue
+            if common is not None and len(common):
+                late = common[np.minimum(np.searchsorted(common, key), len(common) - 1)] == key
+                key = key[np.argsort(2 * d + late, kind="stable")]  # d is in order and stays
             first = np.ones(len(at), bool)
             first[1:] = d[1:] != d[:-1]
             begin = np.flatnonzero(first)
             rank = np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))
-            need = differing(self.n) + 1
+            need = differing(self.n) + extra(self.n)
             offered = rank < need[d]
             docs.append(d[offered])
-            keys.append(tx.mix(word ^ place)[offered])
+            keys.append(key[offered])
             filled = np.bincount(d, minlength=len(self.n))
             few = np.flatnonzero(member & (filled < need))
             docs.append(few)
@@ -133,6 +146,17 @@ def differing(n: np.ndarray) -> np.ndarray:
     return (n + 125 * n // 100) // 9
 
 
+def extra(n):
+    """Keys that a set of n shares at least with one it links with that is no smaller."""
+    return n // 64 + 1
+
+
+#: The keys of sets with fewer words than they would offer, one for each size band.
+FEW_KEYS = tx.mix((U64(1) << np.arange(40, dtype=np.uint64)) ^ _SALT[4]).view(np.int64).tolist()
+#: A key comes last if so many of a sixteenth of the texts have it; so many keys at most do.
+COMMON_SHARE, COMMON_TEXTS, COMMON_KEYS = 16, 4, 100_000
+
+
 _DOCS = pa.schema([
     ("_k1", pa.int64()), ("_k2", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("node2", pa.int64()),
     ("sketch", pa.list_(pa.int64())),
@@ -156,7 +180,7 @@ def _describe(batches):
             yield pa.RecordBatch.from_arrays([*keys, pa.array(s.n), *nodes, sketch], schema=_DOCS)
 
 
-def _emit_keys(batches):
+def _emit_keys(batches, common: np.ndarray | None = None, offer_all: bool = False):
     seen: set[int] = set()  # nodes of this task: exact copies offer their keys once a task
     for batch in batches:
         for _, _, s in _parts(batch):
@@ -166,7 +190,7 @@ def _emit_keys(batches):
                 if node not in seen:
                     seen.add(node)
                     new[d] = True
-            doc, key = s.keys()
+            doc, key = s.keys(common, offer_all)
             doc, key = doc[new[doc]], key[new[doc]]
             for lo in range(0, len(doc), 65536):
                 yield pa.RecordBatch.from_arrays([pa.array(key[lo : lo + 65536]), pa.array(nodes[doc[lo : lo + 65536]])], schema=_KEYS)
@@ -213,6 +237,11 @@ def _close(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], schema=schema)
 
 
+def extra_of(n: str) -> Column:
+    """:func:`extra` of a column."""
+    return F.floor(F.col(n) / 64) + 1
+
+
 def _hopeful(n_a: str, n_b: str, s_a: str, s_b: str) -> Column:
     """Sizes and parity bits do not rule the pair out."""
     bits = sum(F.bit_count(F.col(s_a)[i].bitwiseXOR(F.col(s_b)[i])) for i in range(SKETCH_BITS // 64))
@@ -220,13 +249,23 @@ def _hopeful(n_a: str, n_b: str, s_a: str, s_b: str) -> Column:
     return (100 * small >= LEVEL * large) & (9 * bits <= small + large)
 
 
+def _common_keys(keyed: DataFrame) -> np.ndarray:
+    """Sorted keys that many texts have, found in a sixteenth of them; they only set the order of the keys."""
+    part = keyed.where(F.pmod(F.xxhash64("_text"), F.lit(COMMON_SHARE)) == 0)
+    found = part.mapInArrow(lambda batches: _emit_keys(batches, offer_all=True), "key long, node long").distinct()
+    many = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON_TEXTS)
+    rows = many.orderBy(F.desc("n"), "key").limit(COMMON_KEYS).select("key").collect()
+    return np.sort(np.array([r["key"] for r in rows], np.int64).view(np.uint64))
+
+
 def _members(keyed: DataFrame) -> DataFrame:
     """(key, node) of keys with two nodes or more.
 
     One shuffle by key; the two windows share its sort and look one row back
     and ahead, so they hold no group in memory.
     """
-    rows = keyed.mapInArrow(_emit_keys, "key long, node long")
+    common = keyed.sparkSession.sparkContext.broadcast(_common_keys(keyed))
+    rows = keyed.mapInArrow(lambda batches: _emit_keys(batches, common.value), "key long, node long")
     order = Window.partitionBy("key").orderBy("node")
     once = rows.withColumn("_last", F.lag("node").over(order)).where(F.col("_last").isNull() | (F.col("_last") != F.col("node"))).drop("_last")
     near = once.withColumns({"_prev": F.lag("node").over(order), "_next": F.lead("node").over(order)})
@@ -278,7 +317,9 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     x = still.select("key", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("n_a"), F.col("s").alias("s_a"))
     y = still.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("n_b"), F.col("s").alias("s_b"))
     pairs = x.join(y, "key").where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & _hopeful("n_a", "n_b", "s_a", "s_b"))
-    more = verified(pairs.select("a", "b").distinct())
+    weight = F.when(F.col("key").isin(FEW_KEYS), F.lit(1 << 40)).otherwise(F.lit(1).cast("long"))
+    shares = pairs.groupBy("a", "b").agg(F.sum(weight).alias("_n"), F.first(F.least("n_a", "n_b")).alias("_least"))
+    more = verified(shares.where(F.col("_n") >= extra_of("_least")).select("a", "b"))
     if not more.isEmpty():
         comps = components(links.unionByName(more))
 
